@@ -57,11 +57,22 @@ def rolling(
     return out.drop("_blk")
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", size: int = BLOCK) -> DataFrame:
-    """Dense 0-based rank of ``order`` within ``keys`` (order values unique per key)."""
+def positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    out: str = "pos",
+    size: int = BLOCK,
+    rows: DataFrame | None = None,
+) -> DataFrame:
+    """Dense 0-based rank of ``order`` within ``keys`` (order values unique per key).
+
+    ``rows`` may name a cheaper relation with the same keys and order values to count from.
+    """
     keys = list(keys)
     marked = df.withColumn("_blk", block_of(order, size))
-    counts = marked.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    counted = marked if rows is None else rows.withColumn("_blk", block_of(order, size))
+    counts = counted.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(w_blocks), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(order))

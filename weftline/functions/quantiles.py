@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 512
 ACCURACY = 10000
 
 
+def sketch(value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> Column:
+    """Approximate quantiles as one SQL expression (many probabilities, one call)."""
+    return F.expr(f"percentile_approx({value}, array({', '.join(f'{p}D' for p in probs)}), {accuracy})")
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,23 +47,26 @@ def quantiles(
         F.count("_v").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("_g"),
+        sketch("_v", [i / GRID for i in range(GRID + 1)]).alias("_g"),
     )
 
-    def bracket(i: int, p: float):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        k = F.floor(pos) + 1
-        lo = F.floor((k - 2) / F.col("_n") * GRID).cast("int") - 1
-        hi = F.ceil((k + 2) / F.col("_n") * GRID).cast("int") + 1
+    n, grid_at = F.col("_n"), F.col("_g")
+    pos = lambda p: p * (n - 1)
+
+    def bracket(p, i):
+        k = F.floor(pos(p)) + 1
+        lo = (F.floor((k - 2) / n * GRID) - 1).cast("int")
+        hi = (F.ceil((k + 2) / n * GRID) + 1).cast("int")
         return F.struct(
-            F.lit(i).alias("i"),
+            i.alias("i"),
             k.alias("k"),
-            (pos - F.floor(pos)).alias("frac"),
-            F.when(lo < 1, F.col("_min")).otherwise(F.get("_g", lo)).alias("lo"),
-            F.when(hi > GRID - 1, F.col("_max")).otherwise(F.get("_g", hi)).alias("hi"),
+            (pos(p) - F.floor(pos(p))).alias("frac"),
+            F.when(lo < 1, F.col("_min")).otherwise(F.get(grid_at, lo)).alias("lo"),
+            F.when(hi > GRID - 1, F.col("_max")).otherwise(F.get(grid_at, hi)).alias("hi"),
         )
 
-    plan = grid.select(*keys, F.array(*[bracket(i, probs[n]) for i, n in enumerate(names)]).alias("_b"))
+    wanted = F.lit([float(probs[m]) for m in names])
+    plan = grid.select(*keys, F.transform(wanted, bracket).alias("_b"))
     joined = data.join(plan, keys)
     hits = joined.select(*keys, "_v", F.explode("_b").alias("b")).filter("_v <= b.hi").select(
         *keys, "b.i", "b.k", "b.frac", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v")
@@ -76,8 +84,8 @@ def quantiles(
         .when(F.col("_a").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         .otherwise(F.col("_a") + F.col("frac") * (F.coalesce("_z", "_a") - F.col("_a")))
     )
-    vals = stats.select(*keys, "i", exact.alias("_q"))
-    return vals.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+    vals = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", exact.alias("q")))).alias("_q"))
+    return vals.select(*keys, *[F.col("_q")[i].alias(m) for i, m in enumerate(names)])
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], value: str, med: str = "med", mad: str = "mad") -> DataFrame:
@@ -85,4 +93,4 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str, med: str = "med",
     keys = list(keys)
     centre = quantiles(df, keys, value, {med: 0.5})
     dev = df.join(centre, keys).withColumn("_dev", F.abs(F.col(value) - F.col(med)))
-    return centre.join(quantiles(dev, keys, "_dev", {mad: 0.5}), keys)
+    return quantiles(dev, [*keys, med], "_dev", {mad: 0.5})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions
+from weftline.functions.quantiles import sketch
 
 SPLITS = 128
 
@@ -24,7 +25,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int = SP
         return value_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, splits)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], 2000).alias("_cuts")
+        sketch(f"`{value}`", [i / splits for i in range(1, splits)]).alias("_cuts")
     )
     v = F.col(value)
     marked = counts.join(cuts, keys).withColumn("_vb", F.size(F.filter("_cuts", lambda s: s < v))).drop("_cuts")

@@ -34,6 +34,7 @@ class Panel:
     frame: DataFrame
     channels: tuple[str, ...]
     block: int = BLOCK
+    complete: bool = False  # no missing cell and no missing position: gap handling can be skipped
 
     # -- construction ---------------------------------------------------------------
     @classmethod
@@ -43,11 +44,13 @@ class Panel:
         return cls(df.select(F.col("t").cast("bigint").alias("t"), *cols), names, block)
 
     @classmethod
-    def from_long(cls, df: DataFrame, channels: Sequence[str] | None = None, block: int = BLOCK) -> Panel:
+    def from_long(
+        cls, df: DataFrame, channels: Sequence[str] | None = None, block: int = BLOCK, complete: bool = False
+    ) -> Panel:
         """Pivot ``t, channel, value``; absent cells become NULL."""
         names = tuple(channels) if channels is not None else tuple(channel_names(df, "channel"))
         aggs = [F.max(F.when(F.col("channel") == c, finite(F.col("value")))).alias(c) for c in names]
-        return cls(df.groupBy(F.col("t").cast("bigint").alias("t")).agg(*aggs), names, block)
+        return cls(df.groupBy(F.col("t").cast("bigint").alias("t")).agg(*aggs), names, block, complete)
 
     @classmethod
     def from_buckets(
@@ -76,17 +79,21 @@ class Panel:
 
         binned = df.groupBy(bucket.cast("bigint").alias("_bucket")).agg(*[cell(c).alias(c) for c in names])
         numbered = positions(binned, [], "_bucket", out="t", size=1024).drop("_bucket")
-        return cls(numbered.select("t", *[F.col(f"`{c}`") for c in names]), names, block)
+        frame = numbered.select("t", *[F.col(f"`{c}`") for c in names])
+        return cls(frame, names, block, complete=aggregate == "count")
 
     # -- shapes -----------------------------------------------------------------------
     def with_frame(self, frame: DataFrame, channels: Sequence[str] | None = None) -> Panel:
-        return replace(self, frame=frame, channels=tuple(channels) if channels is not None else self.channels)
+        """Same panel with other content; says nothing about missing cells any more."""
+        names = tuple(channels) if channels is not None else self.channels
+        return replace(self, frame=frame, channels=names, complete=False)
 
     def col(self, c: str) -> Column:
         return F.col(f"`{c}`")
 
     def select(self, channels: Sequence[str]) -> Panel:
-        return self.with_frame(self.frame.select("t", *[self.col(c) for c in channels]), channels)
+        kept = self.frame.select("t", *[self.col(c) for c in channels])
+        return replace(self, frame=kept, channels=tuple(channels))
 
     def map_columns(self, fn) -> Panel:
         return self.with_frame(self.frame.select("t", *[fn(self.col(c)).alias(c) for c in self.channels]))

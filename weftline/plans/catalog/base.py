@@ -65,6 +65,12 @@ class Tables:
         day = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date"))
         return Panel.from_buckets(self.read("orders"), day, "o_orderpriority", "sum", "o_totalprice", PRIORITIES)
 
+    def embedding_panel(self) -> Panel:
+        """Vector id as position, dimension as channel (64 columns, one narrow projection)."""
+        e = self.read("embeddings")
+        cols = [F.get("embedding", F.lit(i)).cast("double").alias(f"d{i:02d}") for i in range(64)]
+        return Panel.from_wide(e.select(F.col("vec_id").alias("t"), *cols))
+
 
 def panel_sql(name: str) -> str:
     """``WITH p(t, channels...), pl(t, channel, value)`` for one of the panels above."""
