@@ -37,7 +37,7 @@ def quantile_grid(bins: int) -> dict[str, float]:
     return {f"_e{i}": i / bins for i in range(bins + 1)}
 
 
-def pair_codes(points: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
+def pair_codes(points: DataFrame, keys: Sequence[str], bins: int = BINS, bounded: bool = False) -> DataFrame:
     """Equal-frequency bins ``sx, sy`` of both series of each pair (one quantile pass for both)."""
     keys = list(keys)
     sides = points.select(
@@ -50,7 +50,7 @@ def pair_codes(points: DataFrame, keys: Sequence[str], bins: int = BINS) -> Data
         ).alias("p"),
     ).select(*keys, "p.s", "p.v")
     grid = quantile_grid(bins)
-    edges = quantiles(sides, [*keys, "s"], "v", grid).select(*keys, "s", bin_edges(list(grid)).alias("e"))
+    edges = quantiles(sides, [*keys, "s"], "v", grid, bounded).select(*keys, "s", bin_edges(list(grid)).alias("e"))
     both = edges.groupBy(*keys).agg(
         F.max(F.when(F.col("s") == "x", F.col("e"))).alias("_ex"),
         F.max(F.when(F.col("s") == "y", F.col("e"))).alias("_ey"),
@@ -110,15 +110,18 @@ def _te_from_counts(joint: DataFrame, keys: Sequence[str], states: int) -> DataF
     return t.groupBy(*keys).agg((F.sum(term) / F.sum("c")).alias("value"))
 
 
-def transfer_entropy(points: DataFrame, lag: int = 1, bins: int = BINS, keys: Sequence[str] = PAIR) -> DataFrame:
+def transfer_entropy(
+    points: DataFrame, lag: int = 1, bins: int = BINS, keys: Sequence[str] = PAIR, bounded: bool = False
+) -> DataFrame:
     """Directed transfer entropy x -> y in bits with histories of length ``lag``.
 
-    Works on pairwise-complete points; ``keys`` may include window columns.
+    Works on pairwise-complete points; ``keys`` may include window columns (``bounded`` then
+    says that every group has at most a window of rows).
     """
     keys = list(keys)
     lag = max(1, int(lag))
     points = points.select(*keys, "t", "x", "y")
-    p = positions(pair_codes(points, keys, bins), keys, "t", "pos", rows=points)
+    p = positions(pair_codes(points, keys, bins, bounded), keys, "t", "pos", rows=points)
 
     def history(w):
         return {h: _history([F.lag(c, k).over(w) for k in range(1, lag + 1)], bins) for c, h in (("sx", "hx"), ("sy", "hy"))}

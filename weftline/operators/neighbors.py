@@ -22,6 +22,7 @@ from weftline.functions.special import digamma_int
 from weftline.functions.strips import add_splitters, heavy_code
 from weftline.operators.moments import gram, linear_residual, residualize, solve_ols
 from weftline.panel import Panel
+from weftline.session import staged
 
 PAIR = ["src", "dst"]
 K = 5
@@ -132,11 +133,12 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         bound = np.where(full.any(axis=1), np.take_along_axis(d, full.argmax(axis=1)[:, None], 1)[:, 0], np.inf)
         return pdf[[*keys, "id", "c", "w", "v", "u", "cell", "sub"]].assign(bound=bound, **rows(d, i, w))
 
-    first = zipped(
+    first = staged(
         cells.groupBy(*keys, "cell", "sub").applyInPandas(
             own, f"{kt}, id bigint, c array<double>, w bigint, v double, u double, cell int, sub int, bound double, {cand}"
         )
     )
+    first = zipped(first)
     b, v, u = F.col("bound"), F.col("v"), F.col("u")
     reach = F.filter(
         "boxes",
@@ -173,7 +175,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         zero,
         lambda a, x: F.struct((a["n"] + x["w"]).alias("n"), F.when(a["d"].isNull() & (a["n"] + x["w"] >= k), x["d"]).otherwise(a["d"]).alias("d")),
     )
-    return merged.select(*keys, "id", "c", "w", kth["d"].alias("eps"), F.get("all", F.lit(0))["id"].alias("nn"))
+    return staged(merged.select(*keys, "id", "c", "w", kth["d"].alias("eps"), F.get("all", F.lit(0))["id"].alias("nn")))
 
 
 def _count_1d(qv, eps, pv, pw):

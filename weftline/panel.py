@@ -98,6 +98,11 @@ class Panel:
     def map_columns(self, fn) -> Panel:
         return self.with_frame(self.frame.select("t", *[fn(self.col(c)).alias(c) for c in self.channels]))
 
+    def length(self) -> int:
+        """Number of positions (one small aggregate)."""
+        last = self.frame.agg(F.max("t")).first()[0]
+        return 0 if last is None else int(last) + 1
+
     def long(self) -> DataFrame:
         """``t, channel, value`` with NULL cells kept (a narrow operation)."""
         cells = F.array(

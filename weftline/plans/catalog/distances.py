@@ -39,8 +39,6 @@ def dcor_partial(tb: Tables):
     return edges_out(distances.dcor_partial(tb.ev_mean().select(_trio("ev_mean"))))
 
 
-PSI = "CASE WHEN {0} <= 1 THEN -0.5772156649015329 ELSE (SELECT h FROM psi WHERE m = {0}) END"
-
 
 def mi_sql(prefix: str) -> str:
     """KSG by self-join; digamma(m) is a running harmonic sum minus Euler's constant."""
@@ -48,7 +46,7 @@ def mi_sql(prefix: str) -> str:
         prefix
         + ", psi AS MATERIALIZED (SELECT m, sum(CASE WHEN m > 1 THEN 1.0 / (m - 1) ELSE 0 END) OVER (ORDER BY m) - 0.5772156649015329 AS h FROM (SELECT unnest(range(1, 20000)) AS m)), "
         "dd AS MATERIALIZED (SELECT a.src, a.dst, a.t AS i, abs(a.x - b.x) AS u, abs(a.y - b.y) AS v FROM pt a JOIN pt b ON a.src = b.src AND a.dst = b.dst AND a.t <> b.t), "
-        "kk AS (SELECT src, dst, i, list_sort(list(greatest(u, v)))[5] AS eps FROM dd GROUP BY 1, 2, 3), "
+        "kk AS (SELECT src, dst, i, min(greatest(u, v), 5)[5] AS eps FROM dd GROUP BY 1, 2, 3), "
         "cc AS (SELECT dd.src, dd.dst, dd.i, count(*) FILTER (u < eps OR (eps = 0 AND u = 0)) + 1 AS nx, count(*) FILTER (v < eps OR (eps = 0 AND v = 0)) + 1 AS ny FROM dd JOIN kk USING (src, dst, i) GROUP BY 1, 2, 3), "
         "mm AS (SELECT src, dst, avg(px.h + py.h) AS s, count(*) AS n FROM cc JOIN psi px ON px.m = nx JOIN psi py ON py.m = ny GROUP BY 1, 2) "
         "SELECT src, dst, round(greatest(0.0, pn.h + pk.h - s), 6) + 0.0 AS value FROM mm JOIN psi pn ON pn.m = n JOIN psi pk ON pk.m = 5"
@@ -78,7 +76,7 @@ def cmi_sql() -> str:
         + f", cc0 AS MATERIALIZED (SELECT * FROM p WHERE {cond}), pt AS MATERIALIZED ({' UNION ALL '.join(parts)}), "
         "psi AS MATERIALIZED (SELECT m, sum(CASE WHEN m > 1 THEN 1.0 / (m - 1) ELSE 0 END) OVER (ORDER BY m) - 0.5772156649015329 AS h FROM (SELECT unnest(range(1, 20000)) AS m)), "
         "dd AS MATERIALIZED (SELECT a.src, a.dst, a.t AS i, abs(a.x - b.x) AS u, abs(a.y - b.y) AS v, abs(a.z - b.z) AS q FROM pt a JOIN pt b ON a.src = b.src AND a.dst = b.dst AND a.t <> b.t), "
-        "kk AS (SELECT src, dst, i, list_sort(list(greatest(u, v, q)))[5] AS eps FROM dd GROUP BY 1, 2, 3), "
+        "kk AS (SELECT src, dst, i, min(greatest(u, v, q), 5)[5] AS eps FROM dd GROUP BY 1, 2, 3), "
         "cc AS (SELECT dd.src, dd.dst, dd.i, count(*) FILTER (greatest(u, q) < eps) + 1 AS nxz, count(*) FILTER (greatest(v, q) < eps) + 1 AS nyz, count(*) FILTER (q < eps) + 1 AS nz FROM dd JOIN kk USING (src, dst, i) GROUP BY 1, 2, 3), "
         "mm AS (SELECT src, dst, avg(a.h + b.h - c.h) AS s FROM cc JOIN psi a ON a.m = nxz JOIN psi b ON b.m = nyz JOIN psi c ON c.m = nz GROUP BY 1, 2) "
         "SELECT src, dst, round(greatest(0.0, pk.h - s), 6) + 0.0 AS value FROM mm JOIN psi pk ON pk.m = 5"

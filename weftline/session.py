@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -49,3 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
         shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
     sc.setCheckpointDir(shared)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once so that later branches read it instead of redoing it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
