@@ -144,19 +144,12 @@ def te_complete(panel: Panel, lag: int = 1, bins: int = BINS, pairs=None) -> Dat
         return {f"{c}@h": _history([F.lag(q(c), k).over(w) for k in range(1, lag + 1)], bins) for c in panel.channels}
 
     h = rolling(codes, [], "t", history, before=lag, size=panel.block)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("src"),
-                F.lit(b).alias("dst"),
-                q(b).alias("sy"),
-                F.col(f"`{b}@h`").alias("hy"),
-                F.col(f"`{a}@h`").alias("hx"),
-            )
-            for a, b in panel.pair_list(True, pairs)
-        ]
-    )
-    flat = h.select(F.explode(cells).alias("c")).select("c.*").filter("hx IS NOT NULL AND hy IS NOT NULL")
+    now = F.array(*[q(c) for c in panel.channels]).alias("s")
+    past = F.array(*[F.col(f"`{c}@h`") for c in panel.channels]).alias("h")
+    index = panel.pair_index([(a, b, 0) for a, b in panel.pair_list(True, pairs)])
+    flat = h.select(now, past, F.explode(index).alias("c")).select(
+        "c.src", "c.dst", F.get("s", F.col("c.j")).alias("sy"), F.get("h", F.col("c.j")).alias("hy"), F.get("h", F.col("c.i")).alias("hx")
+    ).filter("hx IS NOT NULL AND hy IS NOT NULL")
     return _te_from_counts(flat.groupBy("src", "dst", "sy", "hy", "hx").agg(F.count(F.lit(1)).alias("c")), PAIR, bins ** (2 * lag + 1))
 
 

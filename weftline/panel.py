@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import BLOCK, positions, rolling
+from weftline.session import staged
 
 MAX_CHANNEL_COLUMNS = 10_000
 
@@ -77,10 +79,12 @@ class Panel:
             v = F.when(hit, finite(F.col(value)))
             return F.avg(v) if aggregate == "mean" else F.sum(v)
 
+        # the panel is far smaller than its source and every metric reads it many times, so it is
+        # written once; the source is scanned a single time
         binned = df.groupBy(bucket.cast("bigint").alias("_bucket")).agg(*[cell(c).alias(c) for c in names])
-        numbered = positions(binned, [], "_bucket", out="t", size=1024).drop("_bucket")
+        numbered = positions(staged(binned), [], "_bucket", out="t", size=1024).drop("_bucket")
         frame = numbered.select("t", *[F.col(f"`{c}`") for c in names])
-        return cls(frame, names, block, complete=aggregate == "count")
+        return cls(staged(frame), names, block, complete=aggregate == "count")
 
     # -- shapes -----------------------------------------------------------------------
     def with_frame(self, frame: DataFrame, channels: Sequence[str] | None = None) -> Panel:
@@ -105,10 +109,9 @@ class Panel:
 
     def long(self) -> DataFrame:
         """``t, channel, value`` with NULL cells kept (a narrow operation)."""
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("channel"), self.col(c).alias("value")) for c in self.channels]
-        )
-        return self.frame.select("t", F.explode(cells).alias("c")).select("t", "c.channel", "c.value")
+        cells = F.posexplode(F.array(*[self.col(c) for c in self.channels])).alias("k", "value")
+        names = F.from_json(F.lit(json.dumps(list(self.channels))), "array<string>")
+        return self.frame.select("t", cells).select("t", F.get(names, F.col("k")).alias("channel"), "value")
 
     def pair_list(self, directed: bool, pairs: Iterable[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
         names = list(self.channels)
@@ -147,22 +150,23 @@ class Panel:
         ``lag`` positions ahead.
         """
         todo = self.pair_list(directed, pairs)
-
-        def y_of(c: str, lag: int) -> Column:
-            return F.col(f"`{c}@{lag}`") if lag else self.col(c)
-
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("src"),
-                    F.lit(b).alias("dst"),
-                    F.lit(lag).alias("lag"),
-                    self.col(a).alias("x"),
-                    y_of(b, lag).alias("y"),
-                )
-                for a, b in todo
-                for lag in lags
-            ]
-        )
-        out = self.shifted(lags).select("t", F.explode(cells).alias("c"))
-        return out.select("c.src", "c.dst", "c.lag", "t", "c.x", "c.y").filter("x IS NOT NULL AND y IS NOT NULL")
+        shifts = sorted({int(v) for v in lags if v})
+        base = {0: 0, **{v: len(self.channels) * (i + 1) for i, v in enumerate(shifts)}}
+        values = [self.col(c) for c in self.channels] + [F.col(f"`{c}@{v}`") for v in shifts for c in self.channels]
+        combos = [(a, b, v) for a, b in todo for v in lags]
+        index = self.pair_index(combos, {v: base[int(v)] for v in lags})
+        out = self.shifted(lags).select("t", F.array(*values).alias("v"), F.explode(index).alias("c"))
+        out = out.select("c.src", "c.dst", "c.lag", "t", F.get("v", F.col("c.i")).alias("x"), F.get("v", F.col("c.j")).alias("y"))
+        return out.filter("x IS NOT NULL AND y IS NOT NULL")
+
+    def pair_index(self, combos: Sequence[tuple[str, str, int]], base: dict[int, int] | None = None) -> Column:
+        """Constant array of (src, dst, lag, i, j): pairs with the slots of both values.
+
+        One constant and one explode keep generated code small however many pairs there are.
+        """
+        rank = {c: i for i, c in enumerate(self.channels)}
+        rows = [
+            {"src": a, "dst": b, "lag": int(v), "i": rank[a], "j": rank[b] + (base or {}).get(v, 0)} for a, b, v in combos
+        ]
+        schema = "array<struct<src: string, dst: string, lag: int, i: int, j: int>>"
+        return F.from_json(F.lit(json.dumps(rows)), schema)
