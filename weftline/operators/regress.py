@@ -189,7 +189,7 @@ def ljung_box(long: DataFrame, lags: int | None = None) -> DataFrame:
         q, pv = ljung_box_of(p, h)
         return {"lb_lags": float(h), "lb_q": q, "lb_p": pv}
 
-    return per_channel(lag_profile(closed_up(long), (lags or 20) + 1), fn, "lb_lags double, lb_q double, lb_p double")
+    return per_channel(lag_profile(staged(closed_up(long)), (lags or 20) + 1), fn, "lb_lags double, lb_q double, lb_p double")
 
 
 def autocorr_summary(long: DataFrame, max_lag: int | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def ar_coefficients(long: DataFrame, order: int) -> DataFrame:
         g = p.gram(order, order)[1:, 1:]
         return {"coef": np.linalg.lstsq(g[1:, 1:], g[1:, 0], rcond=None)[0].tolist()}
 
-    return per_channel(lag_profile(closed_up(long), order + 1, centre=False), fn, "coef array<double>", centred=False)
+    return per_channel(lag_profile(staged(closed_up(long)), order + 1, centre=False), fn, "coef array<double>", centred=False)
 
 
 def prewhiten(long: DataFrame, order: int = 1) -> DataFrame:
@@ -276,7 +276,7 @@ def ar_diagnostics(long: DataFrame, order: int = 1) -> DataFrame:
     cols = ("phi1", "r1", "rp", "lb_p")
 
     def table(df: DataFrame, suffix: str) -> DataFrame:
-        t = per_channel(lag_profile(closed_up(df), reach), fn, "phi1 double, r1 double, rp double, lb_p double")
+        t = per_channel(lag_profile(staged(closed_up(df)), reach), fn, "phi1 double, r1 double, rp double, lb_p double")
         return t.select("channel", *[F.col(c).alias(f"{c}_{suffix}") for c in cols])
 
     return table(long, "before").join(table(prewhiten(long, order), "after"), "channel", "full")
