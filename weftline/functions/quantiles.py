@@ -68,23 +68,23 @@ def quantiles(
     wanted = F.lit([float(probs[m]) for m in names])
     plan = grid.select(*keys, F.transform(wanted, bracket).alias("_b"))
     joined = data.join(plan, keys)
-    hits = joined.select(*keys, "_v", F.explode("_b").alias("b")).filter("_v <= b.hi").select(
-        *keys, "b.i", "b.k", "b.frac", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v")
+    hits = joined.select(*keys, "_v", F.explode("_b").alias("_e")).filter("_v <= _e.hi").select(
+        *keys, F.col("_e.i").alias("_i"), F.col("_e.k").alias("_k"), F.col("_e.frac").alias("_frac"), F.when(F.col("_v") >= F.col("_e.lo"), F.col("_v")).alias("_v")
     )
-    counts = hits.groupBy(*keys, "i", "k", "frac", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "i", "k", "frac").orderBy(F.col("_v").asc_nulls_first())
+    counts = hits.groupBy(*keys, "_i", "_k", "_frac", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_i", "_k", "_frac").orderBy(F.col("_v").asc_nulls_first())
     cum = counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stats = cum.groupBy(*keys, "i", "k", "frac").agg(
+    stats = cum.groupBy(*keys, "_i", "_k", "_frac").agg(
         F.max(F.when(F.col("_v").isNull(), F.col("_cum"))).alias("_below"),
-        F.min(F.when(F.col("_cum") >= F.col("k"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") >= F.col("k") + 1, F.col("_v"))).alias("_z"),
+        F.min(F.when(F.col("_cum") >= F.col("_k"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_cum") >= F.col("_k") + 1, F.col("_v"))).alias("_z"),
     )
     exact = (
-        F.when(F.col("_below") >= F.col("k"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+        F.when(F.col("_below") >= F.col("_k"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
         .when(F.col("_a").isNull(), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("_a") + F.col("frac") * (F.coalesce("_z", "_a") - F.col("_a")))
+        .otherwise(F.col("_a") + F.col("_frac") * (F.coalesce("_z", "_a") - F.col("_a")))
     )
-    vals = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", exact.alias("q")))).alias("_q"))
+    vals = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", exact.alias("q")))).alias("_q"))
     return vals.select(*keys, *[F.col("_q")[i].alias(m) for i, m in enumerate(names)])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions
 from weftline.functions.quantiles import sketch
+from weftline.functions.strips import count_below, tops
 
 SPLITS = 128
 
@@ -27,8 +28,9 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int = SP
     cuts = counts.groupBy(*keys).agg(
         sketch(f"`{value}`", [i / splits for i in range(1, splits)]).alias("_cuts")
     )
-    v = F.col(value)
-    marked = counts.join(cuts, keys).withColumn("_vb", F.size(F.filter("_cuts", lambda s: s < v))).drop("_cuts")
+    cuts = cuts.withColumn("_top", tops(F.col("_cuts")))
+    bucket = count_below(F.col("_cuts"), F.col("_top"), F.col(value))
+    marked = counts.join(cuts, keys).withColumn("_vb", bucket).drop("_cuts", "_top")
     sums = marked.groupBy(*keys, "_vb").agg(F.sum("cnt").alias("_s"), F.count(F.lit(1)).alias("_d"))
     below = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

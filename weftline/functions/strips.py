@@ -16,10 +16,29 @@ from weftline.functions.quantiles import sketch
 GRID = 256
 
 
+WIDTH = 16  # splitters compared at once by count_below
+
+
+def tops(cuts: Column) -> Column:
+    """Last splitter of each run of ``WIDTH``."""
+    return F.filter(cuts, lambda s, i: (i + 1) % WIDTH == 0)
+
+
+def count_below(cuts: Column, top: Column, v: Column) -> Column:
+    """How many sorted splitters lie below v, in two short scans instead of one long one."""
+    runs = F.size(F.filter(top, lambda s: s < v))
+    rest = F.slice(cuts, runs * WIDTH + 1, WIDTH)
+    return runs * WIDTH + F.size(F.filter(rest, lambda s: s < v))
+
+
+def _same_as_before(values: Column):
+    return lambda s, i: (i > 0) & (F.get(values, i - 1) == s)
+
+
 def add_splitters(
     points: DataFrame, keys: Sequence[str], values: Sequence[str], target: int | Column, grid: int = GRID
 ) -> DataFrame:
-    """Join ``n`` and one splitter array ``cut_<value>`` per value onto the points.
+    """Join ``n`` and, per value, its distinct splitters, their tops and the repeated ones onto the points.
 
     The number of strips is about n / target (a number or an expression over ``n``), at most ``grid``.
     """
@@ -31,20 +50,26 @@ def add_splitters(
     strips = F.greatest(F.lit(1), F.least(F.lit(grid), F.ceil(F.col("n") / target)))
     step = F.ceil(F.lit(grid) / strips).cast("int")
     for v in values:
-        picked = F.filter(f"_g_{v}", lambda s, i: (i + 1) % step == 0)
-        stats = stats.withColumn(f"cut_{v}", picked)
-    return points.join(stats.select(*keys, "n", *[f"cut_{v}" for v in values]), keys)
+        stats = stats.withColumn(f"_p_{v}", F.filter(f"_g_{v}", lambda s, i: (i + 1) % step == 0))
+    cols = []
+    for v in values:
+        picked = F.col(f"_p_{v}")
+        cut = F.array_distinct(picked)
+        repeated = F.array_distinct(F.filter(picked, _same_as_before(picked)))
+        cols += [cut.alias(f"cut_{v}"), tops(cut).alias(f"top_{v}"), repeated.alias(f"rep_{v}")]
+    return points.join(stats.select(*keys, "n", *cols), keys)
 
 
 def strip_code(value: str) -> Column:
-    """Even: number of distinct splitters below the value, doubled; odd: the value is a splitter."""
-    cuts, v = F.array_distinct(F.col(f"cut_{value}")), F.col(value)
-    return F.size(F.filter(cuts, lambda s: s < v)) * 2 + F.array_contains(cuts, v).cast("int")
+    """Even: number of splitters below the value, doubled; odd: the value is a splitter."""
+    v = F.col(value)
+    below = count_below(F.col(f"cut_{value}"), F.col(f"top_{value}"), v)
+    hit = F.coalesce(F.get(f"cut_{value}", below) == v, F.lit(False))
+    return below * 2 + hit.cast("int")
 
 
 def heavy_code(value: str) -> Column:
     """Like ``strip_code`` but odd only for splitters that repeat, so odd strips are never tiny."""
-    cuts, v = F.col(f"cut_{value}"), F.col(value)
-    distinct = F.array_distinct(cuts)
-    repeats = F.size(F.filter(cuts, lambda s: s == v)) > 1
-    return F.size(F.filter(distinct, lambda s: s < v)) * 2 + repeats.cast("int")
+    v = F.col(value)
+    below = count_below(F.col(f"cut_{value}"), F.col(f"top_{value}"), v)
+    return below * 2 + F.array_contains(f"rep_{value}", v).cast("int")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.panel import Panel
+from weftline.panel import Panel, clamped
 
 PAIR = ["src", "dst"]
 WIDE = 32
@@ -27,7 +27,7 @@ def pearson(x: str = "x", y: str = "y", min_n: int = 3) -> Column:
     sy = F.stddev_pop(F.when(both, F.col(y)))
     ok = (F.count(F.when(both, 1)) >= min_n) & (sx > 1e-12) & (sy > 1e-12)
     r = F.covar_pop(x, y) / F.when(ok, sx * sy)
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return clamped(r, -1.0, 1.0)
 
 
 def corr_points(points: DataFrame, keys: Sequence[str] = PAIR, min_n: int = 3) -> DataFrame:
@@ -95,7 +95,7 @@ def gram_correlation(panel: Panel, lag: int = 0) -> DataFrame:
     floor = F.col("n") * 1e-24
     ok = (vx > floor) & (vy > floor)
     name_of = F.array(*[F.lit(c) for c in names])
-    r = F.greatest(F.least(cov / F.when(ok, F.sqrt(vx * vy)), F.lit(1.0)), F.lit(-1.0))
+    r = clamped(cov / F.when(ok, F.sqrt(vx * vy)), -1.0, 1.0)
     return sums.filter(f"n >= {4 if lag else 3}").select(
         F.get(name_of, F.col("i")).alias("src"), F.get(name_of, F.col("j")).alias("dst"), r.alias("value")
     )

@@ -41,7 +41,7 @@ def _cells(points: DataFrame, keys: list[str], strip: int) -> DataFrame:
     cut = add_splitters(base, keys, ["v", "u"], target)
     cell = heavy_code("v")
     sub = F.when(cell % 2 == 1, heavy_code("u")).otherwise(F.lit(0))
-    return cut.withColumn("cell", cell).withColumn("sub", sub).drop("cut_v", "cut_u", "n")
+    return cut.withColumn("cell", cell).withColumn("sub", sub).drop(*[f"{a}_{b}" for a in ("cut", "top", "rep") for b in "vu"], "n")
 
 
 def _boxes(cells: DataFrame, keys: list[str]) -> DataFrame:

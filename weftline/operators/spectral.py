@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions, rolling
-from weftline.panel import Panel
+from weftline.panel import Panel, clamped
 from weftline.session import staged
 
 PAIR = ["src", "dst"]
@@ -332,7 +332,7 @@ def coherence_bins(points: DataFrame, keys: Sequence[str] = PAIR, fs: float = 1.
     """``keys, k, freq, coh`` with coh clipped to [0, 1]; NULL where a spectrum is zero."""
     s = cross_spectra(points, keys, nperseg)
     c = F.try_divide(F.col("re") * F.col("re") + F.col("im") * F.col("im"), F.col("pxx") * F.col("pyy"))
-    return s.select(*keys, "k", (F.col("k") * F.lit(float(fs)) / F.col("nperseg")).alias("freq"), F.least(c, F.lit(1.0)).alias("coh"))
+    return s.select(*keys, "k", (F.col("k") * F.lit(float(fs)) / F.col("nperseg")).alias("freq"), clamped(c, 0.0, 1.0).alias("coh"))
 
 
 def coherence_points(points: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import distances, information, moments, neighbors
-from weftline.panel import Panel
+from weftline.panel import Panel, clamped
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ def window_moments(
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     ok = (n >= (4 if shifts else 3)) & (vx > n * 1e-24) & (vy > n * 1e-24)
-    r = F.greatest(F.least(cov / F.when(ok, F.sqrt(vx * vy)), F.lit(1.0)), F.lit(-1.0))
+    r = clamped(cov / F.when(ok, F.sqrt(vx * vy)), -1.0, 1.0)
     return s.select(*WINDOW_KEYS, r.alias("value"))
 
 
@@ -213,14 +213,14 @@ def quality(edges: DataFrame, keys: Sequence[str], p_value: bool = False) -> Dat
     """Mean strength of a matrix: mean |v|, or mean -log10(p) clipped to [1e-12, 1]."""
     v = F.col("value")
     finite = v.isNotNull() & ~F.isnan(v)
-    score = -F.log10(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), v))) if p_value else F.abs(v)
+    score = -F.log10(clamped(v, 1e-12, 1.0)) if p_value else F.abs(v)
     return edges.groupBy(*keys).agg(F.avg(F.when(finite, score)).alias("metric"))
 
 
 def pair_scores(edges: DataFrame, directed: bool, p_value: bool = False) -> DataFrame:
     """Strength of one pair: |v|, 1-p for p-values."""
     v = F.col("value")
-    score = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) if p_value else F.abs(v)
+    score = 1 - clamped(v, 0.0, 1.0) if p_value else F.abs(v)
     return edges.withColumn("score", score)
 
 

@@ -21,6 +21,11 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
 
 
+def clamped(c: Column, low: float, high: float) -> Column:
+    """Limit to [low, high]; NULL stays NULL (least and greatest would skip it)."""
+    return F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
+
+
 def channel_names(df: DataFrame, column: str) -> list[str]:
     """Distinct channel names of a long table; channels become columns, so they are few."""
     rows = df.select(column).distinct().orderBy(column).limit(MAX_CHANNEL_COLUMNS + 1).collect()

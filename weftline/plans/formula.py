@@ -34,9 +34,9 @@ class FormulaSpec:
 
 FUNCTIONS = {
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp, "log": F.ln, "sqrt": F.sqrt, "abs": F.abs,
-    "minimum": lambda a, b: F.least(a, b),
-    "maximum": lambda a, b: F.greatest(a, b),
-    "clip": lambda x, lo, hi: F.least(F.greatest(x, lo), hi),
+    "minimum": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)),
+    "maximum": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)),
+    "clip": lambda x, lo, hi: F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi)),
     "where": lambda c, a, b: F.when(c != 0, a).otherwise(b),
 }
 CONSTANTS = {"pi": math.pi, "e": math.e}
