@@ -1,0 +1,56 @@
+"""Scenarios of known structure, and the stream against the batch."""
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import moments, spectral
+from weftline.panel import Panel
+from weftline.plans import validation
+from weftline.streaming import windows
+
+EVENTS = "/root/testdata/sf0.001"
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@pytest.mark.parametrize("make", validation.FULL, ids=lambda f: f.__name__)
+def test_scenario(spark, make):
+    bad = validation.run_validation(spark, [make]).filter("NOT passed").collect()
+    assert not bad
+
+
+def test_coherence_peak(spark):
+    d = validation.coherent_sinusoids()
+    p = Panel.from_wide(spark.createDataFrame(d.rename_axis("t").reset_index()), ["X", "Y"])
+    r = spectral.coherence_peaks(p).first()
+    assert r.freq == pytest.approx(0.047, abs=0.01) and r.coh > 0.9
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    batch = spark.read.parquet(f"{EVENTS}/events.parquet")
+    batch.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    q = (
+        windows.bucket_panel(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", TYPES, watermark="400 days")
+        .writeStream.outputMode("complete").format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("buckets")
+    want = batch.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("bucket")).agg(*[F.avg(F.when(F.col("event_type") == c, F.col("value"))).alias(c) for c in TYPES])
+    assert got.count() == want.count()
+    a = {r.bucket: r.click for r in got.collect()}
+    assert all((r.click is None and a[r.bucket] is None) or a[r.bucket] == pytest.approx(r.click) for r in want.collect())
+    corr = windows.window_correlation(got, "bucket", [("click", "view")], "3650 days", "3650 days").collect()
+    whole = moments.correlation(Panel.from_wide(want.withColumn("t", F.unix_timestamp("bucket")).drop("bucket"), TYPES), [("click", "view")]).first().value
+    assert len(corr) in (1, 2) and (len(corr) == 2 or corr[0].value == pytest.approx(whole))
+
+
+def test_affine_and_monotone_invariance(spark):
+    d = validation.confounded(300).data
+    p = Panel.from_wide(spark.createDataFrame(d.rename_axis("t").reset_index()), list(d.columns))
+    q = p.map_columns(lambda c: c * 3 - 7)
+    a = {(r.src, r.dst): r.value for r in moments.correlation(p).collect()}
+    b = {(r.src, r.dst): r.value for r in moments.correlation(q).collect()}
+    assert a == pytest.approx(b)
+    assert isinstance(d, pd.DataFrame)

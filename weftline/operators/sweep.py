@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import distances, information, moments, neighbors
+from weftline.operators import distances, information, moments, neighbors, regress, spectral
 from weftline.panel import Panel, clamped
 
 
@@ -39,11 +39,19 @@ def _corr(p, keys, lag, bounded):
     return moments.corr_points(p, keys)
 
 
+def _corr_ahead(p, keys, lag, bounded):
+    return moments.corr_points(p, keys, 4)
+
+
 POINT_METRICS: dict[str, PointMetric] = {
     "correlation_full": PointMetric(_corr),
     "h2_full": PointMetric(_squared(_corr)),
-    "correlation_directed": PointMetric(_corr, directed=True, shifts=True),
-    "h2_directed": PointMetric(_squared(_corr), directed=True, shifts=True),
+    "correlation_directed": PointMetric(_corr_ahead, directed=True, shifts=True),
+    "h2_directed": PointMetric(_squared(_corr_ahead), directed=True, shifts=True),
+    "coherence_full": PointMetric(lambda p, keys, lag, bounded: spectral.coherence_points(p, keys)),
+    "granger_full": PointMetric(
+        lambda p, keys, lag, bounded: regress.granger_points(p, lag, keys), directed=True, history=True, p_value=True
+    ),
     "mutinf_full": PointMetric(lambda p, keys, lag, bounded: neighbors.mutual_information(p, keys)),
     "te_full": PointMetric(
         lambda p, keys, lag, bounded: information.transfer_entropy(p, lag, keys=keys, bounded=bounded),
@@ -193,8 +201,9 @@ def lag_edges(panel: Panel, variant: str, lags: Sequence[int], pairs=None) -> Da
         return m.fn(panel.pair_points(True, pairs, lags), keys, lags[0], False)
     if m.history:
         out = None
+        pts = panel.pair_points(True, pairs).drop("lag")
         for lag in lags:
-            one = information.te_full(panel, lag, pairs=pairs).withColumn("lag", F.lit(lag))
+            one = m.fn(pts, ["src", "dst"], lag, False).withColumn("lag", F.lit(lag))
             out = one if out is None else out.unionByName(one)
         return out.select(*keys, "value")
     return m.fn(panel.pair_points(m.directed, pairs).withColumn("lag", F.lit(1)), keys, 1, False)

@@ -21,7 +21,7 @@ def edges_sql(prefix: str, sizes: list[int], lags: list[int], directed: bool, st
         + f", nn AS (SELECT max(t) + 1 AS n FROM p), wz(w, s) AS (VALUES {ws}), lg(lag) AS (VALUES {', '.join(f'({v})' for v in lags)}), "
         "win AS (SELECT w, unnest(range(0, n - w + 1, s)) AS start FROM wz, nn), "
         "we AS MATERIALIZED (SELECT w AS window_size, start, l.lag, a.channel AS src, b.channel AS dst, "
-        "CASE WHEN count(*) >= 3 THEN corr(a.value, b.value) END AS value FROM win JOIN pl a ON a.t >= start AND a.t < start + w "
+        f"CASE WHEN count(*) >= {4 if directed else 3} THEN corr(a.value, b.value) END AS value FROM win JOIN pl a ON a.t >= start AND a.t < start + w "
         f"JOIN lg l ON true JOIN pl b ON b.t = a.t + {shift} AND b.t < start + w AND {order} "
         "WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL), "
         "wq AS (SELECT window_size, start, lag, avg(abs(value)) AS metric FROM we GROUP BY ALL)"
