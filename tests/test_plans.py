@@ -149,6 +149,13 @@ def test_ar1_across_blocks(spark):
 
 
 def test_generators(spark):
+    c = formula.coupled_system(spark, 600)
+    assert c.frame.count() == 550 and c.channels[0] == "Source (X)"
+    from weftline.operators.moments import lagged_correlation
+
+    got = {(r.src, r.dst): r.value for r in lagged_correlation(c, [1], [("Source (X)", "Target (Y)"), ("Target (Y)", "Source (X)")]).collect()}
+    assert got[("Source (X)", "Target (Y)")] > 0.6
+    assert formula.chain_system(spark, 100).frame.count() == 50
     assert formula.random_walks(spark, 2, 30).frame.count() == 30
     assert formula.independent_ar1(spark, 2, 30).channels == ("AR1_1", "AR1_2")
 
@@ -192,3 +199,16 @@ def test_run_keeps_contracts(spark):
     assert set(a.scans["correlation_directed"]) == {"window_pos", "window_size", "lag", "cube", "cube_edges", "gallery"}
     table, world = a.graph("correlation_directed", 0.5)
     assert world["density"] == 0.5 and not world["is_connected"]
+
+
+def test_many_channels_use_explodes(spark, monkeypatch):
+    from weftline import panel as panel_module
+
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(40, 4))
+    a[3, 1] = np.nan
+    p = Panel.from_wide(spark.createDataFrame(pd.DataFrame({"t": range(40), **{f"c{i}": a[:, i] for i in range(4)}})))
+    few = {d: sorted(map(tuple, p.pair_points(d, None, (1, 2) if d else (0,)).collect())) for d in (False, True)}
+    monkeypatch.setattr(panel_module, "MANY_CHANNELS", 2)
+    many = {d: sorted(map(tuple, p.pair_points(d, None, (1, 2) if d else (0,)).collect())) for d in (False, True)}
+    assert few == many

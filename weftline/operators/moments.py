@@ -18,6 +18,7 @@ from weftline.panel import Panel, clamped
 
 PAIR = ["src", "dst"]
 WIDE = 32
+GRAM_LIMIT = 1024  # a task holds a few N x N blocks; wider panels go through pair points
 
 
 def pearson(x: str = "x", y: str = "y", min_n: int = 3) -> Column:
@@ -36,7 +37,7 @@ def corr_points(points: DataFrame, keys: Sequence[str] = PAIR, min_n: int = 3) -
 
 def correlation(panel: Panel, pairs=None) -> DataFrame:
     """Undirected Pearson edges (src before dst in channel order)."""
-    if pairs is None and len(panel.channels) > WIDE:
+    if pairs is None and WIDE < len(panel.channels) <= GRAM_LIMIT:
         return gram_correlation(panel)
     return corr_points(panel.pair_points(False, pairs))
 
@@ -44,7 +45,7 @@ def correlation(panel: Panel, pairs=None) -> DataFrame:
 def lagged_correlation(panel: Panel, lags: Sequence[int] = (1,), pairs=None) -> DataFrame:
     """Directed edges r(src[t], dst[t+lag]) for every lag in one pass."""
     lags = [max(1, int(v)) for v in lags]
-    if pairs is None and len(panel.channels) > WIDE and len(lags) == 1:
+    if pairs is None and WIDE < len(panel.channels) <= GRAM_LIMIT and len(lags) == 1:
         return gram_correlation(panel, lags[0]).withColumn("lag", F.lit(lags[0]))
     return corr_points(panel.pair_points(True, pairs, lags), ["src", "dst", "lag"], 4)
 

@@ -17,6 +17,9 @@ from weftline.operators.moments import gram_sets
 from weftline.panel import Panel
 
 
+GRAM_ROWS = 4096
+
+
 @dataclass(frozen=True)
 class Reduced:
     panel: Panel
@@ -160,6 +163,8 @@ def pca_gram(long: DataFrame, length: int, target_n: int | None = None, target_v
     Rows of the transposed panel are channels, so the Gram matrix is T x T and channels stay
     distributed.  Returns (scores ``t, channel, value``; mapping ``source, target, weight``; meta).
     """
+    if length > GRAM_ROWS:
+        raise ValueError(f"the time-side matrix takes at most {GRAM_ROWS} positions; use pca, which takes any number")
     stats = long.groupBy("channel").agg(
         F.avg(F.coalesce("value", F.lit(0.0))).alias("m"), F.stddev_pop(F.coalesce("value", F.lit(0.0))).alias("s")
     )

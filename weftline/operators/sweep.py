@@ -258,17 +258,17 @@ def extremes(items: DataFrame, keys: Sequence[str], id_col: str, order: str, met
 
     Items are evaluated configurations (a few hundred per group), hence the plain percentile.
     """
+    if not keys:
+        return extremes(items.withColumn("_all", F.lit(0)), ["_all"], id_col, order, metric).drop("_all")
     keys = list(keys)
     ok = items.filter(F.col(metric).isNotNull() & ~F.isnan(metric))
     v, o = F.col(metric), F.col(order)
-    med = ok.groupBy(*keys).agg(F.percentile(metric, F.lit(0.5)).alias("_med")) if keys else ok.agg(F.percentile(metric, F.lit(0.5)).alias("_med"))
-    joined = ok.join(med, keys) if keys else ok.join(med)
-    aggs = [
+    med = ok.groupBy(*keys).agg(F.percentile(metric, F.lit(0.5)).alias("_med"))
+    return ok.join(med, keys).groupBy(*keys).agg(
         F.max_by(id_col, F.struct(v, o)).alias("best"),
         F.min_by(id_col, F.struct(F.abs(v - F.col("_med")), v, o)).alias("median"),
         F.min_by(id_col, F.struct(v, o)).alias("worst"),
-    ]
-    return joined.groupBy(*keys).agg(*aggs) if keys else joined.agg(*aggs)
+    )
 
 
 # -- scans -----------------------------------------------------------------------------------

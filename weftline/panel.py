@@ -13,6 +13,7 @@ from weftline.functions.blocks import BLOCK, positions, rolling
 from weftline.session import staged
 
 MAX_CHANNEL_COLUMNS = 10_000
+MANY_CHANNELS = 150  # above this, pairs are made by explodes instead of a constant list
 
 
 def finite(c: Column) -> Column:
@@ -154,6 +155,8 @@ class Panel:
         A narrow expansion of each row (one output row per pair and lag); y is taken
         ``lag`` positions ahead.
         """
+        if pairs is None and len(self.channels) > MANY_CHANNELS:
+            return self._all_pair_points(directed, lags)
         todo = self.pair_list(directed, pairs)
         shifts = sorted({int(v) for v in lags if v})
         base = {0: 0, **{v: len(self.channels) * (i + 1) for i, v in enumerate(shifts)}}
@@ -164,6 +167,26 @@ class Panel:
         out = out.select("c.src", "c.dst", "c.lag", "t", F.get("v", F.col("c.i")).alias("x"), F.get("v", F.col("c.j")).alias("y"))
         return out.filter("x IS NOT NULL AND y IS NOT NULL")
 
+    def _all_pair_points(self, directed: bool, lags: Sequence[int]) -> DataFrame:
+        """All pairs by two nested explodes of the row's value array (no constant list of pairs)."""
+        n = len(self.channels)
+        names = F.from_json(F.lit(json.dumps(list(self.channels))), "array<string>")
+        ahead = [
+            F.struct(F.lit(int(v)).alias("lag"), F.array(*[F.col(f"`{c}@{v}`") if v else self.col(c) for c in self.channels]).alias("w"))
+            for v in lags
+        ]
+        own = F.array(*[self.col(c) for c in self.channels]).alias("v")
+        rows = self.shifted(lags).select("t", own, F.explode(F.array(*ahead)).alias("l")).select("t", "v", "l.lag", "l.w")
+        first = rows.select("t", "lag", "w", F.posexplode("v").alias("i", "x")).filter("x IS NOT NULL")
+        if directed:
+            both = first.select("t", "lag", "i", "x", F.posexplode("w").alias("j", "y")).filter("i <> j")
+        else:
+            rest = F.posexplode(F.slice("w", F.col("i") + 2, n)).alias("d", "y")
+            both = first.select("t", "lag", "i", "x", rest).withColumn("j", F.col("i") + F.col("d") + 1)
+        return both.filter("y IS NOT NULL").select(
+            F.get(names, F.col("i")).alias("src"), F.get(names, F.col("j")).alias("dst"), "lag", "t", "x", "y"
+        )
+
     def pair_index(self, combos: Sequence[tuple[str, str, int]], base: dict[int, int] | None = None) -> Column:
         """Constant array of (src, dst, lag, i, j): pairs with the slots of both values.
 

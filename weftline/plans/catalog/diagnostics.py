@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.operators import diagnostics as diag
 from weftline.plans.catalog.base import Tables, query, r6
+from weftline.plans.catalog.reductions import coords
 from weftline.plans.catalog.spectra import CLOSED, EV
 
 
@@ -72,3 +73,14 @@ def qc_table_adf(tb: Tables):
 def diagnostics(tb: Tables):
     d = diag.diagnostics(tb.ev_mean().long())
     return d.select("channel", *[r6(c, 4).alias(c) for c in d.columns if c != "channel"])
+
+
+@query(
+    "qc_coords",
+    "WITH e AS (SELECT vec_id AS t, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) "
+    "SELECT printf('d%02d', k) AS voxel_id, round(avg(v::DOUBLE), 6) + 0.0 AS mean, round(stddev_pop(v::DOUBLE), 6) + 0.0 AS std, k // 16 AS x, (k // 4) % 4 AS y, k % 4 AS z FROM e GROUP BY k",
+)
+def qc_coords(tb: Tables):
+    """Quality table left-joined to the grid position of each channel."""
+    q = diag.quality_table(tb.embedding_panel().long(), coords(tb), with_adf=False)
+    return q.select("voxel_id", r6("mean").alias("mean"), r6("std").alias("std"), "x", "y", "z")

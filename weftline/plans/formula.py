@@ -185,3 +185,40 @@ def random_walks(spark: SparkSession, n_vars: int = 5, n_samples: int = 500, see
 def independent_ar1(spark: SparkSession, n_vars: int = 3, n_samples: int = 500, phi: float = 0.7, noise: float = 0.5, seed: int = 42) -> Panel:
     specs = [FormulaSpec(f"AR1_{i + 1}", f"ar1({phi}, {noise})") for i in range(n_vars)]
     return formula_dataset(spark, n_samples, seed=seed, specs=specs)
+
+
+def _driven(frame: DataFrame, column: str, parts: dict[str, float], noise: float, phi: float, seed: int, extra: Column | None = None) -> DataFrame:
+    """Add ``column`` = phi * itself one step back + weighted channels one step back + noise."""
+    from weftline.functions.blocks import rolling
+
+    back = rolling(frame, [], "t", lambda w: {f"_{c}": F.lag(F.col(f"`{c}`"), 1, 0.0).over(w) for c in parts}, before=1) if parts else frame
+    push = F.randn(seed) * noise
+    for c, weight in parts.items():
+        push = push + F.col(f"_{c}") * weight
+    if extra is not None:
+        push = push + extra
+    return autoregress(back.withColumn(column, push).drop(*[f"_{c}" for c in parts]), column, phi)
+
+
+def _warmed(frame: DataFrame, names: dict[str, str], skip: int = 50) -> Panel:
+    kept = frame.filter(F.col("t") >= skip)
+    return Panel(kept.select((F.col("t") - skip).alias("t"), *[F.col(a).alias(b) for a, b in names.items()]), tuple(names.values()))
+
+
+def coupled_system(spark: SparkSession, n_samples: int = 500, coupling: float = 0.8, noise: float = 0.2, seed: int = 42) -> Panel:
+    """An autoregressive source driving a target, a random walk, and a season; 50 warm-up rows drop."""
+    f = spark.range(n_samples).select(F.col("id").alias("t"))
+    f = _driven(f, "x", {}, 1.0, 0.5, seed)
+    f = _driven(f, "y", {"x": coupling}, noise, 0.5, seed + 1)
+    f = running_sum(f.withColumn("zs", F.randn(seed + 2)), [], "t", "zs", "z")
+    f = f.withColumn("s", F.sin(F.col("t") * (2 * math.pi / 50)) + F.randn(seed + 3) * 0.1)
+    return _warmed(f, {"x": "Source (X)", "y": "Target (Y)", "z": "Noise (Z)", "s": "Season (S)"})
+
+
+def chain_system(spark: SparkSession, n_samples: int = 500, coupling: float = 0.8, noise: float = 0.2, season: int = 50, seed: int = 42) -> Panel:
+    """X1 drives X2 drives X3 drives X4, each one step later; X1 carries a season."""
+    f = spark.range(n_samples).select(F.col("id").alias("t"))
+    f = _driven(f, "X1", {}, noise, 0.6, seed, F.sin(F.col("t") * (2 * math.pi / season)))
+    for i in (2, 3, 4):
+        f = _driven(f, f"X{i}", {f"X{i - 1}": coupling}, noise, 0.6, seed + i)
+    return _warmed(f, {f"X{i}": f"X{i}" for i in (1, 2, 3, 4)})
