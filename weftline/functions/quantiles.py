@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 512
-ACCURACY = 10000
+ACCURACY = 2000
 
 
 def sketch(value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> Column:

@@ -79,7 +79,7 @@ def fdr_bh(df: DataFrame, p: str = "value", keys: Sequence[str] = (), out: str =
     data = df.withColumn("_p", F.when(~F.isnan(p), F.col(p)))
     if not keys:
         data, keys = data.withColumn("_all", F.lit(0)), ["_all"]
-    r = value_ranks(data, keys, "_p").withColumn("_raw", F.col("_p") * F.col("total") / F.col("rmax"))
+    r = staged(value_ranks(data, keys, "_p").withColumn("_raw", F.col("_p") * F.col("total") / F.col("rmax")))
     later = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(1, Window.unboundedFollowing)
     carry = r.groupBy(*keys, "_vb").agg(F.min("_raw").alias("_m")).select(*keys, "_vb", F.min("_m").over(later).alias("_next"))
     local = Window.partitionBy(*keys, "_vb").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions, rolling
 from weftline.functions.special import digamma_int
-from weftline.functions.strips import add_splitters, heavy_code
+from weftline.functions.strips import add_splitters, count_below, heavy_code, tops
 from weftline.operators.moments import gram, linear_residual, residualize, solve_ols
 from weftline.panel import Panel
 from weftline.session import staged
 
 PAIR = ["src", "dst"]
 K = 5
-STRIP = 4096
+STRIP = 1024
 CHUNK = 1 << 21  # distances held at once
 
 
@@ -45,11 +45,29 @@ def _cells(points: DataFrame, keys: list[str], strip: int) -> DataFrame:
 
 
 def _boxes(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the list of its strips with their extent and weight (bounded by the sketch grid)."""
+    """Per group its strips in value order (bounded by the sketch grid), with sorted bounds to search.
+
+    ``los, his`` and their tops locate a range of strips; ``cum`` holds running weights.
+    """
     one = cells.groupBy(*keys, "cell", "sub").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("u").alias("ulo"), F.max("u").alias("uhi"), F.sum("w").alias("wt")
     )
-    return one.groupBy(*keys).agg(F.collect_list(F.struct("cell", "sub", "lo", "hi", "ulo", "uhi", "wt")).alias("boxes"))
+    item = F.struct("lo", "hi", "ulo", "uhi", "cell", "sub", "wt")
+    b = one.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
+    b = b.withColumn("los", F.col("boxes.lo")).withColumn("his", F.col("boxes.hi"))
+    total = F.transform(
+        F.sequence(F.lit(0), F.size("boxes")),
+        lambda i: F.aggregate(F.slice("boxes", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, x: acc + x["wt"]),
+    )
+    return b.withColumn("lot", tops(F.col("los"))).withColumn("hit", tops(F.col("his"))).withColumn("cum", total)
+
+
+def _touched(v: Column, e: Column) -> tuple[Column, Column]:
+    """First touched strip and the number of touched strips (a hair wide; tasks decide exactly)."""
+    slack = (F.abs(v) + e) * 1e-9
+    first = count_below(F.col("his"), F.col("hit"), v - e - slack)
+    last = count_below(F.col("los"), F.col("lot"), v + e + slack + F.lit(1e-300))
+    return first, F.when(last > first, last - first).otherwise(F.lit(0))
 
 
 def _held(cells: DataFrame, keys: list[str]):
@@ -140,13 +158,15 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
     )
     first = zipped(first)
     b, v, u = F.col("bound"), F.col("v"), F.col("u")
+    at, count = _touched(v, b)
     reach = F.filter(
-        "boxes",
-        lambda x: ~((x["cell"] == F.col("cell")) & (x["sub"] == F.col("sub")))
-        & (x["lo"] <= v + b) & (x["hi"] >= v - b) & (x["ulo"] <= u + b) & (x["uhi"] >= u - b),
+        F.slice("boxes", F.col("_at") + 1, F.col("_count")),
+        lambda x: ~((x["cell"] == F.col("cell")) & (x["sub"] == F.col("sub"))) & (x["ulo"] <= u + b) & (x["uhi"] >= u - b),
     )
     visits = (
         first.join(_boxes(cells, keys), keys)
+        .withColumn("_at", at)
+        .withColumn("_count", count)
         .select(*keys, "id", "c", "bound", F.explode(reach).alias("x"))
         .select(*keys, "id", "c", "bound", F.col("x.cell").alias("cell"), F.col("x.sub").alias("sub"))
     )
@@ -219,14 +239,18 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], stri
     u = F.coalesce(F.get("c", F.lit(1)), F.lit(0.0))
 
     def inside(x):
-        one = F.size("c") == 1
-        return one & (F.abs(x["lo"] - v) < e) & (F.abs(x["hi"] - v) < e)
-
-    def touched(x):
-        return (x["lo"] <= v + e) & (x["hi"] >= v - e) & (x["ulo"] <= u + e) & (x["uhi"] >= u - e)
-
-    routed = queries.join(_boxes(cells, keys), keys).withColumn("cut", F.filter("boxes", lambda x: touched(x) & ~inside(x)))
-    whole = F.aggregate(F.filter("boxes", inside), F.lit(0).cast("bigint"), lambda a, x: a + x["wt"])
+        return (F.abs(x["lo"] - v) < e) & (F.abs(x["hi"] - v) < e)
+
+    at, count = _touched(v, e)
+    routed = queries.join(_boxes(cells, keys), keys).withColumn("_at", at).withColumn("_count", count)
+    # one coordinate: strips between the two at either end lie wholly inside and count by their totals
+    low, high = F.col("_at") + 2, F.col("_at") + F.col("_count") - 2
+    whole_middle = (F.size("c") == 1) & (high > low) & inside(F.get("boxes", low)) & inside(F.get("boxes", high - 1))
+    routed = routed.withColumn("_mid", F.coalesce(whole_middle, F.lit(False)))
+    ends = F.concat(F.slice("boxes", F.col("_at") + 1, F.lit(2)), F.slice("boxes", high + 1, F.lit(2)))
+    some = F.filter(F.slice("boxes", F.col("_at") + 1, F.col("_count")), lambda x: (x["ulo"] <= u + e) & (x["uhi"] >= u - e))
+    routed = routed.withColumn("cut", F.when(F.col("_mid"), ends).otherwise(some))
+    whole = F.when(F.col("_mid"), F.get("cum", high) - F.get("cum", low)).otherwise(F.lit(0).cast("bigint"))
     sure = routed.select(*keys, "id", whole.alias("cnt"))
     visits = routed.select(*keys, "id", "c", "eps", F.explode("cut").alias("x")).select(
         *keys, "id", "c", "eps", F.col("x.cell").alias("cell"), F.col("x.sub").alias("sub")
