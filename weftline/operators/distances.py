@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from weftline.functions.strips import add_splitters, strip_code
 from weftline.operators.moments import residual_points
 from weftline.panel import Panel
+from weftline.session import spread
 
 PAIR = ["src", "dst"]
 STRIP = 65536
@@ -112,7 +113,7 @@ def dcor_points(points: DataFrame, keys: Sequence[str] = PAIR, min_n: int = 8, s
         out.iloc[0, out.columns.get_loc("c")] = c
         return out
 
-    after_x = x_in.groupBy(*keys, "bx", "px").applyInPandas(x_strip, x_schema)
+    after_x = spread(x_in, *keys, "bx", "px").groupBy(*keys, "bx", "px").applyInPandas(x_strip, x_schema)
     y_in = after_x.join(_offsets(cut, keys, "by", "y", "_n", "_s", "_t"), [*keys, "by"])
     y_schema = f"{key_types}, n bigint, c double, aa double, bb double, ab double, a double, b double, xx double, yy double, xy double, x double, y double"
 
@@ -130,7 +131,7 @@ def dcor_points(points: DataFrame, keys: Sequence[str] = PAIR, min_n: int = 8, s
             out[name] = float(v)
         return out
 
-    sums = y_in.groupBy(*keys, "by", "py").applyInPandas(y_strip, y_schema)
+    sums = spread(y_in, *keys, "by", "py").groupBy(*keys, "by", "py").applyInPandas(y_strip, y_schema)
 
     # strips that differ on both axes: one row per occupied cell, at most (2 * 256 + 1)^2 per group
     cells = cut.groupBy(*keys, "bx", "by").agg(

@@ -22,7 +22,7 @@ from weftline.functions.special import digamma_int
 from weftline.functions.strips import add_splitters, count_below, heavy_code, tops
 from weftline.operators.moments import gram, linear_residual, residualize, solve_ols
 from weftline.panel import Panel
-from weftline.session import staged
+from weftline.session import spread, staged
 
 PAIR = ["src", "dst"]
 K = 5
@@ -74,7 +74,9 @@ def _held(cells: DataFrame, keys: list[str]):
     """Points grouped by strip under other names, so that both sides of a cogroup differ."""
     names = [*keys, "cell", "sub"]
     rest = [c for c in ("id", "c", "w") if c in cells.columns]
-    return cells.select(*[F.col(c).alias(f"{c}_p") for c in [*names, *rest]]).groupBy(*[f"{c}_p" for c in names])
+    held = cells.select(*[F.col(c).alias(f"{c}_p") for c in [*names, *rest]])
+    by = [f"{c}_p" for c in names]
+    return spread(held, *by).groupBy(*by)
 
 
 def _none(columns: Sequence[str]) -> pd.DataFrame:
@@ -152,7 +154,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         return pdf[[*keys, "id", "c", "w", "v", "u", "cell", "sub"]].assign(bound=bound, **rows(d, i, w))
 
     first = staged(
-        cells.groupBy(*keys, "cell", "sub").applyInPandas(
+        spread(cells, *keys, "cell", "sub").groupBy(*keys, "cell", "sub").applyInPandas(
             own, f"{kt}, id bigint, c array<double>, w bigint, v double, u double, cell int, sub int, bound double, {cand}"
         )
     )
@@ -181,7 +183,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         return q[[*keys, "id"]].assign(**rows(d, i, w))
 
     far = zipped(
-        visits.groupBy(*keys, "cell", "sub")
+        spread(visits, *keys, "cell", "sub").groupBy(*keys, "cell", "sub")
         .cogroup(_held(cells, keys))
         .applyInPandas(other, f"{kt}, id bigint, {cand}")
     )
@@ -274,7 +276,7 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], stri
         return q[[*keys, "id"]].assign(cnt=n.astype("int64"))
 
     part = (
-        visits.groupBy(*keys, "cell", "sub")
+        spread(visits, *keys, "cell", "sub").groupBy(*keys, "cell", "sub")
         .cogroup(_held(cells, keys))
         .applyInPandas(count, f"{kt}, id bigint, cnt bigint")
     )

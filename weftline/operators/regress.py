@@ -19,7 +19,7 @@ from weftline.functions.special import chi2_sf, f_sf, norm_cdf
 from weftline.operators.moments import gram, gram_sets, residualize, solve_ols
 from weftline.operators.spectral import autocorrelation, closed_up, lengths_of
 from weftline.panel import Panel
-from weftline.session import staged
+from weftline.session import spread, staged
 
 PAIR = ["src", "dst"]
 
@@ -39,7 +39,7 @@ def lag_profile(closed: DataFrame, reach: int, centre: bool = True, size: int =
     size = max(size, reach)
     blk = F.floor(F.col("pos") / size)
     near = F.pmod(F.col("pos"), F.lit(size)) < reach
-    spread = d.select(
+    near_rows = d.select(
         "*", F.explode(F.array_compact(F.array(blk, F.when(near & (blk > 0), blk - 1)))).alias("b")
     )
 
@@ -51,7 +51,7 @@ def lag_profile(closed: DataFrame, reach: int, centre: bool = True, size: int =
         return pd.DataFrame({"channel": pdf["channel"].iloc[0], "kind": "s", "i": np.arange(reach + 1), "v": s})
 
     schema = "channel string, kind string, i bigint, v double"
-    sums = spread.groupBy("channel", "b").applyInPandas(products, schema)
+    sums = spread(near_rows, "channel", "b").groupBy("channel", "b").applyInPandas(products, schema)
     sums = sums.groupBy("channel", "kind", "i").agg(F.sum("v").alias("v"))
     head = d.filter(F.col("pos") < reach).select("channel", F.lit("h").alias("kind"), F.col("pos").alias("i"), F.col("z").alias("v"))
     tail = d.filter(F.col("pos") >= F.col("n") - reach).select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions, rolling
 from weftline.panel import Panel, clamped
-from weftline.session import staged
+from weftline.session import spread, staged
 
 PAIR = ["src", "dst"]
 SINGLE = 1 << 20
@@ -324,7 +324,7 @@ def cross_spectra(points: DataFrame, keys: Sequence[str] = PAIR, nperseg: int |
             out[c] = row[c]
         return out
 
-    raw = p.groupBy(*keys, "chunk").applyInPandas(kernel, f"nperseg int, k int, pxx double, pyy double, re double, im double, {kt}")
+    raw = spread(p, *keys, "chunk").groupBy(*keys, "chunk").applyInPandas(kernel, f"nperseg int, k int, pxx double, pyy double, re double, im double, {kt}")
     return raw.groupBy(*keys, "nperseg", "k").agg(*[F.sum(c).alias(c) for c in ("pxx", "pyy", "re", "im")])
 
 

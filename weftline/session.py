@@ -18,6 +18,8 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # rows here cost far more to compute than to move, so small shuffles keep their parallelism
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
@@ -56,3 +58,12 @@ def staged(df: DataFrame) -> DataFrame:
     """Write an expensive intermediate once so that later branches read it instead of redoing it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Partition by the columns over all shuffle partitions.
+
+    Adaptive execution merges partitions by bytes; groups that are small but costly to compute
+    would end up in a few tasks, so their partition count is stated.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
