@@ -27,6 +27,7 @@ from weftline.session import spread, staged
 PAIR = ["src", "dst"]
 K = 5
 STRIP = 1024
+BROADCAST_STRIPS = 200_000  # about 20 MB of strip lists
 CHUNK = 1 << 21  # distances held at once
 
 
@@ -62,6 +63,13 @@ def _boxes(cells: DataFrame, keys: list[str]) -> DataFrame:
     return b.withColumn("lot", tops(F.col("los"))).withColumn("hit", tops(F.col("his"))).withColumn("cum", total)
 
 
+def _with_boxes(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Join each row to its group's strip list: broadcast while the lists are short in total, shuffled beyond."""
+    boxes = staged(_boxes(cells, keys))
+    strips = boxes.agg(F.sum(F.size("boxes"))).first()[0] or 0
+    return df.join(F.broadcast(boxes) if strips <= BROADCAST_STRIPS else boxes, keys)
+
+
 def _touched(v: Column, e: Column) -> tuple[Column, Column]:
     """First touched strip and the number of touched strips (a hair wide; tasks decide exactly)."""
     slack = (F.abs(v) + e) * 1e-9
@@ -166,7 +174,7 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         lambda x: ~((x["cell"] == F.col("cell")) & (x["sub"] == F.col("sub"))) & (x["ulo"] <= u + b) & (x["uhi"] >= u - b),
     )
     visits = (
-        first.join(_boxes(cells, keys), keys)
+        _with_boxes(first, cells, keys)
         .withColumn("_at", at)
         .withColumn("_count", count)
         .select(*keys, "id", "c", "bound", F.explode(reach).alias("x"))
@@ -244,7 +252,7 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], stri
         return (F.abs(x["lo"] - v) < e) & (F.abs(x["hi"] - v) < e)
 
     at, count = _touched(v, e)
-    routed = queries.join(_boxes(cells, keys), keys).withColumn("_at", at).withColumn("_count", count)
+    routed = _with_boxes(queries, cells, keys).withColumn("_at", at).withColumn("_count", count)
     # one coordinate: strips between the two at either end lie wholly inside and count by their totals
     low, high = F.col("_at") + 2, F.col("_at") + F.col("_count") - 2
     whole_middle = (F.size("c") == 1) & (high > low) & inside(F.get("boxes", low)) & inside(F.get("boxes", high - 1))
