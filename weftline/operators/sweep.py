@@ -254,7 +254,7 @@ def best_lag(edges: DataFrame, p_value: bool = False, patience: int = 3) -> Data
 
 
 def extremes(items: DataFrame, keys: Sequence[str], id_col: str, order: str, metric: str = "metric") -> DataFrame:
-    """``best, median, worst`` id per group; ties: last best, first worst, first closest to the median.
+    """``best, median, worst`` id per group; ties: last best, first worst, the lower of two equally close to the median.
 
     Items are evaluated configurations (a few hundred per group), hence the plain percentile.
     """
@@ -266,7 +266,7 @@ def extremes(items: DataFrame, keys: Sequence[str], id_col: str, order: str, met
     med = ok.groupBy(*keys).agg(F.percentile(metric, F.lit(0.5)).alias("_med"))
     return ok.join(med, keys).groupBy(*keys).agg(
         F.max_by(id_col, F.struct(v, o)).alias("best"),
-        F.min_by(id_col, F.struct(F.abs(v - F.col("_med")), v, o)).alias("median"),
+        F.min_by(id_col, F.struct(F.round(F.abs(v - F.col("_med")), 12), v, o)).alias("median"),
         F.min_by(id_col, F.struct(v, o)).alias("worst"),
     )
 

@@ -105,7 +105,7 @@ def scan_cube(tb: Tables):
     "cube_extremes",
     CUBE
     + ", c AS (SELECT *, printf('cube_w%d_l%d_s%d', window_size, lag, start) AS id, quantile_cont(metric, 0.5) OVER () AS med FROM wq WHERE metric IS NOT NULL) "
-    "SELECT arg_max(id, (metric, id)) AS best, arg_min(id, (abs(metric - med), metric, id)) AS median, arg_min(id, (metric, id)) AS worst FROM c",
+    "SELECT arg_max(id, (metric, id)) AS best, arg_min(id, (round(abs(metric - med), 12), metric, id)) AS median, arg_min(id, (metric, id)) AS worst FROM c",
 )
 def cube_extremes(tb: Tables):
     s = sweep.cube_points(sweep.cube_edges(tb.od_day(), "correlation_directed", [200, 400], [1, 2, 3]))
