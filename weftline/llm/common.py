@@ -93,3 +93,47 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(buffers[1], kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+STEP = np.uint64(0x9E3779B97F4A7C15)
+BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_runs(data: np.ndarray, offsets: np.ndarray, inside_of: np.ndarray):
+    """Words of all rows at once: runs of bytes (A-Z lowered) that ``inside_of`` allows.
+
+    Returns the lowered bytes, word starts, word ends, the row of each word and a hash of each word.
+    """
+    low = LOWER[data]
+    inside = inside_of[low]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    if not len(starts):
+        return low, starts, ends, row, np.empty(0, np.uint64)
+    lengths = ends - starts
+    at = np.flatnonzero(inside)
+    within = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), STEP, np.uint64), dtype=np.uint64)
+    sums = np.add.reduceat(BYTE[low[at]] * powers[within], np.cumsum(lengths) - lengths)
+    return low, starts, ends, row, mix64(sums + lengths.astype(np.uint64))
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, whatever row they belong to."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = out * STEP + words[k : k + n]
+    return mix64(out)

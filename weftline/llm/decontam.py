@@ -15,50 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat_bytes, mix64, ready
+from weftline.llm.common import flat_bytes, ready, window_hashes, word_runs
 
 LIMIT = 256 << 20
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
-STEP = np.uint64(0x9E3779B97F4A7C15)
-BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased bytes, word starts, word ends, the row of each word, and a hash of each word."""
-    low = LOWER[data]
-    inside = WORD[low]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
-    first[edges] = inside[edges]
-    last[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(offsets, starts, "right") - 1
-    if not len(starts):
-        return low, starts, ends, row, np.empty(0, np.uint64)
-    lengths = ends - starts
-    at = np.flatnonzero(inside)
-    within = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), STEP, np.uint64), dtype=np.uint64)
-    sums = np.add.reduceat(BYTE[low[at]] * powers[within], np.cumsum(lengths) - lengths)
-    return low, starts, ends, row, mix64(sums + lengths.astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` words, whatever row they belong to."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * STEP + words[k : k + n]
-    return mix64(out)
 
 
 def test_windows(items: list[tuple[str, str | None]], width: int):
@@ -67,7 +28,7 @@ def test_windows(items: list[tuple[str, str | None]], width: int):
     holders: dict[int, dict[bytes, set]] = {}
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        low, starts, ends, _, words = words_of(data, np.array([0, len(data)]))
+        low, starts, ends, _, words = word_runs(data, np.array([0, len(data)]), WORD)
         if not len(words):
             continue
         size = min(width, len(words))
@@ -114,7 +75,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             data, offsets = flat_bytes(batch.column("text"))
-            low, starts, ends, row, words = words_of(data, offsets)
+            low, starts, ends, row, words = word_runs(data, offsets, WORD)
             count = np.bincount(row, minlength=batch.num_rows)
             cover = np.zeros(len(words) + 1, np.int64)
             items: dict[int, set] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, packing, quotes, sharding, urlfilter
+from weftline.llm import decontam, digest, langid, minhash, packing, quotes, sharding, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [
@@ -55,11 +55,27 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(read(spark, sf_dir, "documents"), width=4, threshold=0.8)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(langid.fold() != 0))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", (langid.fold("row.doc_id") == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.link(read(spark, sf_dir, "conversations"))
     return found.select("row.conv_id", "row.turn", "row.role", "own", "n_passages", "n_linked", "parent_turn", "order_key")
@@ -69,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_url_filter": op3_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
+    "op8_minhash": op8_minhash,
+    "op9_language": op9_language,
     "op10_quotation": op10_quotation,
 }
 ORACLES: dict[str, str] = {}
