@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, digest, langid, minhash, packing, quotes, sharding, urlfilter
+from weftline.llm import decontam, digest, langid, minhash, packing, quotes, sharding, suffixes, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [
@@ -46,6 +46,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", F.when(named, F.col("rule")).alias("rule"), "verdict")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.scan(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -84,6 +90,7 @@ def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
