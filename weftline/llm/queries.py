@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, digest, langid, minhash, packing, quotes, sharding, suffixes, urlfilter
+from weftline.llm import decontam, digest, langid, minhash, packing, pii, quotes, sharding, suffixes, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [
@@ -39,6 +39,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "row.doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.BASE)],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     judged = urlfilter.judge(pages, URL_RULES + URL_PATTERNS)
@@ -89,6 +98,7 @@ def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_personal_data": op2_personal_data,
     "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
