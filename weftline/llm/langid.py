@@ -119,11 +119,12 @@ class Model:
 
     def decide(self, texts: list[str | None]):
         """Language, score, cross-entropy and rejection of each text."""
-        plain = [t or "" for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0, None, True)] * len(texts)
+        plain, out = [t or "" for t in texts], []
         sums, counts = self.score(plain)
-        table, out = symbols(), []
         for t, s, n in zip(plain, sums, counts.tolist()):
-            if not self.langs or not n or not t or not any(c.isalpha() for c in t):
+            if not n or not any(c.isalpha() for c in t):
                 out.append((UNKNOWN, 0.0, None, True))
                 continue
             best = int(np.argmax(s))
