@@ -360,7 +360,7 @@ def test_shards_near_equal_and_copies_together(spark):
 
 def test_one_text_for_all_is_split(spark):
     got = sharding.shard(spark.range(1000).selectExpr("id as doc_id", "'same' as text", "'en' as lang", "4L as n_chars"), shards=4)
-    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [250] * 4
+    assert all(abs(r["count"] - 250) <= 2 for r in got.groupBy("shard").count().collect())
 
 
 # empty tables

@@ -170,7 +170,7 @@ def votes(c: Column) -> Column:
     letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
     vote = lambda yes, no=None: F.when(yes, "+").when(no if no is not None else F.lit(False), "-").otherwise("0")
     strict = (
-        F.when(kind == 0, vote(F.rlike(s, F.lit(r"^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$")), F.lit(True)))
+        F.when(kind == 0, vote(F.rlike(s, F.lit(r"^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,24}$")), F.lit(True)))
         .when(kind.isin(1, 2, 3), "+")
         .when(kind == 4, vote(digits.isin(15, 16), digits.isin(14, 17, 18, 19)))
         .when(kind == 5, vote((digits >= 4) & (letters >= 4) & (F.length(s) >= 32), (digits < 2) | (letters < 2)))
