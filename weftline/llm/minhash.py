@@ -5,10 +5,10 @@ propose candidates (a pair at the threshold of 0.8 is missed once in 2*10^7), an
 each minimum, packed, estimate the similarity with chance matches taken out.  Pairs that the estimate
 does not rule out (six standard deviations below the threshold) are confirmed on full sets.
 
-A band's bucket is never paired off.  Its members are first held against one hub each; confirmed
-links make components.  Only members that stay outside their hub's component meet the rest of the
-bucket, in packed blocks, best estimates first, and only across components, until no pair is left
-to test.
+A band's bucket is never paired off.  Its members are first held against one hub; confirmed links
+make components.  Members that stay outside their hub's component then meet the rest of the hub's
+group in packed blocks: first by packed bits, and where those leave a chance, by full sets.  Only
+members with a chance and links that join components leave a task, so rows stay linear in members.
 
 Defined results: null and wordless texts have an empty set and link with nothing; a text shorter
 than a shingle is one shingle; a component is named by its smallest id, null ids never name one
@@ -21,11 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat_bytes, mix64, pieces_for, ready, shuffle_parts, staged, window_hashes, word_runs
+from weftline.llm.common import flat_bytes, mix64, pieces_for, ready, staged, window_hashes, word_runs
 
 MINIMA, BANDS, BITS = 128, 32, 4
 ROWS = MINIMA // BANDS
 BLOCK = 512
+BLOCK_SHINGLES = 100_000
 HUB_ROWS = 500
 PART_BYTES = 16 << 20
 WORD = np.ones(256, bool)
@@ -86,9 +87,9 @@ def floor_of(threshold: float) -> float:
 
 
 def signatures(docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """``row, text, uid`` with ``n``, two hashes of the set, packed bits and band keys."""
+    """``row, uid`` with ``n``, two hashes of the set, packed bits and band keys."""
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    schema = f"row {held.schema['row'].dataType.simpleString()}, text string, uid long, n long, k1 long, k2 long, sig binary, bands array<long>"
+    schema = f"row {held.schema['row'].dataType.simpleString()}, uid long, n long, k1 long, k2 long, sig binary, bands array<long>"
 
     def run(batches):
         import pyarrow as pa
@@ -106,29 +107,35 @@ def signatures(docs: DataFrame, width: int, text_col: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), batch.column("uid"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
-                names=["row", "text", "uid", "n", "k1", "k2", "sig", "bands"],
+                [batch.column("row"), batch.column("uid"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))],
+                names=["row", "uid", "n", "k1", "k2", "sig", "bands"],
             )
 
     return held.mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, parts: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets are similar enough; ``texts(uid, text)`` are distinct sets' texts.
-
-    Sets are made once per needed text.  A hub with many partners is split over salts, and its set
-    goes along once per salt.
-    """
-    hundred = round(threshold * 100)
+def whole_sets(texts: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """``(uid, found)``: the sorted shingle hashes of the texts that ``needed(uid)`` names."""
 
-    def sets(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), width)], pa.binary())], names=["uid", "found"])
 
-    needed = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    made = staged(texts.join(needed, "uid", "left_semi").mapInArrow(sets, "uid long, found binary"), "sets")
+    return staged(texts.join(needed.distinct(), "uid", "left_semi").mapInArrow(run, "uid long, found binary"), "sets")
+
+
+def alike(both: int, a: int, b: int, hundred: int) -> bool:
+    return 100 * both >= hundred * (a + b - both)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, hundred: int, parts: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose full sets are similar enough; ``texts(uid, text)`` are distinct sets' texts.
+
+    A hub with many partners is split over salts, and its set goes along once per salt.
+    """
+    made = whole_sets(texts, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), width)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
     hubs = salts.join(made, F.col("a") == F.col("uid")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "uid", "found")
     members = (
@@ -147,9 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float, pa
                 found = np.frombuffer(found, np.uint64)
                 if role == 0:
                     hub = found
-                    continue
-                both = len(np.intersect1d(hub, found, assume_unique=True))
-                if 100 * both >= hundred * (len(hub) + len(found) - both):
+                elif alike(len(np.intersect1d(hub, found, assume_unique=True)), len(hub), len(found), hundred):
                     out.append((a, uid))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
@@ -180,42 +185,88 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("uid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("uid"), F.col("v").alias("comp")).distinct())
 
 
-def _open_pairs(members: DataFrame, sigs: DataFrame, comps: DataFrame, floor: float, top: int, parts: int) -> DataFrame:
-    """Best estimated partners, outside their own component, of members outside their hub's component.
+def _blocks(members: DataFrame, weight: str, per_block: int, item: str) -> DataFrame:
+    """Pairs of blocks to compare in each hub's group: strays of one block against members of another.
 
-    Members of a bucket travel in blocks of about ``BLOCK``; ``more`` tells that a member had further partners.
+    ``members(hub, uid, own, stray, <weight>, <item>)``; a block holds about ``per_block`` of the weight.
     """
-    own = comps.withColumnRenamed("comp", "own")
-    labelled = members.join(own, "uid", "left").withColumn("own", F.coalesce("own", "uid"))
-    hub_comp = comps.select(F.col("uid").alias("hub"), F.col("comp").alias("hub_own"))
-    labelled = labelled.join(hub_comp, "hub", "left").withColumn("hub_own", F.coalesce("hub_own", "hub"))
-    stray = labelled.filter("own <> hub_own")
-    # buckets with a stray member only; their size decides the number of blocks
-    still = stray.select("bucket").distinct()
-    full = labelled.join(still, "bucket", "left_semi").join(sigs, "uid").withColumn("part", F.pmod(F.hash("uid"), F.ceil(F.col("size") / BLOCK)))
-    item = F.struct("uid", "own", "sig")
-    blocks = full.groupBy("bucket", "part").agg(F.collect_list(item).alias("m"))
-    strays = full.filter("own <> hub_own").groupBy("bucket", F.col("part").alias("upart")).agg(F.collect_list(item).alias("s"))
-    met = strays.join(blocks, "bucket").repartition(parts, F.xxhash64("bucket", "upart", "part"))
+    sizes = members.groupBy("hub").agg(F.ceil(F.sum(weight) / per_block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "hub").withColumn("part", F.pmod(F.hash("uid"), F.col("blocks")).cast("int"))
+    held = F.struct("uid", "own", item)
+    blocks = placed.groupBy("hub", "part").agg(F.collect_list(held).alias("m"))
+    strays = placed.filter("stray").groupBy("hub", F.col("part").alias("upart")).agg(F.collect_list(held).alias("s"))
+    return strays.join(blocks, "hub")
+
+
+def _promising(groups: DataFrame, floor: float, parts: int) -> DataFrame:
+    """``(hub, uid)`` of members with a likely partner outside their own component, going by packed bits."""
+    met = _blocks(groups.withColumn("one", F.lit(1)), "one", BLOCK, "sig").repartition(parts, F.xxhash64("hub", "upart", "part"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for hub, s, m in zip(batch.column("hub").to_pylist(), batch.column("s").to_pylist(), batch.column("m").to_pylist()):
+                ids, owns, bits = np.array([x["uid"] for x in m]), np.array([x["own"] for x in m]), unpack_bits([x["sig"] for x in m])
+                chosen = set()
+                for x, row in zip(s, unpack_bits([x["sig"] for x in s])):
+                    good = ids[(estimate(row, bits) >= floor) & (owns != x["own"])]
+                    if len(good):
+                        chosen.add(x["uid"])
+                        chosen.update(good.tolist())
+                if chosen:
+                    yield pa.RecordBatch.from_arrays([pa.array([hub] * len(chosen), pa.int64()), pa.array(sorted(chosen), pa.int64())], names=["hub", "uid"])
+
+    return met.select("hub", "s", "m").mapInArrow(run, "hub long, uid long").distinct()
+
+
+def _cross_links(groups: DataFrame, hundred: int, parts: int) -> DataFrame:
+    """Links across components inside each hub's group, on full sets; of a pair of blocks a spanning forest is enough."""
+    met = _blocks(groups, "n", BLOCK_SHINGLES, "found").repartition(parts, F.xxhash64("hub", "upart", "part"))
+
+    def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all intersections, by way of the shingles that both blocks have."""
+        one, two = np.concatenate(a), np.concatenate(b)
+        common = np.intersect1d(one, two)
+        out = np.zeros((len(a), len(b)), np.int64)
+        rows = [np.searchsorted(common, x[np.isin(x, common, assume_unique=True)]) for x in a]
+        columns = [np.searchsorted(common, x[np.isin(x, common, assume_unique=True)]) for x in b]
+        for at in range(0, len(common), 4096):
+            left, right = (np.zeros((len(x), min(4096, len(common) - at)), np.float32) for x in (a, b))
+            for table, places in ((left, rows), (right, columns)):
+                for k, p in enumerate(places):
+                    table[k, p[(p >= at) & (p < at + 4096)] - at] = 1
+            out += (left @ right.T).astype(np.int64)
+        return out
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for s, m in zip(batch.column("s").to_pylist(), batch.column("m").to_pylist()):
-                ids, owns = np.array([x["uid"] for x in m]), np.array([x["own"] for x in m])
-                bits = unpack_bits([x["sig"] for x in m])
-                one = unpack_bits([x["sig"] for x in s])
+                a, b = ([np.frombuffer(x["found"], np.uint64) for x in part] for part in (s, m))
+                both = shared_counts(a, b)
+                na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+                near = 100 * both >= hundred * (na[:, None] + nb[None, :] - both)
+                near &= np.array([x["own"] for x in s])[:, None] != np.array([x["own"] for x in m])[None, :]
+                above: dict[int, int] = {}
+
+                def top(x):
+                    while above.setdefault(x, x) != x:
+                        above[x] = above[above[x]]
+                        x = above[x]
+                    return x
+
                 out = []
-                for x, row in zip(s, one):
-                    likely = estimate(row, bits)
-                    good = np.flatnonzero((likely >= floor) & (owns != x["own"]))
-                    best = good[np.argsort(-likely[good], kind="stable")][:top]
-                    out += [(min(x["uid"], y), max(x["uid"], y), len(good) > top) for y in ids[best].tolist()]
+                for i, j in np.argwhere(near).tolist():
+                    x, y = top(s[i]["own"]), top(m[j]["own"])
+                    if x != y:
+                        above[x] = y
+                        out.append((s[i]["uid"], m[j]["uid"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.bool_()])], names=["a", "b", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long, more boolean")
+    return met.select("s", "m").mapInArrow(run, "a long, b long")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
@@ -234,38 +285,38 @@ def _likely(pairs: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
     return with_bits.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` in ``row``, with ``n_shingles, component_id`` and ``first`` (this row stands for its component)."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables joined by ``uid``: the rows of ``docs``, and ``n_shingles, component_id`` and ``first`` (this row stands for its component)."""
     spark = ready(docs.sparkSession)
     base = staged(signatures(docs, width, text_col), "signatures")
+    text, hundred = F.col(f"row.{text_col}"), round(threshold * 100)
     narrow = base.select("uid", F.col(f"row.{id_col}").alias("doc_id"), "n", "k1", "k2")
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = base.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts, floor = pieces_for(spark, total, PART_BYTES), floor_of(threshold)
     # one node per distinct set
     name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")
     sets = staged(narrow.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("node"), F.min(name).alias("name")), "distinct")
-    nodes = base.join(sets.select(F.col("node").alias("uid")), "uid", "left_semi")
-    bands = staged(base.select("uid", "bands", "sig").join(sets.select(F.col("node").alias("uid")), "uid", "left_semi"), "bands")
-    sigs = bands.select("uid", "sig")
+    nodes = sets.select(F.col("node").alias("uid"))
+    texts = base.select("uid", text.alias("text"))
+    bands = staged(base.select("uid", "n", "bands", "sig").join(nodes, "uid", "left_semi"), "bands")
+    sigs = bands.select("uid", "n", "sig")
     members = bands.select("uid", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = staged(members.join(shared, "bucket"), "buckets")
-    pairs = members.filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    tested = staged(_likely(pairs, sigs, floor), "tested")
-    links = staged(confirm(tested, nodes.select("uid", "text"), width, threshold, parts), "links")
-    comps, top = staged(components(links), "components"), 8
-    big = members.filter("size > 2")
-    while True:
-        found = staged(_open_pairs(big, sigs, comps, floor, top, parts).groupBy("a", "b").agg(F.max("more").alias("more")), "open")
-        fresh = staged(found.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            if found.filter("more").isEmpty():
-                break
-            top *= 8
-            continue
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(staged(confirm(fresh, nodes.select("uid", "text"), width, threshold, parts), "links"))
-        comps, top = staged(components(links), "components"), top * 4
+    # the buckets of one hub are one group; every pair that shares a bucket is in its hub's group
+    pairs = staged(members.join(shared, "bucket").filter("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct(), "pairs")
+    links = staged(confirm(staged(_likely(pairs, sigs, floor), "likely"), texts, width, hundred, parts), "links")
+    comps = staged(components(links), "components")
+    # members outside their hub's component meet the rest of the group
+    groups = pairs.select(F.col("a").alias("hub"), F.col("b").alias("uid")).join(comps, "uid", "left").withColumn("own", F.coalesce("comp", "uid")).drop("comp")
+    groups = groups.join(comps.select(F.col("uid").alias("hub"), F.col("comp").alias("hub_own")), "hub", "left")
+    groups = staged(groups.withColumn("stray", F.col("own") != F.coalesce("hub_own", "hub")).drop("hub_own"), "groups")
+    still = groups.groupBy("hub").agg(F.count("*").alias("size"), F.max("stray").alias("any")).filter("size > 1 and any").select("hub")
+    groups = groups.join(still, "hub", "left_semi").join(sigs, "uid")
+    chosen = staged(groups.join(staged(_promising(groups, floor, parts), "promising"), ["hub", "uid"], "left_semi").drop("sig"), "chosen")
+    if not chosen.isEmpty():
+        found = whole_sets(texts, chosen.select("uid"), width)
+        more = staged(_cross_links(chosen.join(found, "uid"), hundred, parts), "more-links")
+        comps = staged(components(links.unionByName(more)), "components")
     labelled = sets.join(comps.withColumnRenamed("uid", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = labelled.groupBy("comp").agg(F.min("name").alias("best"))
     final = staged(labelled.join(names, "comp").select("k1", "k2", "n", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keeper")), "names")
@@ -278,7 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
 def classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, first`` for every row of ``docs``."""
-    base, decided = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, threshold)
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base, decided = near_duplicates(held, width, threshold)
     return decided.join(base.select("uid", F.col("row.doc_id").alias("doc_id")), "uid").select("doc_id", "n_shingles", "component_id", "first")
 
 
