@@ -36,7 +36,7 @@ def hurst_aggvar(long: DataFrame, max_block: int = 100, compat: bool = False, mi
     return var.groupBy("channel").agg(F.when(F.count(F.lit(1)) >= 2, h).alias("value"))
 
 
-def hurst_rs(long: DataFrame, min_window: int = 10, min_n: int = 100) -> DataFrame:
+def hurst_rs(long: DataFrame, min_window: int = 10, min_n: int = 20) -> DataFrame:
     """Rescaled range over window sizes 10^(1 + k/4) and the whole series (increments as given).
 
     Ranges inside a window come from a running total over the series, so windows of any size

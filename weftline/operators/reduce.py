@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import clean
-from weftline.operators.moments import gram_sets
+from weftline.operators.moments import gram, gram_sets
 from weftline.panel import Panel
 
 
@@ -194,23 +194,22 @@ def pca_gram(long: DataFrame, length: int, target_n: int | None = None, target_v
     return scores, mapping, {"method": "pca", "solver": "gram", "k": k, "explained_var_top": share[:k]}
 
 
-def kmeans(panel: Panel, k: int, seed: int = 0, sketch: int = 512) -> Reduced:
+def kmeans(panel: Panel, k: int, seed: int = 0) -> Reduced:
     """Clusters of similar channels replaced by their means.
 
-    Channels are described by their means over ``sketch`` equal stretches of time, so a
-    clustering row stays small however long the series is.
+    Distances between channels follow from their products over all rows (missing cells count as 0),
+    one channel by channel aggregate; its square root places each channel exactly.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     if k >= len(panel.channels):
         return Reduced(panel, _mapping(panel, [(c, c, 1.0) for c in panel.channels]), {"method": "kmeans", "k": len(panel.channels)})
-    n = panel.length()
-    slots = min(n, sketch)
-    part = F.floor(F.col("t") * slots / n)
-    means = panel.long().groupBy("channel", part.alias("slot")).agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("v"))
-    vec = means.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("slot", "v"))).alias("p"))
-    data = vec.select("channel", array_to_vector(F.col("p.v")).alias("features"))
+    n, means, g = gram(panel.frame, [F.coalesce(panel.col(c), F.lit(0.0)) for c in panel.channels])
+    val, vec = np.linalg.eigh(g + n * np.outer(means, means))
+    places = vec * np.sqrt(np.maximum(val, 0.0))
+    rows = [(c, [float(x) for x in p]) for c, p in zip(panel.channels, places)]
+    data = panel.frame.sparkSession.createDataFrame(rows, "channel string, p array<double>").select("channel", array_to_vector(F.col("p")).alias("features"))
     labels = KMeans(k=k, seed=seed, featuresCol="features").fit(data).transform(data).select("channel", "prediction").collect()
     groups: dict[str, list[str]] = {}
     for c in panel.channels:
@@ -219,13 +218,13 @@ def kmeans(panel: Panel, k: int, seed: int = 0, sketch: int = 512) -> Reduced:
     return _group_mean(panel, dict(sorted(groups.items())), {"method": "kmeans", "seed": seed})
 
 
-def reduce_channels(panel: Panel, method: str = "variance", target_n: int | None = 500, coords: DataFrame | None = None, seed: int = 0, **args) -> Reduced:
+def reduce_channels(panel: Panel, method: str = "variance", target_n: int | None = None, coords: DataFrame | None = None, seed: int = 0, **args) -> Reduced:
     k = max(1, min(target_n or len(panel.channels), len(panel.channels)))
     if method in ("variance", "random"):
         return select_channels(panel, k, method, seed)
     if method == "spatial":
         if coords is None:
-            return select_channels(panel, k)
+            raise ValueError("spatial reduction needs coordinates")
         return spatial(panel, coords, k, args.get("bin_size", 2))
     if method == "kmeans":
         return kmeans(panel, k, seed)

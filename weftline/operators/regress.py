@@ -363,28 +363,42 @@ def granger_full(panel: Panel, lag: int = 5, pairs=None) -> DataFrame:
 
 
 def granger_partial(panel: Panel, lag: int = 5, control: Sequence[str] | None = None, pairs=None, extra=None) -> DataFrame:
-    """Wald F test in a vector autoregression of all channels (or of the pair and its controls)."""
+    """Wald F test in a vector autoregression of all channels (or of the pair and its controls).
+
+    One aggregate over the rows complete in every channel used holds all lagged products; each
+    system is a block of it.  A system with too few rows for its coefficients has no value.
+    """
     if extra:
         return granger_full(residualize(panel, (), extra), lag, pairs)
-    todo = panel.pair_list(True, pairs)
-    if len(panel.channels) > 50 and control is None:
-        return granger_full(panel, lag, pairs)
-    p = max(1, int(lag))
+    p, todo = max(1, int(lag)), panel.pair_list(True, pairs)
+    held = list(panel.channels) if control is None else [c for c in control if c in panel.channels]
+    chans = list(dict.fromkeys([*held, *[c for pair in todo for c in pair]]))
+    n, means, g = _lagged_gram(panel, chans, p)
+    m, at = len(chans), {c: i for i, c in enumerate(chans)}
+
+    def block(names: list[str]):
+        own = [m + k * m + at[c] for k in range(p) for c in names]
+        return own, np.linalg.pinv(g[np.ix_(own, own)])
+
+    whole = block(chans) if control is None else None
     out = []
-    if control is None and len(panel.channels) <= 40:
-        done = _var_tests(panel, list(panel.channels), p, todo)
-        if done is not None:
-            out = done
-    if not out:
-        for a, b in todo:
-            zs = [c for c in (panel.channels if control is None else control) if c in panel.channels and c not in (a, b)]
-            got = _var_tests(panel, [b, a, *zs], p, [(a, b)])
-            out += got if got is not None else [(a, b, 1.0)]
+    for a, b in todo:
+        names = chans if control is None else [b, a, *[c for c in held if c not in (a, b)]]
+        df = n - (p * len(names) + 1)
+        if df <= 0:
+            out.append((a, b, None))
+            continue
+        own, inv = whole or block(names)
+        _, beta, rss = solve_ols(n, means, g, at[b], own)
+        mine = [k * len(names) + names.index(a) for k in range(p)]
+        cov = inv[np.ix_(mine, mine)] * rss / df
+        f = float(beta[mine] @ np.linalg.pinv(cov) @ beta[mine]) / p
+        out.append((a, b, float(f_sf(f, p, len(names) * df))))
     return panel.frame.sparkSession.createDataFrame(out, "src string, dst string, value double")
 
 
-def _var_tests(panel: Panel, chans: list[str], p: int, todo) -> list[tuple[str, str, float]] | None:
-    """p-values of the pairs from one VAR(p), or None if there are too few complete rows."""
+def _lagged_gram(panel: Panel, chans: list[str], p: int):
+    """Count, means and centred products of the channels and their lags 1..p over complete rows."""
     cols = [f"`{c}`" for c in chans]
     full = panel.frame.select("t", *[F.col(c) for c in cols]).dropna(how="any", subset=cols)
     pos = positions(full, [], "t", "pos", rows=full.select("t")).drop("t")
@@ -393,23 +407,7 @@ def _var_tests(panel: Panel, chans: list[str], p: int, todo) -> list[tuple[str,
         return {f"{c}~{k}": F.lag(F.col(f"`{c}`"), k).over(w) for k in range(1, p + 1) for c in chans}
 
     d = rolling(pos, [], "pos", past, before=p)
-    reg = [F.col(f"`{c}~{k}`") for k in range(1, p + 1) for c in chans]
-    n, means, g = gram(d, [*[F.col(c) for c in cols], *reg])
-    if n + p < max(30, 5 * p * len(chans)):
-        return None
-    m = len(chans)
-    rest = list(range(m, m + len(reg)))
-    inv = np.linalg.pinv(g[np.ix_(rest, rest)])
-    df = n - (len(reg) + 1)
-    out = []
-    for a, b in todo:
-        i, j = chans.index(a), chans.index(b)
-        _, beta, rss = solve_ols(n, means, g, j, rest)
-        own = [k * m + i for k in range(p)]
-        cov = inv[np.ix_(own, own)] * rss / df
-        f = float(beta[own] @ np.linalg.pinv(cov) @ beta[own]) / p
-        out.append((a, b, float(f_sf(f, p, m * df))))
-    return out
+    return gram(d, [*[F.col(c) for c in cols], *[F.col(f"`{c}~{k}`") for k in range(1, p + 1) for c in chans]])
 
 
 # -- regression fit ---------------------------------------------------------------------------------

@@ -93,7 +93,7 @@ class WindowGrid:
         stride: int | None = None,
         start_min: int | None = None,
         start_max: int | None = None,
-        max_windows: int | None = 400,
+        max_windows: int | None = None,
     ) -> WindowGrid:
         size = max(2, min(int(size), length))
         stride = max(1, int(stride if stride is not None else size // 5))
@@ -307,16 +307,18 @@ def scan_lags(panel: Panel, variant: str, lags: Sequence[int], pairs=None) -> Da
 
 def cube_edges(
     panel: Panel, variant: str, sizes: Sequence[int], lags: Sequence[int], stride: int | None = None, pairs=None,
-    combo_limit: int = 80, eval_limit: int = 0, max_windows: int = 250, **grid,
+    combo_limit: int | None = None, eval_limit: int | None = None, max_windows: int | None = None, **grid,
 ) -> DataFrame:
-    """Edges of every (window size, lag, start) of the cube; the limits thin out the grid evenly."""
+    """Edges of every (window size, lag, start) of the cube; limits, where given, thin out the grid evenly."""
     n = panel.length()
     lags = list(lags) if _metric(variant).directed else [1]
     combos = [(w, g) for w in sizes for g in lags]
-    combos = [combos[i] for i in evenly(len(combos), max(1, combo_limit))]
+    if combo_limit:
+        combos = [combos[i] for i in evenly(len(combos), combo_limit)]
     per = max_windows
     if eval_limit and combos:
-        per = max(1, min(max_windows, eval_limit // len(combos)))
+        share = max(1, eval_limit // len(combos))
+        per = share if per is None else min(per, share)
     out = None
     by_lags: dict[tuple[int, ...], list[int]] = {}
     for w in dict.fromkeys(w for w, _ in combos):

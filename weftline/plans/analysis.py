@@ -144,7 +144,7 @@ class Analysis:
         base = {
             "lag": s.lag, "lag_selection": s.lag_selection, "max_lag": s.max_lag, "partial_mode": s.partial_mode,
             "pairwise_policy": s.pairwise_policy, "custom_controls": s.custom_controls or (), "control_strategy": s.control_strategy,
-            "control_pca_k": s.control_pca_k, "pair_mode": s.pair_mode, "window_sizes": s.window_sizes, "window_policy": s.window_policy,
+            "control_pca_k": s.control_pca_k, "pair_mode": s.pair_mode, "pair_count": s.pair_count, "window_sizes": s.window_sizes, "window_policy": s.window_policy,
         }
         return {**base, **((s.method_options or {}).get(variant) or {})}
 
@@ -172,7 +172,7 @@ class Analysis:
     def run_one(self, variant: str) -> DataFrame:
         o = self._options(variant)
         m = registry.method(variant)
-        pairs = registry.choose_pairs(self.panel, o["pair_mode"], o.get("pairs", ""), self.coords, directed=m.directed)
+        pairs = registry.choose_pairs(self.panel, o["pair_mode"], o.get("pairs", ""), self.coords, count=o.get("pair_count"), directed=m.directed)
         args = {k: o[k] for k in ("partial_mode", "pairwise_policy", "custom_controls", "control_strategy", "control_pca_k")}
         notes = []
         lag = 1

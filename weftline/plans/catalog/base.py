@@ -13,6 +13,7 @@ from weftline.session import tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# the channels that the SQL of these panels names
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -51,24 +52,25 @@ class Tables:
     def ev_mean(self, step: int = 1) -> Panel:
         """Mean event value per hour (or per ``step`` hours) and event type; hours without events are absent."""
         return Panel.from_buckets(
-            self.read("events"), F.floor(self._hours("ts") / step), "event_type", "mean", "value", EVENT_TYPES
+            self.read("events"), F.floor(self._hours("ts") / step), "event_type", "mean", "value"
         )
 
     def ev_count(self) -> Panel:
-        return Panel.from_buckets(self.read("events"), self._hours("ts"), "event_type", "count", None, EVENT_TYPES)
+        return Panel.from_buckets(self.read("events"), self._hours("ts"), "event_type", "count", None)
 
     def od_month(self) -> Panel:
         month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-        return Panel.from_buckets(self.read("orders"), month, "o_orderpriority", "sum", "o_totalprice", PRIORITIES)
+        return Panel.from_buckets(self.read("orders"), month, "o_orderpriority", "sum", "o_totalprice")
 
     def od_day(self) -> Panel:
         day = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date"))
-        return Panel.from_buckets(self.read("orders"), day, "o_orderpriority", "sum", "o_totalprice", PRIORITIES)
+        return Panel.from_buckets(self.read("orders"), day, "o_orderpriority", "sum", "o_totalprice")
 
     def embedding_panel(self) -> Panel:
-        """Vector id as position, dimension as channel (64 columns, one narrow projection)."""
+        """Vector id as position, dimension as channel (one narrow projection)."""
         e = self.read("embeddings")
-        cols = [F.get("embedding", F.lit(i)).cast("double").alias(f"d{i:02d}") for i in range(64)]
+        size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+        cols = [F.get("embedding", F.lit(i)).cast("double").alias(f"d{i:02d}") for i in range(size)]
         return Panel.from_wide(e.select(F.col("vec_id").alias("t"), *cols))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import pathlib
 
+from pyspark.sql import functions as F
+
 from weftline.plans.analysis import Analysis
 from weftline.plans.config import build_run_spec, expand_variants, parse_user_input
 from weftline.session import local_session, tune
@@ -38,7 +40,7 @@ def process(spark, path: str, folder: str, spec, args) -> dict:
             sinks.write_html(a, row["html_path"])
         if spec.output_mode in ("excel", "both"):
             row["excel_path"] = str(run / "report.xlsx")
-            sinks.write_workbook(row["excel_path"], {v: sinks.bounded(e, 10_000) for v, e in a.results.items()})
+            sinks.write_workbook(row["excel_path"], {v: sinks.bounded(e, 10_000, F.abs("value").desc_nulls_last(), "src", "dst") for v, e in a.results.items()})
         if spec.save_series_bundle:
             tables = {"qc": a.quality()} if spec.qc_enabled else {}
             sinks.write_series({"raw": a.raw, "prepared": a.panel}, tables, str(run / "series"))

@@ -217,17 +217,22 @@ def parse_pairs(text: str, names: Sequence[str], directed: bool = True) -> list[
 
 
 def choose_pairs(
-    panel: Panel, mode: str = "auto", text: str = "", coords: DataFrame | None = None, kind: str = "26", radius: int = 1,
-    limit: int = 500_000, seed: int = 0, threshold: int = 500, directed: bool = False,
+    panel: Panel, mode: str = "full", text: str = "", coords: DataFrame | None = None, kind: str = "26", radius: int = 1,
+    count: int | None = None, seed: int = 0, directed: bool = False,
 ) -> list[tuple[str, str]] | None:
-    """The pair list for a mode; None means all pairs.  auto: all below ``threshold`` channels, else neighbours or random."""
-    n = len(panel.channels)
-    if mode == "auto":
-        mode = "full" if n < threshold else ("neighbors" if coords is not None else "random")
-    if mode == "full":
+    """The pair list for a mode; None means all pairs, whatever the number of channels.
+
+    Random pairs and neighbours are taken only where asked for: ``count`` of the former, coordinates
+    for the latter.
+    """
+    if mode in ("auto", "full"):
         return None
     if mode == "pairs":
         return parse_pairs(text, panel.channels, directed)
-    if mode == "neighbors" and coords is not None:
+    if mode == "neighbors":
+        if coords is None:
+            raise ValueError("pair_mode=neighbors needs coordinates")
         return [tuple(r) for r in graph.neighbor_pairs(coords, kind, radius).collect()]  # bounded by channels x kind
-    return graph.random_pairs(panel.channels, min(limit, max(1, 5 * n)), seed, directed)
+    if not count:
+        raise ValueError("pair_mode=random needs pair_count")
+    return graph.random_pairs(panel.channels, count, seed, directed)

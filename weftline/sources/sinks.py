@@ -27,8 +27,8 @@ MANIFEST = ("input_file", "status", "run_dir", "excel_path", "html_path", "serie
 
 @dataclass(frozen=True)
 class ExportPolicy:
-    dense_n_limit: int = 2000
-    topk_per_node: int = 50
+    dense_n_limit: int = 0  # 0: write the full matrix whatever its size
+    topk_per_node: int = 0  # 0: all edges
     min_abs_weight: float = 0.0
     dense_csv: bool = True
     include_names: bool = True
@@ -61,7 +61,7 @@ def write_matrix(edges: DataFrame, folder: str, prefix: str, variant: str, names
     table = edge_table(edges, names, directed, policy)
     table.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(base + "_edges")
     info = {"variant": variant, "n": len(names), "edges": base + "_edges", "topk_per_node": policy.topk_per_node, "min_abs_weight": policy.min_abs_weight}
-    if policy.dense_csv and len(names) <= policy.dense_n_limit:
+    if policy.dense_csv and (not policy.dense_n_limit or len(names) <= policy.dense_n_limit):
         graph.matrix(edges, names, directed).write.mode("overwrite").option("header", True).csv(base + "_dense")
         info["dense"] = base + "_dense"
     info["extra"] = meta or {}
@@ -119,9 +119,12 @@ def export_all(analysis, folder: str, prefix: str = "run", policy: ExportPolicy
     return manifest
 
 
-def bounded(df: DataFrame, limit: int) -> tuple[list[str], list[list]]:
-    """At most ``limit`` rows for a report page (a preview is the feature)."""
-    return df.columns, [list(r) for r in df.limit(limit).collect()]
+def bounded(df: DataFrame, limit: int, *order) -> tuple[list[str], list[list]]:
+    """The first ``limit`` rows in order for a report page; a last row tells if more were left out."""
+    rows = [list(r) for r in df.orderBy(*(order or df.columns)).limit(limit + 1).collect()]
+    if len(rows) > limit:
+        rows = [*rows[:limit], [f"more than {limit} rows: the rest is in the exported tables", *[None] * (len(df.columns) - 1)]]
+    return df.columns, rows
 
 
 def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[list]]]) -> None:
@@ -184,11 +187,13 @@ def write_html(analysis, path: str, rows: int = 200, picture_limit: int = 300) -
     names = list(analysis.panel.channels)
     for v, edges in analysis.results.items():
         out.append(f"<h2>{html.escape(v)}</h2>")
-        cols, top = bounded(graph.top_pairs(edges, 20, registry.is_p_value(v)), 20)
+        cols, top = bounded(graph.top_pairs(edges, 20, registry.is_p_value(v)), 20, F.abs("value").desc() if not registry.is_p_value(v) else F.col("value"))
         out.append("<table>" + "".join("<tr>" + "".join(f"<td>{html.escape(fmt(x))}</td>" for x in r) + "</tr>" for r in [cols, *top]) + "</table>")
         if len(names) <= picture_limit:
             e = edges if registry.is_directed(v) else graph.mirrored(edges)
             out.append(_heat(names, {(r.src, r.dst): r.value for r in e.select("src", "dst", "value").collect()}))
+        else:
+            out.append(f"<p>No picture: {len(names)} channels, more than {picture_limit}. The matrix is in the exported tables.</p>")
         payload[v] = {k: bounded(t, rows)[1] for k, t in analysis.scans.get(v, {}).items() if k != "cube_edges"}
     out.append(f"<script type='application/json' id='scans'>{json.dumps(plain(payload), default=str)}</script>")
     pathlib.Path(path).write_text("\n".join(out), encoding="utf-8")
