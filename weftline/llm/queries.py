@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, digest, langid, minhash, packing, pii, quotes, sharding, suffixes, urlfilter
+from weftline.llm import decontam, digest, langid, minhash, oracles, packing, pii, quotes, sharding, suffixes, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [
@@ -108,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_quotation": op10_quotation,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
