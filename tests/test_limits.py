@@ -72,3 +72,16 @@ def test_kmeans_uses_every_row(spark):
     assert sorted(map(sorted, groups.values())) == [["c000", "c001", "c002"], ["c003", "c004", "c005"]]
     with pytest.raises(ValueError):
         reduce.reduce_channels(wide(spark, x), "spatial", 2)
+
+
+def test_files_of_a_folder_are_read_in_order(spark, tmp_path):
+    from weftline.sources.tables import read_csv
+
+    folder = tmp_path / "series.csv"
+    folder.mkdir()
+    at = 0
+    for name, rows in (("a.csv", 5), ("b.csv", 50), ("c.csv", 20)):
+        (folder / name).write_text("\n".join(f"{k},{k * 10}" for k in range(at, at + rows)) + "\n")
+        at += rows
+    got = read_csv(spark, str(folder), "no").orderBy("_row").collect()
+    assert [r["_row"] for r in got] == list(range(75)) and [int(r["c1"]) for r in got] == list(range(75))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pathlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions, rolling
@@ -45,14 +45,23 @@ def has_header(first: Sequence[str | None], second: Sequence[str | None] | None)
 
 
 def numbered(df: DataFrame, out: str = "_row") -> DataFrame:
-    """Dense row numbers in file order (splits of one file are read in order)."""
-    marked = staged(df.withColumn("_id", F.monotonically_increasing_id()))
-    return positions(marked, [], "_id", out).drop("_id")
+    """Dense row numbers of a file scan: by file name, place in the file, and row there.
+
+    Spark deals splits out by size, so neither partitions nor their numbers follow the files.
+    """
+    split = ["_file", "_start"]
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    marked = staged(df.select("*", *place))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*split).orderBy("_id"))
+    return marked.withColumn("_rn", local).join(offsets, split).withColumn(out, F.col("_off") + F.col("_rn") - 1).drop(*split, "_id", "_rn", "_off")
 
 
 def split_cells(raw: DataFrame) -> DataFrame:
     """Undo 'a whole row in one cell': split the one filled column at commas, semicolons or tabs."""
-    cols = raw.columns
+    cols, kept = [c for c in raw.columns if c != "_row"], [c for c in raw.columns if c == "_row"]
     marks = F.lit("[,;\t]")
     stats = raw.agg(
         *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"f{i}") for i, c in enumerate(cols)],
@@ -69,13 +78,12 @@ def split_cells(raw: DataFrame) -> DataFrame:
         return raw
     width = int(stats[f"w{pick}"])
     parts = F.split(F.col(cols[pick]), marks)
-    return raw.select(*[F.get(parts, F.lit(i)).alias(f"_c{i}") for i in range(width)])
+    return raw.select(*kept, *[F.get(parts, F.lit(i)).alias(f"_c{i}") for i in range(width)])
 
 
 def read_csv(spark: SparkSession, path: str, header: str = "auto") -> DataFrame:
     """Text columns in file order with ``_row``; header is auto, yes or no."""
-    raw = split_cells(spark.read.csv(path, header=False, inferSchema=False))
-    return _titled(numbered(raw), header)
+    return _titled(split_cells(numbered(spark.read.csv(path, header=False, inferSchema=False))), header)
 
 
 def _titled(df: DataFrame, header: str) -> DataFrame:
