@@ -100,11 +100,11 @@ def weighted_degree(edges: DataFrame, nodes: DataFrame, directed: bool = False)
 
 def density(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
     e = edges if directed else edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    m = e.agg(F.count(F.lit(1)).alias("edges")).withColumn("_k", F.lit(1))
-    n = nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("_k", F.lit(1))
+    m = e.agg(F.count(F.lit(1)).alias("edges"))
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
     room = F.col("nodes") * (F.col("nodes") - 1)
     d = F.col("edges") * (1 if directed else 2) / F.when(room > 0, room)
-    return m.join(n, "_k").select("nodes", "edges", F.coalesce(d, F.lit(0.0)).alias("density"))
+    return m.crossJoin(F.broadcast(n)).select("nodes", "edges", F.coalesce(d, F.lit(0.0)).alias("density"))
 
 
 def clustering(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
@@ -114,11 +114,11 @@ def clustering(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> Da
     neighbours.
     """
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
-    top = edges.agg(F.max("weight").alias("_top")).withColumn("_k", F.lit(1))
+    edges = staged(edges)  # one reading of what may be long metrics
     part = F.cbrt(F.col("weight") / F.col("_top"))
-    scaled = edges.withColumn("_k", F.lit(1)).join(top, "_k")
+    scaled = edges.crossJoin(F.broadcast(edges.agg(F.max("weight").alias("_top"))))  # one row
     agg = F.sum(part) if directed else F.max(part)
-    und = scaled.groupBy(a, b).agg(agg.alias("s"), F.count(F.lit(1)).alias("arcs"))
+    und = staged(scaled.groupBy(a, b).agg(agg.alias("s"), F.count(F.lit(1)).alias("arcs")))
     ends = F.explode(F.array("a", "b")).alias("name")
     reciprocal = F.sum(F.when(F.col("arcs") > 1, 1).otherwise(0)).alias("db")
     deg = und.select(ends, "arcs").groupBy("name").agg(
