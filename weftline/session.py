@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,25 +40,28 @@ def local_session(app: str = "weftline", cores: int | str = "*", shuffle: int =
     return tune(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make one only if unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share; a local session without one gets its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _own_folder:
         import tempfile
 
-        shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
-    sc.setCheckpointDir(shared)
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="weftline-stage-"))
+    return _own_folder[0]
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write an expensive intermediate once so that later branches read it instead of redoing it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an expensive intermediate once as Parquet; later branches read the columns and rows they need."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns) -> DataFrame:
