@@ -175,7 +175,7 @@ def test_command_line(spark, tmp_path):
     np.savetxt(src / "good.csv", rng.normal(size=(80, 3)), delimiter=",")
     (src / "bad.mat").write_bytes(b"nothing")
     out = str(tmp_path / "out")
-    rows = cli.main([str(src), "--output-dir", out, "--zip", "--user-config", "variants=corr_full,corr_directed; window_sizes=30; window_sizes_grid=20,40; max_lag=3"], spark)
+    rows = cli.main([str(src), "--output-dir", out, "--batch-zip", "--p-alpha", "0.01", "--pvalue-correction", "fdr_bh", "--user-config", "variants=corr_full,corr_directed; window_sizes=30; window_sizes_grid=20,40; max_lag=3"], spark)
     assert [r["status"] for r in rows] == ["error", "ok"]
     with open(pathlib.Path(out) / "batch_manifest.csv") as f:
         assert csv.DictReader(f).fieldnames == list(sinks.MANIFEST)

@@ -189,7 +189,7 @@ def grid_to_long(df: DataFrame, limit: int | None = None, by: str = "first", see
 
 
 def tidy(
-    df: DataFrame, time_col: str = "auto", transpose: str = "auto", min_valid: float = 0.2, start: int = 0, end: int | None = None,
+    df: DataFrame, time_col: str = "auto", transpose: str = "no", min_valid: float = 0.2, start: int = 0, end: int | None = None,
     stride: int = 1, limit: int | None = None, by: str = "first", seed: int = 13,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Raw columns (with ``_row``) to a clean long panel and, for grids, coordinates.
