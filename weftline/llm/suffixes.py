@@ -32,7 +32,7 @@ NEAR = 15
 LONGEST = 48
 PIECE = 1 << 20
 BATCH_BYTES = 16 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
 HOT = 8
 WILD = 0x80
 TEXT, SPAN, CANDIDATE, ENTRY = 0, 1, 2, 3
@@ -105,7 +105,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int):
     left = np.where(p - NEAR >= lo, near(p - NEAR), 7)
     right = np.where(p + GRAM + NEAR <= hi, near(p + GRAM), 7)
     marks = (left << 3 | right).astype(np.uint8) | np.where(at[e] != p, WILD, 0).astype(np.uint8)
-    return m[s], seg, marks, rr[first], s - lo, count.astype(np.uint8)
+    # least values crowd at the low end: mix again before they are dealt into buckets
+    return mix64(m[s]), seg, marks, rr[first], s - lo, count.astype(np.uint8)
 
 
 def _pieces(column, width: int):
@@ -155,6 +156,11 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "kind", "a", "b", "c", "d", "e"])
 
 
+def document_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """One number per document: its id, and 32 bits of its text's hash in case ids repeat."""
+    return mix64(ids.view(U)) + tags.astype(U)
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
@@ -292,8 +298,9 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             p = p[np.lexsort((e.pos[p], e.key[p], e.doc[p]))]
             x = e.take(p)
             fresh = np.flatnonzero(np.concatenate([[True], (x.key[1:] != x.key[:-1]) | (x.doc[1:] != x.doc[:-1])]))
-            docs_ = _pack(np.concatenate([np.diff(x.doc[fresh], prepend=0), x.key[fresh].view(np.int64), np.diff(np.append(fresh, len(x)))]))
-            gaps = np.diff(x.pos, prepend=0)
+            tags = (x.key[fresh] - mix64(x.doc[fresh].view(U))).astype(np.uint32)
+            docs_ = _pack(np.concatenate([np.diff(x.doc[fresh], prepend=0).view(np.uint32), tags, np.diff(np.append(fresh, len(x))).astype(np.uint32)]))
+            gaps = np.diff(x.pos.astype(np.int64), prepend=0)
             gaps[fresh] = x.pos[fresh]
             rows.append((b, ENTRY, _low_bytes(x.m & M40, 5), _low_bytes(x.seg >> U(16), 6), x.marks.tobytes(), docs_, _pack(np.concatenate([gaps.astype("<u4").view(np.uint8), x.count]))))
         return rows
@@ -302,12 +309,12 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            keys = np.array(batch.column("key").to_pylist(), np.int64).view(U)
+            keys = document_keys(np.array(ids, np.int64), np.array(batch.column("tag").to_pylist(), np.int64))
             for data, offsets, rows, places in _pieces(batch.column("text"), width):
                 m, seg, marks, row, pos, count = segments(data, offsets, width)
                 if len(m):
                     doc = np.array([ids[r] for r in rows], np.int64)
-                    parts.append(Entries(m, seg >> U(16) << U(16), marks, doc[row], keys[rows][row], pos + places[row], count))
+                    parts.append(Entries(m, seg >> U(16) << U(16), marks, doc[row], keys[rows][row], (pos + places[row]).astype(np.uint32), count))
                 held += len(data)
             if held >= BATCH_BYTES and parts:
                 for r in flush(parts):
@@ -317,7 +324,7 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             for r in flush(parts):
                 yield _batch([r])
 
-    return docs.filter("doc_id is not null").select("doc_id", "key", "text").mapInArrow(run, SCHEMA)
+    return docs.filter("doc_id is not null").select("doc_id", "tag", "text").mapInArrow(run, SCHEMA)
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -355,13 +362,16 @@ def _settled(dealt: DataFrame, buckets: int) -> DataFrame:
                         yield _batch([r])
                 family, current = Family(), bucket
             m, seg, marks = _from_low(a, 5), _from_low(b, 6) << U(16), np.frombuffer(c, np.uint8)
-            doc, key, size = _unpack(d, np.int64).reshape(3, -1)
+            raw = _unpack(d, np.uint32)
+            n = len(raw) // 4
+            doc, size = np.cumsum(raw[: 2 * n].view(np.int64)), raw[3 * n :].astype(np.int64)
+            key = document_keys(doc, raw[2 * n : 3 * n])
             last = _unpack(e, np.uint8)
             gaps, count = last[: 4 * len(m)].view("<u4").astype(np.int64), last[4 * len(m) :]
             first = np.cumsum(size) - size
             run_ = np.cumsum(gaps)
             pos = run_ - np.repeat(run_[first] - gaps[first], size)
-            family.add(Entries(m, seg, marks, np.repeat(np.cumsum(doc), size), np.repeat(key.view(U), size), pos, count))
+            family.add(Entries(m, seg, marks, np.repeat(doc, size), np.repeat(key, size), pos.astype(np.uint32), count))
         if family is not None:
             for r in finish(family):
                 yield _batch([r])
@@ -372,27 +382,27 @@ def _settled(dealt: DataFrame, buckets: int) -> DataFrame:
 def _texts(docs: DataFrame, buckets: int) -> DataFrame:
     """Texts in compressed blocks, dealt by document."""
 
-    def flush(ids, keys, texts):
-        key = np.array(keys, np.int64).view(U)
+    def flush(ids, tags, texts):
+        key = document_keys(np.array([i or 0 for i in ids], np.int64), np.array(tags, np.int64))
         for b, p in _by(_bucket(mix64(key), buckets)):
             some = [texts[k] for k in p]
             yield _batch([(b, TEXT, _pack(np.frombuffer(b"".join(some), np.uint8)), _pack(np.array([len(t) for t in some], np.int64)), _pack(key[p]), _pack(np.array([ids[k] or 0 for k in p], np.int64)), np.array([ids[k] is None for k in p]).tobytes())])
 
     def run(batches):
-        ids, keys, texts, held = [], [], [], 0
+        ids, tags, texts, held = [], [], [], 0
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
-            keys += batch.column("key").to_pylist()
+            tags += batch.column("tag").to_pylist()
             for t in batch.column("text"):
                 texts.append(t.as_py().encode())
                 held += len(texts[-1])
             if held >= BATCH_BYTES:
-                yield from flush(ids, keys, texts)
-                ids, keys, texts, held = [], [], [], 0
+                yield from flush(ids, tags, texts)
+                ids, tags, texts, held = [], [], [], 0
         if ids:
-            yield from flush(ids, keys, texts)
+            yield from flush(ids, tags, texts)
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, SCHEMA)
 
 
 def _found_spans(kind_rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -541,7 +551,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """``doc_id, n_bytes, spans, kept``: removed runs ``[start, end)`` in UTF-8 bytes, and the bytes that stay."""
     spark = ready(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))).alias("tag"))
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = pieces_for(spark, total, BUCKET_BYTES)
     entries = _entries(held, width, buckets)
