@@ -40,11 +40,9 @@ class Node:
     row_cut: int = -1  # of rows with the key itself, those up to this number go left
 
 
-def _values(spark, schema: str, rows: list[tuple]) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(",")]
-    kinds = [c.split()[1] for c in schema.split(",")]
-    body = ", ".join("(" + ", ".join(f"cast({v} as {k})" for v, k in zip(r, kinds)) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS v({', '.join(names)})")
+def _of_node(facts: dict[int, int]) -> Column:
+    """A node's number looked up in a literal; null for nodes not in it (at most one entry per leaf)."""
+    return F.element_at(F.create_map(*[F.lit(x).cast(k) for node, v in facts.items() for x, k in ((node, "int"), (v, "long"))]), F.col("node"))
 
 
 def _coordinate(kind: str, c: str) -> Column:
@@ -56,19 +54,17 @@ def _coordinate(kind: str, c: str) -> Column:
 
 def _search(rows: DataFrame, nodes: list[Node], key: str, digits, below: dict[int, int], target: dict[int, int]):
     """Per node the smallest key whose running weight reaches the target, its weight, and the weight below it."""
-    spark, prefix, weight = rows.sparkSession, {n.first: 0 for n in nodes}, {}
+    prefix, weight = {n.first: 0 for n in nodes}, {}
     for shift, width in digits:
-        state = _values(spark, "node int,prefix bigint,below bigint,target bigint", [(n.first, prefix[n.first], below[n.first], target[n.first]) for n in nodes])
         counted = (
-            rows.join(F.broadcast(state), "node")
-            .filter(F.shiftright(key, shift + width) == F.col("prefix"))
-            .groupBy("node", "below", "target", F.expr(f"shiftright({key}, {shift}) & {(1 << width) - 1}").alias("digit"))
+            rows.filter(F.shiftright(key, shift + width) == _of_node(prefix))
+            .groupBy("node", F.expr(f"shiftright({key}, {shift}) & {(1 << width) - 1}").alias("digit"))
             .agg(F.sum("size").alias("w"))
         )
         run = F.sum("w").over(W.partitionBy("node").orderBy("digit"))
         found = (
-            counted.withColumn("upto", F.col("below") + run)
-            .filter(F.col("upto") >= F.col("target"))
+            counted.withColumn("upto", _of_node(below) + run)
+            .filter(F.col("upto") >= _of_node(target))
             .groupBy("node")
             .agg(F.min(F.struct("digit", "upto", "w")).alias("hit"))
             .collect()
@@ -82,19 +78,16 @@ def _search(rows: DataFrame, nodes: list[Node], key: str, digits, below: dict[in
 
 def _descend(rows: DataFrame, nodes: list[Node], dims: int) -> DataFrame:
     """Move the rows of ``nodes`` to the left or right child."""
-    spark = rows.sparkSession
-    cuts = _values(
-        spark, "node int,dim int,cut bigint,row_cut bigint,right_node int",
-        [(n.first, n.dim, n.cut, n.row_cut, n.first + n.leaves // 2) for n in nodes],
-    )
-    key = _key(dims)
-    left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("u") <= F.col("row_cut")))
-    moved = rows.join(F.broadcast(cuts), "node", "left")
-    return moved.withColumn("node", F.when(F.col("dim").isNull() | left, F.col("node")).otherwise(F.col("right_node"))).drop("dim", "cut", "row_cut", "right_node")
+    of = lambda f: _of_node({n.first: f(n) for n in nodes})
+    held = rows.withColumn("dim", of(lambda n: n.dim))
+    key, cut = _key(dims), of(lambda n: n.cut)
+    left = (key < cut) | ((key == cut) & (F.col("u") <= of(lambda n: n.row_cut)))
+    right = of(lambda n: n.first + n.leaves // 2)
+    return held.withColumn("node", F.when(F.col("dim").isNull() | left, F.col("node")).otherwise(right).cast("int")).drop("dim")
 
 
 def _key(dims: int) -> Column:
-    chosen = F.element_at(F.array(*[f"c{k}" for k in range(dims)]), F.col("dim") + 1)
+    chosen = F.element_at(F.array(*[f"c{k}" for k in range(dims)]), (F.col("dim") + 1).cast("int"))
     return F.shiftleft(chosen, 32) + F.col("g")
 
 
@@ -135,8 +128,8 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
             break
         for x in todo:
             x.dim = max(range(n), key=lambda k: (spans[x.first][k], -k))
-        dim_of = _values(spark, "node int,dim int", [(x.first, x.dim) for x in todo])
-        keyed = rows.join(F.broadcast(dim_of), "node").withColumn("key", _key(n))
+        dim = _of_node({x.first: x.dim for x in todo})
+        keyed = rows.withColumn("dim", dim).filter("dim is not null").withColumn("key", _key(n))
         target = {x.first: max(1, x.weight * (x.leaves // 2) // x.leaves) for x in todo}
         keys, weight, below = _search(keyed, todo, "key", DIGITS, {x.first: 0 for x in todo}, target)
         heavy = []
@@ -149,13 +142,12 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
                 x.row_cut = (1 << 32) if whole_left else -1
                 x.left = below[a] + (weight[a] if whole_left else 0)
         if heavy:
-            at = _values(spark, "node int,cut bigint", [(x.first, x.cut) for x in heavy])
-            same = keyed.join(F.broadcast(at), "node").filter("key = cut").drop("cut")
+            same = keyed.filter(F.col("key") == _of_node({x.first: x.cut for x in heavy}))
             rows_at, _, under = _search(same, heavy, "u", ROW_DIGITS, {x.first: below[x.first] for x in heavy}, target)
             for x in heavy:
                 x.row_cut = rows_at[x.first] - 1
                 x.left = under[x.first]
-        rows = _descend(rows, todo, n)
+        rows = staged(_descend(rows, todo, n), "shard-level")
         todo = [
             y
             for x in todo
