@@ -85,3 +85,22 @@ def test_files_of_a_folder_are_read_in_order(spark, tmp_path):
         at += rows
     got = read_csv(spark, str(folder), "no").orderBy("_row").collect()
     assert [r["_row"] for r in got] == list(range(75)) and [int(r["c1"]) for r in got] == list(range(75))
+
+
+def test_window_cube_and_post_stage(spark, tmp_path):
+    from weftline.plans.analysis import Analysis
+    from weftline.sources import sinks
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(160, 3))
+    x[72:112, 1] = x[70:110, 0] + 0.01 * rng.normal(size=40)
+    spec = {"variants": "corr_directed", "window_cube": "full", "window_sizes_grid": "40", "window_stride": 10, "lag_grid": "1,2,3", "include_scans": "no", "lag_selection": "fixed"}
+    a = Analysis(wide(spark, x), spec).prepare(interpolate=False, fill=False)
+    a.run()
+    got = {(r.src, r.dst): r.value for r in a.results["correlation_directed"].collect()}
+    assert got["c000", "c001"] > 0.99 and a.contracts["correlation_directed"].lag == 2
+    both = Analysis(wide(spark, x), {}).prepare(dimred={"method": "variance", "target_n": 2}, stage="both", normalize="zscore")
+    assert len(both.panel.channels) == 2 and any(s.startswith("post:") for s in both.report.steps)
+    out = sinks.write_reductions(wide(spark, x), str(tmp_path), [1, 2])
+    assert spark.read.parquet(out[2] + "/series").count() == 160 and spark.read.option("header", True).csv(out[1] + "/mapping").count() == 1
+    assert '"k": 2' in spark.read.text(out[2] + "/meta").first()[0]

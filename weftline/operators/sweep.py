@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import distances, information, moments, neighbors, regress, spectral
 from weftline.panel import Panel, clamped
+from weftline.session import staged
 
 
 @dataclass(frozen=True)
@@ -369,3 +370,12 @@ def main_windows(panel: Panel, variant: str, sizes: Sequence[int], policy: str =
         best = best.orderBy(F.desc("metric"), "window_size").limit(1)
     chosen = edges.join(best.select("window_size", "start"), ["window_size", "start"], "left_semi")
     return chosen.groupBy("src", "dst").agg(F.avg("value").alias("value"))
+
+
+def main_cube(panel: Panel, variant: str, sizes: Sequence[int], lags: Sequence[int], stride: int | None = None, pairs=None, eval_limit: int | None = None, **grid) -> tuple[DataFrame, DataFrame]:
+    """Main matrix from the strongest (window size, lag, start) of a cube: its edges, and the one row that names it."""
+    edges = staged(cube_edges(panel, variant, sizes, lags, stride, pairs, eval_limit=eval_limit, **grid))
+    keys = ["window_size", "lag", "start"]
+    q = quality(edges, keys, _metric(variant).p_value).filter("metric IS NOT NULL")
+    best = staged(q.orderBy(F.desc("metric"), *keys).limit(1))
+    return edges.join(F.broadcast(best), keys, "left_semi").select("src", "dst", "value"), best

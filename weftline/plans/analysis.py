@@ -125,9 +125,14 @@ class Analysis:
 
         return cls(load_panel(spark, path, **load), spec)
 
-    def prepare(self, auto_diff: bool = False, dimred: dict | None = None, **options) -> Analysis:
-        if self.spec.preprocess:
-            self.panel, self.report = preprocess(self.raw, **{**self.spec.preprocess_options, **options})
+    def prepare(self, auto_diff: bool = False, dimred: dict | None = None, stage: str = "pre", **options) -> Analysis:
+        """Clean, difference and reduce; ``stage`` (pre, post or both) tells on which side of the reduction to clean."""
+        given = {**self.spec.preprocess_options, **options}
+        stage = given.pop("stage", stage)
+        if stage not in ("pre", "post", "both"):
+            raise ValueError(f"unknown preprocessing stage {stage!r}")
+        if self.spec.preprocess and (stage != "post" or not dimred):
+            self.panel, self.report = preprocess(self.raw, **given)
         if auto_diff:
             self.panel, names = auto_difference(self.panel)
             self.report.notes["differenced"] = names
@@ -136,6 +141,11 @@ class Analysis:
             self.panel = got.panel
             self.mapping = got.mapping
             self.report.notes["dimred"] = got.meta
+            if self.spec.preprocess and stage != "pre":
+                notes, steps = self.report.notes, self.report.steps
+                self.panel, self.report = preprocess(self.panel, **given)
+                self.report.notes.update(notes)
+                self.report.steps = [*steps, *(f"post:{x}" for x in self.report.steps)]
         self.progress("prepared")
         return self
 
@@ -180,7 +190,16 @@ class Analysis:
             lag = max(1, int(o["lag"]))
             if o["lag_selection"] == "optimize" and not m.p_value:
                 lag = self.choose_lag(variant, int(o["max_lag"]), pairs, **args)
-        if o["window_sizes"] and o["window_policy"] in ("best", "mean") and variant in sweep.POINT_METRICS:
+        s = self.spec
+        if s.window_cube_level != "off" and variant in sweep.POINT_METRICS:
+            # basic: every window at the chosen lag; full: every window and lag
+            lags = s.lags() if s.window_cube_level == "full" else [lag]
+            grid = {"start_min": s.window_start_min, "start_max": s.window_start_max, "max_windows": s.window_max_windows}
+            edges, best = sweep.main_cube(self.panel, variant, s.sizes(), lags, s.window_stride, pairs, s.window_cube_eval_limit, **grid)
+            if at := best.first():
+                lag = int(at.lag)
+                notes.append(f"main window cube: size {at.window_size}, lag {at.lag}, start {at.start}")
+        elif o["window_sizes"] and o["window_policy"] in ("best", "mean") and variant in sweep.POINT_METRICS:
             edges = sweep.main_windows(self.panel, variant, o["window_sizes"], o["window_policy"], self.spec.window_stride, lag, pairs)
         else:
             edges = registry.compute(self.panel, variant, lag, o.get("control"), pairs, **args)

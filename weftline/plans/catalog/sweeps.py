@@ -153,6 +153,15 @@ def main_windows_best(tb: Tables):
     return e.select("src", "dst", r6("value").alias("value"))
 
 
+@query(
+    "main_window_cube",
+    CUBE + " SELECT src, dst, round(value, 6) + 0.0 AS value FROM we JOIN (SELECT * FROM wq WHERE metric IS NOT NULL ORDER BY metric DESC, window_size, lag, start LIMIT 1) USING (window_size, lag, start)",
+)
+def main_window_cube(tb: Tables):
+    e, _ = sweep.main_cube(tb.od_day(), "correlation_directed", [200, 400], [1, 2, 3])
+    return e.select("src", "dst", r6("value").alias("value"))
+
+
 @query("te_windows")
 def te_windows(tb: Tables):
     p = tb.od_day()

@@ -103,6 +103,21 @@ def write_series(stages: dict[str, Panel], tables: dict[str, DataFrame], folder:
     return out
 
 
+def write_reductions(panel: Panel, folder: str, sizes: Sequence[int], method: str = "variance", **args) -> dict[int, str]:
+    """For each size of a reduction: series, mapping and description, all written by Spark."""
+    from weftline.operators import reduce
+
+    out = {}
+    for k in sizes:
+        got = reduce.reduce_channels(panel, method, k, **args)
+        out[k] = f"{folder}/{slug(method)}_{k}"
+        got.panel.frame.write.mode("overwrite").parquet(f"{out[k]}/series")
+        got.mapping.write.mode("overwrite").option("header", True).csv(f"{out[k]}/mapping")
+        meta = json.dumps(plain({**got.meta, "channels": list(got.panel.channels)}), default=str)
+        panel.frame.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out[k]}/meta")
+    return out
+
+
 def export_all(analysis, folder: str, prefix: str = "run", policy: ExportPolicy = ExportPolicy()) -> dict:
     """Every result, its scans, the node list and the contracts."""
     from weftline.plans import registry
