@@ -22,9 +22,20 @@ from weftline.llm.common import ready, staged
 
 PIECE_CHARS = 1 << 20
 OUT_BYTES = 4 << 20
+BROADCAST_PARTS = 1 << 20
 SPECIAL = "<|endoftext|>"
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """Text to ids as ``tokenizers`` gives them for the vocabulary file at ``path``.
@@ -36,12 +47,8 @@ def encoder(path: str):
     import os
 
     import regex
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    slow = Tokenizer.from_file(path)
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    fast = None
+    ranks, fast = path.removesuffix(".json") + ".tiktoken", None
     if path.endswith(".json") and os.path.exists(ranks):
         import public_tokenizers
         import tiktoken
@@ -49,11 +56,11 @@ def encoder(path: str):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    rare = regex.compile("[^\x00-⿿]")
+    rare = regex.compile("[^\x00-\u2fff]")
 
     def encode(text: str) -> np.ndarray:
         if fast is None or SPECIAL in text or not text.isascii() and rare.search(text):
-            return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
         parts = [np.asarray(fast.encode_to_numpy(p, disallowed_special=()), np.uint32) for p in pretoken_pieces(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
@@ -122,7 +129,9 @@ def pack(docs: DataFrame, path: str, length: int = 1024, id_col: str = "doc_id",
     bases = totals.select(
         "part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")
     )
-    placed = rows.join(bases, "part").withColumn("place", F.col("base") + F.col("at"))
+    # one small row per task of pass one: counted, and sent along while they stay few
+    few = totals.count() <= BROADCAST_PARTS
+    placed = rows.join(F.broadcast(bases) if few else bases, "part").withColumn("place", F.col("base") + F.col("at"))
     window = F.explode(F.sequence(F.expr(f"place div {length}"), F.expr(f"(place + n - 1) div {length}")))
     cut = placed.select("doc_id", "place", "n", "ids", window.alias("sequence_id"))
     low = F.col("sequence_id") * length
