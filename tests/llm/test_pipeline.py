@@ -3,6 +3,7 @@
 import os
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, plain_words
 
 from weftline.llm import queries as q
@@ -55,3 +56,20 @@ def test_registered():
     names = e.queries()
     assert {n for n in q.QUERIES if n.startswith("op")} <= set(names) and "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+
+
+def test_stages_on_odd_rows(spark, docs, none, texts, tmp_path):
+    """Nulls, empties, repeats, very long texts and clashing names pass through every stage; so does an empty table."""
+    odd = docs.withColumn("a.b", F.lit(None).cast("double")).withColumn("spans", F.lit("x")).withColumn("bucket", F.lit(1)).withColumn("text_", F.array(F.lit(1)))
+    for label, seen in (("full", odd), ("empty", odd.limit(0))):
+        columns = seen.columns
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, seen, SF).write.parquet(str(tmp_path / label / name))
+            seen = spark.read.parquet(str(tmp_path / label / name))
+            if name != "packing":
+                assert seen.columns == columns
+            if label == "full" and name == "language":
+                lettered = [t for _, t in texts if t and any(c.isalpha() for c in t)]
+                assert 0 < seen.count() <= len(lettered) and seen.filter("text is null or text = ''").isEmpty()
+        assert (seen.count() == 0) == (label == "empty")
+    release(spark)

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
@@ -65,6 +66,11 @@ def pieces_for(spark: SparkSession, amount: float, per_piece: float) -> int:
     return max(shuffle_parts(spark), int(amount // per_piece) + 1)
 
 
+def with_row(held: DataFrame, rest: str) -> StructType:
+    """Schema of the struct ``row`` of ``held``, whatever its columns are called, and the columns of ``rest``."""
+    return StructType([held.schema["row"], *StructType.fromDDL(rest).fields])
+
+
 def blank_null(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat_bytes, ready, window_hashes, word_runs
+from weftline.llm.common import flat_bytes, ready, window_hashes, with_row, word_runs
 
 LIMIT = 256 << 20
 WORD = np.zeros(256, bool)
@@ -62,7 +62,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
         raise ValueError(f"the benchmark has {total} bytes, more than limit_bytes={limit_bytes}")
     shared = spark.sparkContext.broadcast(test_windows([(r["item"], r["text"]) for r in tests.collect() if r["item"] is not None], width))
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {held.schema['row'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    schema = with_row(held, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
     def run(batches):
         import pyarrow as pa

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix64, pieces_for, ready, staged
+from weftline.llm.common import mix64, pieces_for, ready, staged, with_row
 
 BUCKETS = 512
 PIECE = 1 << 20
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             made = [digest((t.as_py() or "").encode()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "fingerprint"])
 
-    return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, fingerprint string")
+    return held.mapInArrow(run, with_row(held, "fingerprint string"))
 
 
 def _edit(text: str, after: str) -> str:

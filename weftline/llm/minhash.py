@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat_bytes, mix64, pieces_for, ready, staged, window_hashes, word_runs
+from weftline.llm.common import flat_bytes, mix64, pieces_for, ready, staged, window_hashes, with_row, word_runs
 
 MINIMA, BANDS, BITS = 128, 32, 4
 ROWS = MINIMA // BANDS
@@ -89,7 +89,7 @@ def floor_of(threshold: float) -> float:
 def signatures(docs: DataFrame, width: int, text_col: str) -> DataFrame:
     """``row, uid`` with ``n``, two hashes of the set, packed bits and band keys."""
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    schema = f"row {held.schema['row'].dataType.simpleString()}, uid long, n long, k1 long, k2 long, sig binary, bands array<long>"
+    schema = with_row(held, "uid long, n long, k1 long, k2 long, sig binary, bands array<long>")
 
     def run(batches):
         import pyarrow as pa

@@ -137,7 +137,7 @@ def candidates(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
     ``kind`` is the number of the kind; ``ok`` tells whether the base rule holds.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = locate(docs.select(F.struct(*keep).alias("row"), t.alias("body")), "body")
+    df = locate(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), t.alias("body")), "body")
 
     def of(kind: str, column: str):
         return F.transform(

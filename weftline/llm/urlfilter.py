@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ready
+from weftline.llm.common import ready, with_row
 
 LIMIT = 64 << 20
 TOKEN = re.compile(r"[0-9A-Za-z]+")
@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col:
     counts = token_counts(pages, {t for r in rules for t in r.literals}, url_col)
     shared = spark.sparkContext.broadcast((rules, *index(rules, counts)))
     held = pages.select(F.struct("*").alias("row"), F.col(url_col).alias("url"))
-    schema = f"row {held.schema['row'].dataType.simpleString()}, host string, path string, rule string, verdict string, n_candidates long"
+    schema = with_row(held, "host string, path string, rule string, verdict string, n_candidates long")
 
     def run(batches):
         import pyarrow as pa
