@@ -104,3 +104,21 @@ def test_window_cube_and_post_stage(spark, tmp_path):
     out = sinks.write_reductions(wide(spark, x), str(tmp_path), [1, 2])
     assert spark.read.parquet(out[2] + "/series").count() == 160 and spark.read.option("header", True).csv(out[1] + "/mapping").count() == 1
     assert '"k": 2' in spark.read.text(out[2] + "/meta").first()[0]
+
+
+def test_pieces_follow_the_session(spark):
+    """With more shuffle partitions ranks and quantiles are cut finer, and stay exact."""
+    from weftline.functions.quantiles import quantiles
+    from weftline.functions.ranks import value_ranks
+
+    x = np.random.default_rng(8).normal(size=6000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": x}))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        r = value_ranks(df, ["g"], "v").select("v", "rmin", "_vb").toPandas()
+        q = quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.999}).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (r.sort_values("v").rmin.to_numpy() == np.arange(1, 6001)).all() and r.groupby("_vb").size().max() < 40
+    assert [q.a, q.b, q.c] == pytest.approx(np.quantile(x, [0.1, 0.5, 0.999]).tolist(), rel=1e-12)

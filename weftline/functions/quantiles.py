@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import pieces
+
 GRID = 512
 ACCURACY = 2000
 
@@ -42,12 +44,13 @@ def quantiles(
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs).drop("_all")
 
+    cells = pieces(df.sparkSession, GRID)
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     grid = data.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        sketch("_v", [i / GRID for i in range(GRID + 1)]).alias("_g"),
+        sketch("_v", [i / cells for i in range(cells + 1)], max(ACCURACY, 4 * cells)).alias("_g"),
     )
 
     n, grid_at = F.col("_n"), F.col("_g")
@@ -55,14 +58,14 @@ def quantiles(
 
     def bracket(p, i):
         k = F.floor(pos(p)) + 1
-        lo = (F.floor((k - 2) / n * GRID) - 1).cast("int")
-        hi = (F.ceil((k + 2) / n * GRID) + 1).cast("int")
+        lo = (F.floor((k - 2) / n * cells) - 1).cast("int")
+        hi = (F.ceil((k + 2) / n * cells) + 1).cast("int")
         return F.struct(
             i.alias("i"),
             k.alias("k"),
             (pos(p) - F.floor(pos(p))).alias("frac"),
             F.when(lo < 1, F.col("_min")).otherwise(F.get(grid_at, lo)).alias("lo"),
-            F.when(hi > GRID - 1, F.col("_max")).otherwise(F.get(grid_at, hi)).alias("hi"),
+            F.when(hi > cells - 1, F.col("_max")).otherwise(F.get(grid_at, hi)).alias("hi"),
         )
 
     wanted = F.lit([float(probs[m]) for m in names])

@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions
-from weftline.functions.quantiles import sketch
+from weftline.functions.quantiles import ACCURACY, sketch
 from weftline.functions.strips import count_below, tops
+from weftline.session import pieces
 
 SPLITS = 128
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int = SPLITS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int | None = None) -> DataFrame:
     """``keys, value, cnt, rmin, rmax, dense, total, _vb`` for each distinct non-null value (ranks from 1)."""
     keys = list(keys)
     if not keys:
         return value_ranks(df.withColumn("_all", F.lit(0)), ["_all"], value, splits)
+    splits = splits or pieces(df.sparkSession, SPLITS)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
     cuts = counts.groupBy(*keys).agg(
-        sketch(f"`{value}`", [i / splits for i in range(1, splits)]).alias("_cuts")
+        sketch(f"`{value}`", [i / splits for i in range(1, splits)], max(ACCURACY, 4 * splits)).alias("_cuts")
     )
     cuts = cuts.withColumn("_top", tops(F.col("_cuts")))
     bucket = count_below(F.col("_cuts"), F.col("_top"), F.col(value))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.quantiles import sketch
+from weftline.functions.quantiles import ACCURACY, sketch
+from weftline.session import pieces
 
 GRID = 256
 
@@ -36,16 +37,18 @@ def _same_as_before(values: Column):
 
 
 def add_splitters(
-    points: DataFrame, keys: Sequence[str], values: Sequence[str], target: int | Column, grid: int = GRID
+    points: DataFrame, keys: Sequence[str], values: Sequence[str], target: int | Column, grid: int | None = None
 ) -> DataFrame:
     """Join ``n`` and, per value, its distinct splitters, their tops and the repeated ones onto the points.
 
-    The number of strips is about n / target (a number or an expression over ``n``), at most ``grid``.
+    The number of strips is about n / target (a number or an expression over ``n``), at most ``grid``
+    (none given: 256, or the session's shuffle partitions if those are more).
     """
     keys = list(keys)
+    grid = grid or pieces(points.sparkSession, GRID)
     probs = [i / grid for i in range(1, grid)]
     stats = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[sketch(v, probs).alias(f"_g_{v}") for v in values]
+        F.count(F.lit(1)).alias("n"), *[sketch(v, probs, max(ACCURACY, 4 * grid)).alias(f"_g_{v}") for v in values]
     )
     strips = F.greatest(F.lit(1), F.least(F.lit(grid), F.ceil(F.col("n") / target)))
     step = F.ceil(F.lit(grid) / strips).cast("int")

@@ -64,6 +64,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(spark: SparkSession, least: int) -> int:
+    """Into how many pieces to cut a group: as many as the session shuffles into, which follows the data, and ``least`` at least."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Partition by the columns over all shuffle partitions.
 
