@@ -191,16 +191,17 @@ def _blocks(members: DataFrame, weight: str, per_block: int, item: str) -> DataF
     ``members(hub, uid, own, stray, <weight>, <item>)``; a block holds about ``per_block`` of the weight.
     """
     sizes = members.groupBy("hub").agg(F.ceil(F.sum(weight) / per_block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "hub").withColumn("part", F.pmod(F.hash("uid"), F.col("blocks")).cast("int"))
-    held = F.struct("uid", "own", item)
-    blocks = placed.groupBy("hub", "part").agg(F.collect_list(held).alias("m"))
-    strays = placed.filter("stray").groupBy("hub", F.col("part").alias("upart")).agg(F.collect_list(held).alias("s"))
+    # one column for hub and part, so that a large group is dealt by its blocks and not by its hub
+    place = F.struct("hub", F.pmod(F.hash("uid"), F.col("blocks")).cast("int").alias("part"))
+    placed = members.join(sizes, "hub").select(place.alias("cell"), "stray", F.struct("uid", "own", item).alias("one"))
+    blocks = placed.groupBy("cell").agg(F.collect_list("one").alias("m")).select("cell.hub", "cell.part", "m")
+    strays = placed.filter("stray").groupBy("cell").agg(F.collect_list("one").alias("s")).select("cell.hub", F.col("cell.part").alias("upart"), "s")
     return strays.join(blocks, "hub")
 
 
 def _promising(groups: DataFrame, floor: float, parts: int) -> DataFrame:
     """``(hub, uid)`` of members with a likely partner outside their own component, going by packed bits."""
-    met = _blocks(groups.withColumn("one", F.lit(1)), "one", BLOCK, "sig").repartition(parts, F.xxhash64("hub", "upart", "part"))
+    met = _blocks(groups.withColumn("each", F.lit(1)), "each", BLOCK, "sig").repartition(parts, F.xxhash64("hub", "upart", "part"))
 
     def run(batches):
         import pyarrow as pa
