@@ -22,13 +22,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ready
+from weftline.llm.common import ready, with_row
 
 ORDER = 4
 PIECE = 1 << 20
 FLUSH = 1 << 21
 LIMIT = 512 << 20
 UNKNOWN = "und"
+TEXTS = -1
+LEAST_SPREAD = 0.04
 _tables: list[np.ndarray] = []
 
 
@@ -164,12 +166,13 @@ def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
-    """``(lang, key, n)`` over all texts of ``train(lang, text)``; tasks add up before anything is shuffled."""
+    """``(lang, key, n)`` over all texts of ``train(lang, text)``, and their number at key ``TEXTS``; tasks add up before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         held: dict[str, list] = {}
+        seen: dict[str, int] = {}
 
         def merged(parts):
             keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -182,6 +185,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
+                seen[lang] = seen.get(lang, 0) + 1
             for lang, texts in by_lang.items():
                 pieces, _ = _split(texts)
                 if not pieces:
@@ -197,6 +201,8 @@ def gram_counts(train: DataFrame) -> DataFrame:
                     a = b
                 if sum(len(p[0]) for p in parts) > FLUSH:
                     held[lang] = [merged(parts)]
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([TEXTS] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["lang", "key", "n"])
         for lang, parts in held.items():
             keys, counts = merged(parts)
             for a in range(0, len(keys), 100_000):
@@ -207,10 +213,12 @@ def gram_counts(train: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 4096, limit_bytes: int = LIMIT) -> Model:
-    """Learn from every row with a text and a language; calibrate on at most ``sample`` of them, those with the lowest hash."""
+    """Learn from every row with a text and a language; calibrate on at most ``sample`` of them, chosen by hash."""
     ready(labelled.sparkSession)
     train = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = gram_counts(train).toPandas()
+    rows = int(counts.loc[counts["key"] == TEXTS, "n"].sum())
+    counts = counts[counts["key"] != TEXTS]
     langs = sorted(counts["lang"].unique())
     all_keys = np.unique(counts["key"].to_numpy()).astype(np.uint32)
     if (size := len(all_keys) * (4 + 4 * len(langs)) + (8 * len(langs) << 18)) > limit_bytes:
@@ -225,11 +233,11 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         low[:, k], back[:, k] = np.log2(p3), np.log2(weight)
     model = Model(langs, all_keys, high, low, back)
     if langs:
-        calibrate(model, train, sample)
+        calibrate(model, train, sample, rows)
     return model
 
 
-def calibrate(model: Model, train: DataFrame, sample: int) -> None:
+def calibrate(model: Model, train: DataFrame, sample: int, rows: int) -> None:
     """Temper of the score, and per language the mean cross-entropy and its spread by length."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
@@ -240,8 +248,11 @@ def calibrate(model: Model, train: DataFrame, sample: int) -> None:
             sums, counts = shared.value.score([t.as_py() for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(sums), pa.list_(pa.float64())), pa.array(counts)], names=["lang", "sums", "n"])
 
-    chosen = train.orderBy(F.xxhash64("text"), "lang").limit(sample)
-    seen = chosen.repartition(16).mapInArrow(run, "lang string, sums array<double>, n long").filter("n > 0").toPandas()
+    # rows are chosen by their hash and scored where they are; only their few numbers move
+    share = min(1.0, sample / max(rows, 1))
+    chosen = train.filter(F.xxhash64("text", "lang") <= int((share - 0.5) * (2.0**64 - 4096)))
+    scored = chosen.mapInArrow(run, "lang string, sums array<double>, n long").filter("n > 0")
+    seen = scored.orderBy(F.xxhash64("lang", "sums", "n")).limit(sample).toPandas()
     if not len(seen):
         return
     sums, n = np.vstack(seen["sums"]), seen["n"].to_numpy()
@@ -261,7 +272,8 @@ def calibrate(model: Model, train: DataFrame, sample: int) -> None:
         mean = np.average(h, weights=n[own])
         squares = (h - mean) ** 2
         slope = max(0.0, float(np.cov(inverse, squares)[0, 1] / max(np.var(inverse, ddof=1), 1e-30)))
-        spread = max(float(squares.mean() - slope * inverse.mean()), 0.0) + 1e-4
+        # mixed but sound texts differ by some tenths of a bit: never expect less spread than that
+        spread = max(float(squares.mean() - slope * inverse.mean()), LEAST_SPREAD)
         model.limits[lang] = (float(mean), spread, slope)
     shared.destroy()
 
@@ -281,7 +293,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             columns = zip(*found) if found else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["row", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return held.mapInArrow(run, with_row(held, "lang_pred string, score double, cross_entropy double, rejected boolean"))
 
 
 def fold(id_col: str = "doc_id") -> Column:
