@@ -96,6 +96,17 @@ def test_a_gram_with_many_contexts(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == removed(rows, 50)
 
 
+@pytest.mark.parametrize("ids", [(2, 20), (20, 2)])
+def test_a_document_that_repeats_a_passage_another_batch_has(spark, monkeypatch, ids):
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 600)
+    passage = " ".join(f"{k * 7907 % 10007:05d} {k * 31 % 997}" for k in range(60))
+    many = "".join(f"{k * 7919 % 1000:04d}" * 3 + passage for k in range(20))
+    rows = [(ids[0], "before " + passage + "between " + passage + "after"), (ids[1], many)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = suffixes.remove_repeats(docs, 50).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got) == removed(rows, 50)
+
+
 # decontamination
 
 

@@ -12,7 +12,9 @@ Grams with different segments around them may still share a window at a segment'
 go back to their text, and their windows are compared one by one by a 96-bit hash.
 
 Text, entries and spans travel as packed blocks, dealt by gram, document or window; a gram with many
-segments in one batch sends one mark and is settled by its windows, which are dealt by their own hash.
+segments in one batch sends one or two marks and is settled by its windows, which are dealt by their own
+hash; that the gram was such a one stays known when a mark leaves the index, and all its segments elsewhere
+send their windows too.
 
 Defined results: null and empty texts have no bytes; a null id removes nothing and keeps everything;
 rows with equal ids never remove from each other; texts of any length are cut into overlapping
@@ -35,6 +37,7 @@ BATCH_BYTES = 16 << 20
 BUCKET_BYTES = 12 << 20
 HOT = 8
 WILD = 0x80
+MANY = 0x40
 TEXT, SPAN, CANDIDATE, ENTRY = 0, 1, 2, 3
 U = np.uint64
 FACTOR = U(0x9E3779B97F4A7C15)
@@ -218,6 +221,12 @@ class Entries:
         at = np.flatnonzero(fresh)
         return self.doc > np.repeat(np.minimum.reduceat(self.doc, at), np.diff(np.append(at, len(self))))
 
+    def tell_many(self) -> None:
+        """All entries (sorted) of a gram know that one of them stands for many, whichever of them stay."""
+        if (self.marks & MANY).any():
+            at = np.flatnonzero(np.concatenate([[True], self.m[1:] != self.m[:-1]]))
+            self.marks = self.marks | np.repeat(np.bitwise_or.reduceat(self.marks & MANY, at), np.diff(np.append(at, len(self))))
+
     def shared(self) -> np.ndarray:
         """Entries (sorted) that may share a window with another document's entry of the same gram."""
         if not len(self):
@@ -225,12 +234,13 @@ class Entries:
         at = np.flatnonzero(np.concatenate([[True], self.m[1:] != self.m[:-1]]))
         size = np.diff(np.append(at, len(self)))
         several = np.repeat((np.minimum.reduceat(self.doc, at) < np.maximum.reduceat(self.doc, at)), size)
-        wild = np.repeat(np.bitwise_or.reduceat(self.marks, at) & WILD > 0, size)
+        flags = np.repeat(np.bitwise_or.reduceat(self.marks, at), size)
+        wild, many = flags & WILD > 0, flags & MANY > 0
         group = np.repeat(np.arange(len(at)), size)
-        out = several & wild
+        out = several & wild | many
         for shift in (3, 0):
             mark = self.marks >> shift & 7
-            known = np.flatnonzero(several & ~wild & (mark < 7))
+            known = np.flatnonzero(several & ~wild & ~many & (mark < 7))
             label = group[known] * 8 + mark[known]
             order = np.argsort(label, kind="stable")
             label, places = label[order], known[order]
@@ -258,6 +268,7 @@ class Family:
         """Merge-scan: later copies become spans and leave the index; their first stays."""
         late = entries.later()
         if late.any():
+            entries.tell_many()
             self.spans.append(entries.take(late))
             entries = entries.take(~late)
         return entries
@@ -277,14 +288,12 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         late = e.later()
         rows = _span_rows(SPAN, e.key[late], e.pos[late], e.count[late], buckets)
         e = e.take(~late)
-        # a gram with many segments here sends one mark; its segments are settled by their windows
+        # a gram with many segments here sends one or two marks; its segments are settled by their windows
         at = np.flatnonzero(np.concatenate([[True], e.m[1:] != e.m[:-1]])) if len(e) else np.empty(0, np.int64)
         hot = np.repeat(np.diff(np.append(at, len(e))) > HOT, np.diff(np.append(at, len(e))))
         if hot.any():
             rows += _span_rows(CANDIDATE, e.key[hot], e.pos[hot], e.count[hot], buckets)
-            lead = np.zeros(len(e), bool)
-            lead[at] = True
-            e.marks = np.where(hot, e.marks | WILD, e.marks)
+            e.marks = np.where(hot, e.marks | MANY, e.marks)
             # two documents are needed to make a gram shared: the mark takes the least and the greatest
             least = np.repeat(np.minimum.reduceat(e.doc, at), np.diff(np.append(at, len(e))))
             most = np.repeat(np.maximum.reduceat(e.doc, at), np.diff(np.append(at, len(e))))
