@@ -2,6 +2,7 @@
 
 import random
 
+import oracle
 import pytest
 
 from weftline.llm import queries as q
@@ -37,6 +38,21 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0), q.URL_RULES).count() == 0
 
 
+def test_patterns_decide_only_where_no_host_rule_fits(spark, tmp_path):
+    more = ["https://m.casino-win.example.com/de/1910?a=1", "http://ads3.x.com/a", "http://track.x.com/", "http://ads.example.com/en/7", "http://ads.x.org/", "http://betting.x.net/es/1", "http://xxx.net/de/"]
+    rows = list(enumerate(URLS + more))
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    (part,) = (tmp_path / "pages.parquet").glob("*.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{part}')")
+    assert oracle.differences(spark, con, q.QUERIES["op3_url_filter"], q.ORACLES["op3_url_filter"], str(tmp_path)) == ""
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in q.op3_url_filter(spark, str(tmp_path)).collect()}
+    for k, url in rows:
+        best = brute(url)[2]
+        assert best is None or got[k] == (best.name, best.verdict)
+    assert [got[len(URLS) + k] for k in range(7)] == [("com/", "allow")] * 3 + [("example.com/en/", "block"), (None, "block"), ("net/es/", "block"), (None, "block")]
+
+
 def test_only_fetched_rules_run(spark):
     rules = [urlfilter.Rule("block", f"host{k}.com", "/") for k in range(300)] + [urlfilter.Rule("block", pattern="tracker")]
     pages = spark.createDataFrame([(k, f"http://host{k}.com/a") for k in range(300)] + [(300, "http://x.com/tracker")], "page_id long, url string")

@@ -2,7 +2,8 @@
 
 Token frequencies are counted over all URLs (of the rules' own tokens only, so the counts are as
 bounded as the rules).  A URL's tokens fetch candidate rules; only those run their regular
-expression, and the longest fitting rule decides.
+expression, and the longest fitting host rule decides.  A pattern decides only where no host rule fits;
+patterns have no literal token and are tried on every URL.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and gets the default
 verdict; repeated rows are judged alike; other columns are kept in the struct ``row``.
@@ -36,6 +37,11 @@ class Rule:
     def name(self) -> str:
         return self.pattern if self.pattern is not None else self.host + self.path
 
+    @property
+    def rank(self) -> tuple[bool, int]:
+        """Host rules go before patterns, longer rules before shorter ones."""
+        return self.pattern is None, len(self.name)
+
     @property
     def regex(self) -> str:
         if self.pattern is not None:
@@ -116,7 +122,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col:
                 for k in tried:
                     if k not in compiled:
                         compiled[k] = re.compile(known[k].regex)
-                    if compiled[k].search(whole) and (best is None or (len(known[k].name), -k) > (len(known[best].name), -best)):
+                    if compiled[k].search(whole) and (best is None or (known[k].rank, -k) > (known[best].rank, -best)):
                         best = k
                 out.append((host, path, None if best is None else known[best].name, default if best is None else known[best].verdict, len(tried)))
             columns = list(zip(*out)) if out else [()] * 5
