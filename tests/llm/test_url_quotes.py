@@ -96,6 +96,23 @@ def test_quotes(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_lines_and_sentences_of_longer_messages(spark):
+    talk = [
+        (1, 0, "Hello all\nthe build is red\nthe second node is down\nsee you"),
+        (1, 1, "Hello all\nI looked at it. The disk was full, nothing else! It works again. Bye"),
+        (1, 2, "> the build is red\n> the second node is down\nSince when?"),
+        (1, 3, "> The disk was full, nothing else!\nWhich one?"),
+        (1, 4, "> Hello all\n> It works again.\nGood."),
+        (1, 5, "One sentence that is\nbroken over two lines. And more"),
+        (1, 6, "> One sentence that\n> is broken over two lines.\nSo it is."),
+        (1, 7, "> the build was never red\n> nor was this said\nHm."),
+    ]
+    got = quotes.link(spark.createDataFrame(talk, "conv_id long, turn int, text string")).collect()
+    by = {r["row"]["turn"]: (r["parent_turn"], r["n_linked"]) for r in got}
+    assert by == {0: (None, 0), 1: (None, 0), 2: (0, 1), 3: (1, 1), 4: (1, 1), 5: (None, 0), 6: (5, 1), 7: (None, 0)}
+    assert {r["row"]["turn"]: r["order_key"] for r in got}[4] == [1, 4]
+
+
 def test_deep_threads(spark):
     rng = random.Random(1)
     rows, parent = [(9, 0, "user", "message number 0")], {}

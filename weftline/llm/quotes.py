@@ -1,9 +1,10 @@
 """Quotation linking: quoted passages find the message they come from; conversations lose their quotes.
 
 Leading ``>`` signs give a line its level.  A passage is a run of lines of one level of one
-or more; its lines, normalised (case, white space, outer punctuation) and hashed, are joined to
-the lines messages of the same conversation wrote themselves.  The message that wrote the passage's
-hashed text first is its origin.  A message answers the origin of its first passage at the lowest
+or more.  Passages and what messages wrote themselves, whole, by line and by sentence, are normalised
+(case, white space, outer punctuation), hashed and joined within the conversation.  The message that
+wrote the passage's text first is its origin; for a passage that no message wrote as a whole message,
+line or sentence, it is the first writer of its longest known line or sentence.  A message answers the origin of its first passage at the lowest
 level; ``order_key`` puts it right after the thread it answers, other messages keep their turn.
 
 Defined results: a null or empty text has no lines; a null conversation or turn never links; a
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import ready, staged
 
 MARKS = r"^\s*(>\s?)+"
+SENTENCE_END = "(?<=[.!?\u2026][\"'\u201d\u2019)\\]]{0,1})\\s+|(?<=[\u3002\uff01\uff1f])"
 LEAD_IN = r"(?i)^\s*(on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
 
 
@@ -28,6 +30,13 @@ def _normal(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"^[\s\p{P}]+|[\s\p{P}]+$", "")
 
 
+def _units(text: Column) -> Column:
+    """The whole text, its lines, and its sentences (within lines, and across line breaks), normalised, none empty."""
+    lines = F.split(text, "\n")
+    sentences = F.concat(F.flatten(F.transform(lines, lambda l: F.split(l, SENTENCE_END))), F.split(text, SENTENCE_END))
+    return F.filter(F.array_distinct(F.transform(F.concat(F.array(text), lines, sentences), _normal)), lambda u: u != "")
+
+
 def _lines(text: Column) -> Column:
     """Lines with their quote level and bare text."""
     return F.transform(
@@ -75,26 +84,25 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     )
     parsed = staged(parse(held, "body").withColumn("mid", F.xxhash64("conv", "turn", "body")).select("row", "conv", "turn", "mid", "own", "passages"), "quotes")
     passages = parsed.select("conv", "turn", "mid", F.posexplode("passages").alias("at", "p")).select(
-        "conv", "turn", "mid", "at", F.col("p.level").alias("level"), _normal(F.col("p.text")).alias("norm")
+        "conv", "turn", "mid", "at", F.col("p.level").alias("level"), _normal(F.col("p.text")).alias("norm"), _units(F.col("p.text")).alias("units")
     ).filter("norm <> ''").distinct()
-    # a passage may be a whole message or any line of it; each distinct text keeps its first writer
-    units = F.array_distinct(F.concat(F.array(_normal(F.col("own"))), F.transform(F.split("own", "\n"), _normal)))
+    # a passage may be a whole message or any line or sentence of it; each distinct text keeps its first writer
     written = (
         parsed.join(passages.select("conv").distinct(), "conv", "left_semi")
-        .select("conv", "turn", F.explode(units).alias("unit"))
-        .filter("unit <> ''")
+        .select("conv", "turn", F.explode(_units(F.col("own"))).alias("unit"))
         .groupBy("conv", F.sha2("unit", 256).alias("hash"))
         .agg(F.min("turn").alias("origin"))
     )
     whole = passages.withColumn("hash", F.sha2("norm", 256)).join(written, ["conv", "hash"], "left")
-    # several lines of a longer message: the writer of the passage's first known line
     linked = whole.filter("origin is not null and origin < turn").select("mid", "at", "level", "origin")
-    rest = whole.filter("origin is null or origin >= turn").select("conv", "turn", "mid", "at", "level", F.posexplode(F.split("norm", "\n|(?<=[.!?]) ")).alias("k", "line"))
-    by_line = (
-        rest.withColumn("hash", F.sha2(_normal(F.col("line")), 256)).join(written, ["conv", "hash"]).filter("origin < turn")
-        .groupBy("mid", "at", "level").agg(F.min(F.struct("k", "origin"))["origin"].alias("origin"))
+    # several lines or sentences of a longer message: the writer of the longest known one, the first of equal length
+    rest = whole.filter("origin is null or origin >= turn").select("conv", "turn", "mid", "at", "level", F.posexplode("units").alias("k", "unit"))
+    by_unit = (
+        rest.select("conv", "turn", "mid", "at", "level", "k", (-F.length("unit")).alias("short"), F.sha2("unit", 256).alias("hash"))
+        .join(written, ["conv", "hash"]).filter("origin < turn")
+        .groupBy("mid", "at", "level").agg(F.min(F.struct("short", "k", "origin"))["origin"].alias("origin"))
     )
-    origins = linked.unionByName(by_line)
+    origins = linked.unionByName(by_unit)
     answers = origins.groupBy("mid").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "at", "origin"))["origin"].alias("parent_turn"))
     with_parent = staged(parsed.join(answers, "mid", "left"), "answers")
     paths = _paths(with_parent)
