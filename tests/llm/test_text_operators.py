@@ -230,6 +230,8 @@ def test_copies_of_a_missing_middle(spark):
     """Every copy is near the original but few are near each other: the original is found though it is not the hub."""
     import random
 
+    import random
+
     rng = random.Random(3)
     original = [f"w{k}" for k in range(300)]
     rows = [(999, " ".join(original))]
@@ -276,6 +278,26 @@ def test_language(spark):
     assert strange["rejected"]
 
 
+def test_every_language_has_a_limit(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda parts: "".join(rng.choice(parts.split()) for _ in range(3))
+    rows = [(" ".join(word(p) for _ in range(rng.randint(5, 40))), lang) for lang, p in (("aa", "ta ri mo len"), ("bb", "ske vu pra ni")) for _ in range(200)]
+    rows += [("qzxw jqkz wqxj zwkq", "dd"), ("", "ee")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = langid.fit(df)
+    assert set(model.limits) == set(model.langs) == {"aa", "bb", "dd"}
+    h = {lang: [-s[k] / n for s, n in zip(*model.score([t for t, x in rows if x == lang]))] for k, lang in enumerate(model.langs)}
+    n = {lang: model.score([t for t, x in rows if x == lang])[1] for lang in model.langs}
+    for lang in ("aa", "bb"):
+        mean, squares = np.average(h[lang], weights=n[lang]), (np.array(h[lang]) - np.average(h[lang], weights=n[lang])) ** 2
+        slope = max(0.0, np.cov(1 / n[lang], squares)[0, 1] / np.var(1 / n[lang], ddof=1))
+        assert np.allclose(model.limits[lang], (mean, max(squares.mean() - slope * (1 / n[lang]).mean(), langid.LEAST_SPREAD), slope), rtol=1e-6, atol=1e-9)
+    found = model.decide(["qgzf xcwb jdkh zyqg " * 20, rows[-2][0], rows[0][0]])
+    assert [(f[0], f[3]) for f in found] == [("dd", True), ("dd", False), ("aa", False)]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     code = rng.integers(0, 1 << 24, 3000) & 0x0C30C3

@@ -7,7 +7,8 @@ array with a column per language, lower orders in dense tables.  A text goes to
 the lowest cross-entropy per symbol.
 
 A text is rejected if it is null or has no letter, or if its best cross-entropy lies beyond what
-texts of that language and length show (calibrated on at most ``sample`` labelled rows).
+texts of that language and length show (calibrated on all labelled rows, added up per language; a
+language with fewer than ``FEW`` of them takes the limit of all languages together).
 
 Defined results: a null or letterless text is ``und`` with score 0; ties go to the first language by
 name; rows without a language are not learned from; without any labelled row everything is
@@ -31,6 +32,8 @@ LIMIT = 512 << 20
 UNKNOWN = "und"
 TEXTS = -1
 LEAST_SPREAD = 0.04
+FEW = 16
+TEMPERS = [2.0**-k for k in range(12)]
 _tables: list[np.ndarray] = []
 
 
@@ -213,11 +216,10 @@ def gram_counts(train: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 4096, limit_bytes: int = LIMIT) -> Model:
-    """Learn from every row with a text and a language; calibrate on at most ``sample`` of them, chosen by hash."""
+    """Learn from every row with a text and a language, and calibrate on every one; ``sample`` is accepted and limits nothing."""
     ready(labelled.sparkSession)
     train = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = gram_counts(train).toPandas()
-    rows = int(counts.loc[counts["key"] == TEXTS, "n"].sum())
     counts = counts[counts["key"] != TEXTS]
     langs = sorted(counts["lang"].unique())
     all_keys = np.unique(counts["key"].to_numpy()).astype(np.uint32)
@@ -233,49 +235,70 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         low[:, k], back[:, k] = np.log2(p3), np.log2(weight)
     model = Model(langs, all_keys, high, low, back)
     if langs:
-        calibrate(model, train, sample, rows)
+        calibrate(model, train)
     return model
 
 
-def calibrate(model: Model, train: DataFrame, sample: int, rows: int) -> None:
-    """Temper of the score, and per language the mean cross-entropy and its spread by length."""
+def _limit(total: np.ndarray) -> tuple[float, float, float]:
+    """Mean cross-entropy, its spread, and what a short text adds to it, from sums over rows (see ``calibrate``)."""
+    rows, symbols, bits, h, hh, i, ii, ih, ihh = total
+    mean = bits / symbols
+    squares = max(hh / rows - 2 * mean * h / rows + mean * mean, 0.0)
+    together = (ihh - 2 * mean * ih + mean * mean * i) / rows
+    inverse, varies = i / rows, ii / rows - (i / rows) ** 2
+    slope = max(0.0, (together - inverse * squares) / varies) if varies > 1e-9 * ii / rows else 0.0
+    # mixed but sound texts differ by some tenths of a bit: never expect less spread than that
+    return float(mean), float(max(squares - slope * inverse, LEAST_SPREAD)), float(slope)
+
+
+def calibrate(model: Model, train: DataFrame) -> None:
+    """Temper of the score, and per language the mean cross-entropy and its spread by length.
+
+    Every row is scored where it is; tasks add up powers of its cross-entropy and of its inverse length
+    and its loss at each temper, so one row per task and language moves.
+    """
     shared = train.sparkSession.sparkContext.broadcast(model)
+    width = 9 + len(TEMPERS)
 
     def run(batches):
         import pyarrow as pa
 
+        known = shared.value
+        place = {lang: k for k, lang in enumerate(known.langs)}
+        totals = np.zeros((len(known.langs), width))
         for batch in batches:
-            sums, counts = shared.value.score([t.as_py() for t in batch.column("text")])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(sums), pa.list_(pa.float64())), pa.array(counts)], names=["lang", "sums", "n"])
-
-    # rows are chosen by their hash and scored where they are; only their few numbers move
-    share = min(1.0, sample / max(rows, 1))
-    chosen = train.filter(F.xxhash64("text", "lang") <= int((share - 0.5) * (2.0**64 - 4096)))
-    scored = chosen.mapInArrow(run, "lang string, sums array<double>, n long").filter("n > 0")
-    seen = scored.orderBy(F.xxhash64("lang", "sums", "n")).limit(sample).toPandas()
-    if not len(seen):
-        return
-    sums, n = np.vstack(seen["sums"]), seen["n"].to_numpy()
-    truth = np.array([model.langs.index(x) for x in seen["lang"]])
-    tempers = [2.0**-k for k in range(12)]
-
-    def loss(temper):
-        z = temper * (sums - sums.max(axis=1, keepdims=True))
-        return float((np.log2(np.exp2(np.maximum(z, -1000)).sum(axis=1)) - z[np.arange(len(z)), truth]).sum())
-
-    model.temper = min(tempers, key=loss)
-    for k, lang in enumerate(model.langs):
-        own = truth == k
-        if own.sum() < 2:
-            continue
-        h, inverse = -sums[own, k] / n[own], 1 / n[own]
-        mean = np.average(h, weights=n[own])
-        squares = (h - mean) ** 2
-        slope = max(0.0, float(np.cov(inverse, squares)[0, 1] / max(np.var(inverse, ddof=1), 1e-30)))
-        # mixed but sound texts differ by some tenths of a bit: never expect less spread than that
-        spread = max(float(squares.mean() - slope * inverse.mean()), LEAST_SPREAD)
-        model.limits[lang] = (float(mean), spread, slope)
+            sums, n = known.score([t.as_py() for t in batch.column("text")])
+            truth = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            good = (n > 0) & (truth >= 0)
+            sums, n, truth = sums[good], n[good].astype(np.float64), truth[good]
+            top, own = sums.max(axis=1, initial=-np.inf), sums[np.arange(len(n)), truth]
+            h, i = -own / n, 1 / n
+            columns = [np.ones(len(n)), n, -own, h, h * h, i, i * i, i * h, i * h * h]
+            for t in TEMPERS:
+                z = t * (sums - top[:, None])
+                columns.append(np.log2(np.exp2(np.maximum(z, -1000)).sum(axis=1)) - t * (own - top))
+            np.add.at(totals, truth, np.stack(columns, axis=1))
+        seen = np.flatnonzero(totals[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([known.langs[k] for k in seen], pa.string()), *(pa.array(totals[seen, c]) for c in range(width))],
+            names=["lang", *(f"c{c}" for c in range(width))],
+        )
+
+    names = [f"c{c}" for c in range(width)]
+    scored = train.mapInArrow(run, "lang string, " + ", ".join(f"{c} double" for c in names))
+    found = {r["lang"]: np.array([r[c] for c in names]) for r in scored.groupBy("lang").agg(*[F.sum(c).alias(c) for c in names]).collect()}
     shared.destroy()
+    if not found:
+        return
+    pooled = np.sum([found[lang] for lang in sorted(found)], axis=0)
+    model.temper = TEMPERS[int(np.argmin(pooled[9:]))]
+    mean, spread, slope = _limit(pooled[:9])
+    for lang in model.langs:
+        own = found.get(lang)
+        if own is not None and own[0] >= FEW:
+            model.limits[lang] = _limit(own[:9])
+        else:
+            model.limits[lang] = (mean if own is None else max(mean, float(own[2] / own[1])), spread, slope)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
