@@ -141,6 +141,15 @@ def test_decontamination(spark, docs, texts):
     assert cut.columns == docs.columns and decontam.scan(cut.filter("doc_id < 130"), tests.filter("item_id <> 'short'")).filter("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    passage = " ".join(f"word{k}" for k in range(20))
+    tests = spark.createDataFrame([(None, passage), ("named", "other words that have a name")], "item_id string, text string")
+    texts = spark.createDataFrame([(1, "before " + passage + " after"), (2, "other words that have a name"), (3, "clean")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_words"], r["n_hit"], r["items"], len(r["spans"])) for r in decontam.scan(texts, tests).collect()}
+    assert got == {1: (22, 20, [], 1), 2: (6, 6, ["named"], 1), 3: (1, 0, [], 0)}
+    assert [r["doc_id"] for r in decontam.remove_documents(texts, tests).collect()] == [3]
+
+
 def test_decontamination_refuses_large_benchmarks(spark, docs):
     with pytest.raises(ValueError):
         decontam.scan(docs, spark.createDataFrame([("a", "b c")], "item_id string, text string"), limit_bytes=1)

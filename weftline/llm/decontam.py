@@ -5,7 +5,7 @@ run of ``width`` words; a shorter item gives itself.  Each training document is
 place: hashes select windows, the words themselves confirm them.  No shuffle.
 
 Defined results: null and empty texts have no words and no hits; items without words give no
-window; repeated items each count; an empty test table hits nothing; the words of a text are never
+window; repeated items each count; an item without an id hits like any other and is not named; an empty test table hits nothing; the words of a text are never
 cut short.
 """
 
@@ -22,7 +22,7 @@ WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
-def test_windows(items: list[tuple[str, str | None]], width: int):
+def test_windows(items: list[tuple[str | None, str | None]], width: int):
     """Per window length: sorted hashes; and for each hash the window's words with the items that have them."""
     hashes: dict[int, set] = {}
     holders: dict[int, dict[bytes, set]] = {}
@@ -36,7 +36,9 @@ def test_windows(items: list[tuple[str, str | None]], width: int):
         names = [raw[a:b] for a, b in zip(starts, ends)]
         for k, h in enumerate(window_hashes(words, size).tolist()):
             hashes.setdefault(size, set()).add(h)
-            holders.setdefault(h, {}).setdefault(b" ".join(names[k : k + size]), set()).add(item)
+            who = holders.setdefault(h, {}).setdefault(b" ".join(names[k : k + size]), set())
+            if item is not None:
+                who.add(item)
     return {size: np.array(sorted(found), np.uint64) for size, found in hashes.items()}, holders
 
 
@@ -60,7 +62,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > limit_bytes:
         raise ValueError(f"the benchmark has {total} bytes, more than limit_bytes={limit_bytes}")
-    shared = spark.sparkContext.broadcast(test_windows([(r["item"], r["text"]) for r in tests.collect() if r["item"] is not None], width))
+    shared = spark.sparkContext.broadcast(test_windows([(r["item"], r["text"]) for r in tests.collect()], width))
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     schema = with_row(held, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
@@ -85,7 +87,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
                 for k in found.tolist():
                     text = b" ".join(low[a:b].tobytes() for a, b in zip(starts[k : k + size], ends[k : k + size]))
                     who = holders[int(window_hashes(words[k : k + size], size)[0])].get(text)
-                    if who:
+                    if who is not None:
                         cover[k] += 1
                         cover[k + size] -= 1
                         items.setdefault(int(row[k]), set()).update(who)
