@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -143,3 +144,40 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = out * STEP + words[k : k + n]
     return mix64(out)
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
+    """``key, at`` and ``keep`` of all rows sorted by key and ``order`` (nulls first), with ``pos`` inside the key and its ``total``.
+
+    Rows are dealt by ranges, so a key with most of the rows lies in many partitions; a row's number is
+    its place in its partition plus what earlier partitions hold of its key.  ``at`` is the place over all.
+    """
+    spark = rows.sparkSession
+    held = staged(rows.withColumn("_uid", F.monotonically_increasing_id()), "unsorted")
+    by = [F.col(c).asc_nulls_first() for c in (key, *order, "_uid")]
+    parts = pieces_for(spark, held.count(), 1 << 20)
+    dealt = held.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    dealt = staged(dealt.select(key, *keep, F.monotonically_increasing_id().alias("at")), "sorted")
+    # one column for the key, so that null keys meet too
+    own = dealt.withColumn("_run", F.struct(F.shiftright("at", 33).alias("part"), F.col(key).alias("key")))
+    runs = own.groupBy("_run").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    of_key = W.partitionBy("_run.key")
+    runs = runs.select("_run", "first", (F.sum("n").over(of_key.orderBy("_run.part")) - F.col("n")).alias("before"), F.sum("n").over(of_key).alias("total"))
+    return own.join(runs, "_run").select(key, *keep, "at", (F.col("before") + F.col("at") - F.col("first")).alias("pos"), "total")
+
+
+def attach(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with ``right``, which has each key once; ``left`` may hold a key in any share of its rows.
+
+    Keys with more rows than an even partition would have are fewer than the partitions, so their list is
+    broadcast; their rows are dealt over salts and their row of ``right`` goes along once per salt.
+    """
+    parts = shuffle_parts(left.sparkSession)
+    total = left.count()
+    counted = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") * parts > total)
+    hot = F.broadcast(counted.select(key, F.ceil(F.col("_n") * parts / total).cast("long").alias("_salts")))
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0).cast("long")).alias("_salt")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1)).alias("_salt")
+    dealt = left.join(hot, key, "left").select(*left.columns, salt)
+    copies = right.join(hot, key, "left").select(*right.columns, salts)
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")

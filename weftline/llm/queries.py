@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, digest, langid, minhash, oracles, packing, pii, quotes, sharding, suffixes, urlfilter
+from weftline.llm import decontam, digest, langid, merkle, minhash, oracles, packing, pii, quotes, sharding, simhash, suffixes, trie, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = [
@@ -96,6 +96,27 @@ def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.conv_id", "row.turn", "row.role", "own", "n_passages", "n_linked", "parent_turn", "order_key")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(fields(lower)))
+    rows = merkle.manifest(docs, merkle.leaf(fields(F.col("text"))), "source", "doc_id", {"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("siblings")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = trie.turns(read(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_shared_heads(own, every=100, most=6))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(read(spark, sf_dir, "documents"), width=3, radius=3)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_personal_data": op2_personal_data,
@@ -107,5 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_quotation": op10_quotation,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_simhash": op13_simhash,
 }
 ORACLES = oracles.ORACLES
