@@ -127,9 +127,9 @@ class Shard:
 
     @staticmethod
     def _packed(members: list[int]) -> int:
-        out = np.zeros(members[-1] // 8 + 1, np.uint8)
-        np.bitwise_or.at(out, np.array(members) >> 3, np.left_shift(np.uint8(1), np.array(members, np.uint8) & np.uint8(7)))
-        return int.from_bytes(out.tobytes(), "little")
+        out = np.zeros(members[-1] + 1, np.uint8)
+        out[members] = 1
+        return int.from_bytes(np.packbits(out, bitorder="little").tobytes(), "little")
 
     def _members(self, bits: int, ending: int) -> tuple[int, int, bytes | None]:
         done = [self.ids[i] for i in _bits(bits & ending) if self.ended[i]]
