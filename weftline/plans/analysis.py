@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import clean, diagnostics, graph, reduce, regress, sweep
+from weftline.operators import clean, diagnostics, graph, reduce, regress, stl, sweep
 from weftline.panel import Panel
 from weftline.plans import registry
 from weftline.plans.config import RunSpec, build_run_spec, expand_variants
@@ -65,6 +65,9 @@ def preprocess(
     outlier_args: dict | None = None,
     interpolate: bool = True,
     ar_order: int = 0,
+    deseason: bool = False,
+    season_period: int | None = None,
+    season_args: dict | None = None,
     normalize: str = "none",
 ) -> tuple[Panel, Report]:
     """The cleaning chain in its fixed order; each enabled step is one lazy transform."""
@@ -84,6 +87,7 @@ def preprocess(
         (bool(outlier_rule), f"outliers:{outlier_rule}:{outlier_action}", lambda d: clean.outliers(d, outlier_rule, outlier_action, **(outlier_args or {}))),
         (interpolate, "interpolate", clean.fill_linear),
         (ar_order > 0, f"prewhiten:{ar_order}", lambda d: regress.prewhiten(staged(d), ar_order)),
+        (deseason, f"deseason:{season_period or 'auto'}", lambda d: stl.remove_seasonality(staged(d), season_period, **(season_args or {}))),
         (normalize not in ("none", "", None), f"normalize:{normalize}", lambda d: clean.normalize(d, normalize)),
     ]
     for on, name, step in chain:

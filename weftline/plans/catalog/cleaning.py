@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import clean
+from weftline.operators import clean, stl
 from weftline.plans.catalog.base import Tables, panel_sql, query, r6
 
 EV = panel_sql("ev_mean")
@@ -213,3 +213,68 @@ register(
     "WINDOW w0 AS (PARTITION BY channel ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w1 AS (PARTITION BY channel ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), "
     "s AS (SELECT t, channel, coalesce(value, v0 + (v1 - v0) * (t - t0) / (t1 - t0), v0, v1, 0.0) AS v FROM f2)",
 )
+
+
+def local_fit_sql(name: str, source: str, width: int, beyond: int = 0) -> str:
+    """CTE ``name(g, i, fit)``: degree-one local fits of ``source(g, i, v, w)`` at positions 0 .. n - 1 and ``beyond`` both ends."""
+    return f"""{name}_n AS (SELECT g, max(i) + 1 AS n FROM {source} GROUP BY g),
+{name}_p AS (SELECT g, n, unnest(range(-{beyond}, n + {beyond})) AS i FROM {name}_n),
+{name}_w AS (SELECT *, greatest(least(i - {(width + 1) // 2 - 1}, n - {width}), 0) AS l FROM {name}_p),
+{name}_h AS (SELECT *, greatest(i - l, least(l + {width}, n) - 1 - i) + greatest({width} - n, 0) // 2 AS h FROM {name}_w),
+{name}_k AS (
+  SELECT q.g, q.i, q.n, s.i - q.i AS d, s.v, s.w * CASE WHEN abs(s.i - q.i) <= 0.001 * h THEN 1.0 WHEN abs(s.i - q.i) <= 0.999 * h THEN pow(1 - pow(abs(s.i - q.i) / h, 3), 3) ELSE 0.0 END AS k
+  FROM {name}_h q JOIN {source} s ON s.g = q.g AND s.i >= l AND s.i < l + {width}
+),
+{name}_s AS (SELECT g, i, n, sum(k) AS s0, sum(k * d) / sum(k) AS d, sum(k * d * d) / sum(k) - pow(sum(k * d) / sum(k), 2) AS c, sum(k * v) / sum(k) AS y, sum(k * v * d) / sum(k) AS yd FROM {name}_k GROUP BY g, i, n),
+{name} AS MATERIALIZED (SELECT g, i, CASE WHEN s0 > 0 THEN CASE WHEN sqrt(greatest(c, 0)) > 0.001 * (n - 1) THEN y - d / c * (yd - d * y) ELSE y END END AS fit FROM {name}_s)"""
+
+
+def stl_sql(panel: str, period: int, inner: int, outer: int, seasonal: int = 7) -> str:
+    """Seasonal part and trend of mean-filled channels, every round spelled out."""
+    nt, nl = stl.trend_span(period, seasonal), stl.low_pass_span(period)
+    parts = [panel_sql(panel) + ", y AS MATERIALIZED (SELECT channel, t, coalesce(value, avg(value) OVER (PARTITION BY channel)) AS y FROM pl), len AS (SELECT max(t) + 1 AS n FROM y)"]
+    parts.append("st0 AS MATERIALIZED (SELECT channel, t, y, 1.0::DOUBLE AS w, 0.0::DOUBLE AS trend, 0.0::DOUBLE AS seasonal FROM y)")
+    at = 0
+    for r in range(outer + 1):
+        if r:
+            parts.append(
+                f"md{at} AS (SELECT channel, 6 * quantile_cont(abs(y - trend - seasonal), 0.5) AS h FROM st{at} GROUP BY 1), "
+                f"sw{at} AS MATERIALIZED (SELECT channel, t, y, trend, seasonal, CASE WHEN abs(y - trend - seasonal) <= 0.001 * h THEN 1.0 WHEN abs(y - trend - seasonal) <= 0.999 * h "
+                f"THEN pow(1 - pow(abs(y - trend - seasonal) / h, 2), 2) ELSE 0.0 END AS w FROM st{at} JOIN md{at} USING (channel))"
+            )
+        for k in range(inner):
+            s = f"sw{at}" if r and not k else f"st{at}"
+            at += 1
+            parts.append(f"cy{at} AS MATERIALIZED (SELECT channel || '/' || (t % {period}) AS g, t // {period} AS i, channel, t, y - trend AS v, w FROM {s})")
+            parts.append(local_fit_sql(f"cf{at}", f"cy{at}", seasonal, 1))
+            parts.append(
+                f"cc{at} AS MATERIALIZED (SELECT channel, i * {period} + ph AS t, fit AS c FROM cf{at} JOIN (SELECT DISTINCT g, channel, t % {period} AS ph FROM cy{at}) USING (g)), "
+                f"m1{at} AS (SELECT channel, t, avg(c) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN CURRENT ROW AND {period - 1} FOLLOWING) AS c FROM cc{at}), "
+                f"m2{at} AS (SELECT channel, t, avg(c) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN CURRENT ROW AND {period - 1} FOLLOWING) AS c FROM m1{at}), "
+                f"m3{at} AS (SELECT channel, t, avg(c) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c FROM m2{at}), "
+                f"lv{at} AS MATERIALIZED (SELECT channel AS g, t + {period} AS i, c AS v, 1.0 AS w FROM m3{at}, len WHERE t + {period} < n)"
+            )
+            parts.append(local_fit_sql(f"lo{at}", f"lv{at}", nl))
+            parts.append(
+                f"se{at} AS MATERIALIZED (SELECT s.channel, s.t, s.y, s.w, c.c - l.fit AS seasonal FROM {s} s JOIN cc{at} c ON c.channel = s.channel AND c.t = s.t JOIN lo{at} l ON l.g = s.channel AND l.i = s.t), "
+                f"de{at} AS MATERIALIZED (SELECT channel AS g, t AS i, y - seasonal AS v, w FROM se{at})"
+            )
+            parts.append(local_fit_sql(f"tr{at}", f"de{at}", nt))
+            parts.append(f"st{at} AS MATERIALIZED (SELECT e.channel, e.t, e.y, e.w, r.fit AS trend, e.seasonal FROM se{at} e JOIN tr{at} r ON r.g = e.channel AND r.i = e.t)")
+    return ", ".join(parts) + f" SELECT channel, t, round(trend, 5) + 0.0 AS trend, round(seasonal, 5) + 0.0 AS seasonal, round(y - seasonal, 5) + 0.0 AS value FROM st{at}"
+
+
+def _decomposed(tb: Tables, **options):
+    d = stl.decompose(clean.fill_mean(tb.ev_mean().long()), 24, **options)
+    return d.select("channel", "t", r6("trend", 5).alias("trend"), r6("seasonal", 5).alias("seasonal"), r6(F.col("y") - F.col("seasonal"), 5).alias("value"))
+
+
+@query("stl", stl_sql("ev_mean", 24, 2, 15))
+def stl_robust(tb: Tables):
+    """Daily season of hourly means, with fifteen rounds of robust weights."""
+    return _decomposed(tb)
+
+
+@query("stl_plain", stl_sql("ev_mean", 24, 5, 0))
+def stl_plain(tb: Tables):
+    return _decomposed(tb, robust=False)
