@@ -18,7 +18,8 @@ send their windows too.
 
 Defined results: null and empty texts have no bytes; a null id removes nothing and keeps everything;
 rows with equal ids never remove from each other; texts of any length are cut into overlapping
-pieces for hashing only.
+pieces for hashing only.  Of segments that a document repeats only the first is looked up; the others lose
+the same windows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BUCKET_BYTES = 12 << 20
 HOT = 8
 WILD = 0x80
 MANY = 0x40
-TEXT, SPAN, CANDIDATE, ENTRY = 0, 1, 2, 3
+TEXT, SPAN, CANDIDATE, ENTRY, ECHO = 0, 1, 2, 3, 4
 U = np.uint64
 FACTOR = U(0x9E3779B97F4A7C15)
 M40 = U((1 << 40) - 1)
@@ -191,6 +192,22 @@ def _span_rows(kind: int, key: np.ndarray, pos: np.ndarray, count: np.ndarray, b
     return [(b, kind, _pack(key[p]), _pack(pos[p].astype(np.uint32)), _pack(count[p].astype(np.uint32)), None, None) for b, p in _by(_bucket(mix64(key), buckets))]
 
 
+def _without_echoes(e: Entries, buckets: int) -> tuple[Entries, list[tuple]]:
+    """Of equal segments of one document (sorted entries) the first; the others are told, dealt by document, to do as it does."""
+    if not len(e):
+        return e, []
+    again = np.concatenate([[False], (e.m[1:] == e.m[:-1]) & (e.seg[1:] == e.seg[:-1]) & (e.key[1:] == e.key[:-1])])
+    at = np.flatnonzero(again)
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(e))))[at]
+    order = np.lexsort((e.pos[at], e.pos[first], e.key[at]))
+    at, first = at[order], first[order]
+    rows = [
+        (b, ECHO, _pack(e.key[at[p]]), _pack(np.diff(e.pos[first[p]].astype(np.int64), prepend=0)), _pack(np.diff(e.pos[at[p]].astype(np.int64), prepend=0)), _pack(e.count[at[p]]), None)
+        for b, p in _by(_bucket(mix64(e.key[at]), buckets))
+    ]
+    return e.take(~again), rows
+
+
 class Entries:
     """Sorted entries of one batch or level: gram, segment, marks, document (id and key), place, number of windows."""
 
@@ -285,8 +302,9 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def flush(parts: list[Entries]):
         e = Entries.joined(parts).sorted()
+        e, rows = _without_echoes(e, buckets)
         late = e.later()
-        rows = _span_rows(SPAN, e.key[late], e.pos[late], e.count[late], buckets)
+        rows += _span_rows(SPAN, e.key[late], e.pos[late], e.count[late], buckets)
         e = e.take(~late)
         # a gram with many segments here sends one or two marks; its segments are settled by their windows
         at = np.flatnonzero(np.concatenate([[True], e.m[1:] != e.m[:-1]])) if len(e) else np.empty(0, np.int64)
@@ -337,7 +355,7 @@ def _entries(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def _rows(batches):
@@ -363,7 +381,7 @@ def _settled(dealt: DataFrame, buckets: int) -> DataFrame:
         family, current = None, None
         for bucket, kind, a, b, c, d, e in _rows(batches):
             if kind != ENTRY:
-                yield _batch([(bucket, kind, a, b, c, None, None)])
+                yield _batch([(bucket, kind, a, b, c, d, e)])
                 continue
             if bucket != current:
                 if family is not None:
@@ -414,6 +432,28 @@ def _texts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SCHEMA)
 
 
+def _echoed(key: np.ndarray, pos: np.ndarray, count: np.ndarray, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans, and for each echo those parts of them that lie in the first of its segments, at the echo's place.
+
+    Spans are runs of window starts, sorted by document and start; they come back so sorted.
+    """
+    added = []
+    for a, b, c, d, _ in rows:
+        own, first, at, n = _unpack(a, U), np.cumsum(_unpack(b, np.int64)), np.cumsum(_unpack(c, np.int64)), _unpack(d, np.uint8).astype(np.int64)
+        lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+        for k in np.flatnonzero(hi > lo).tolist():
+            s = np.maximum(pos[lo[k] : hi[k]], first[k])
+            e = np.minimum(pos[lo[k] : hi[k]] + count[lo[k] : hi[k]], first[k] + n[k])
+            hit = e > s
+            if hit.any():
+                added.append((np.repeat(own[k], hit.sum()), s[hit] + at[k] - first[k], (e - s)[hit]))
+    if not added:
+        return key, pos, count
+    key, pos, count = (np.concatenate([x, *more]) for x, more in zip((key, pos, count), zip(*added)))
+    order = np.lexsort((pos, key))
+    return key[order], pos[order], count[order]
+
+
 def _found_spans(kind_rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, starts and counts of span rows, sorted by key and start."""
     if not kind_rows:
@@ -425,24 +465,25 @@ def _found_spans(kind_rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _per_bucket(batches):
-    """For each bucket its text blocks and its other rows."""
-    current, texts, others = None, [], []
-    for bucket, kind, a, b, c, d, e in _rows(batches):
+    """For each bucket its rows by kind."""
+    current, held = None, {}
+    for bucket, kind, *rest in _rows(batches):
         if bucket != current:
-            if current is not None:
-                yield current, texts, others
-            current, texts, others = bucket, [], []
-        (texts if kind == TEXT else others).append((a, b, c, d, e))
-    if current is not None:
-        yield current, texts, others
+            if held:
+                yield held
+            current, held = bucket, {}
+        held.setdefault(kind, []).append(tuple(rest))
+    if held:
+        yield held
 
 
 def _windows(dealt: DataFrame, width: int, buckets: int) -> DataFrame:
     """Windows of candidate segments, dealt by their hash; within a task the first document of each is enough."""
 
     def run(batches):
-        for _, texts, others in _per_bucket(batches):
-            key, pos, count = _found_spans(others)
+        for rows in _per_bucket(batches):
+            texts = rows.get(TEXT, [])
+            key, pos, count = _found_spans(rows.get(CANDIDATE, []))
             h1s, h2s, docs, keys, starts = [], [], [], [], []
             for a, b, c, d, e in texts if len(key) else ():
                 data, sizes, own, ids = _unpack(a, np.uint8), _unpack(b, np.int64), _unpack(c, U), _unpack(d, np.int64)
@@ -475,7 +516,7 @@ def _windows(dealt: DataFrame, width: int, buckets: int) -> DataFrame:
             for w, p in _by(_bucket(h1[order], buckets)):
                 p = order[p]
                 p = p[np.lexsort((start[p], own[p]))]
-                yield _batch([(w, ENTRY, h1[p].tobytes(), h2[p].tobytes(), _pack(doc[p]), _pack(own[p]), _pack(start[p].astype(np.uint32)))])
+                yield _batch([(w, ENTRY, h1[p].tobytes(), h2[p].tobytes(), _pack(doc[p]), _pack(own[p]), _pack(np.diff(start[p], prepend=0).astype(np.int32)))])
 
     return dealt.mapInArrow(run, SCHEMA)
 
@@ -499,14 +540,14 @@ def _window_spans(dealt: DataFrame, buckets: int) -> DataFrame:
 
         for bucket, kind, a, b, c, d, e in _rows(batches):
             if kind != ENTRY:
-                yield _batch([(bucket, kind, a, b, c, None, None)])
+                yield _batch([(bucket, kind, a, b, c, d, e)])
                 continue
             if bucket != current and held:
                 for r in finish():
                     yield _batch([r])
                 held = []
             current = bucket
-            held.append((np.frombuffer(a, U), np.frombuffer(b, np.uint32), _unpack(c, np.int64), _unpack(d, U), _unpack(e, np.uint32).astype(np.int64)))
+            held.append((np.frombuffer(a, U), np.frombuffer(b, np.uint32), _unpack(c, np.int64), _unpack(d, U), np.cumsum(_unpack(e, np.int32).astype(np.int64))))
         if held:
             for r in finish():
                 yield _batch([r])
@@ -525,9 +566,9 @@ def _removed(dealt: DataFrame, width: int) -> DataFrame:
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), span, pa.binary()])], names=["doc_id", "n_bytes", "spans", "kept"])
 
-        for _, texts, others in _per_bucket(batches):
-            key, pos, count = _found_spans(others)
-            for a, b, c, d, e in texts:
+        for found in _per_bucket(batches):
+            key, pos, count = _echoed(*_found_spans(found.get(SPAN, [])), found.get(ECHO, []))
+            for a, b, c, d, e in found.get(TEXT, []):
                 data, sizes, own, ids, no_id = _unpack(a, np.uint8), _unpack(b, np.int64), _unpack(c, U), _unpack(d, np.int64), np.frombuffer(e, bool)
                 begins = np.cumsum(sizes) - sizes
                 lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
@@ -568,5 +609,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     candidates = settled.filter(F.col("kind") == CANDIDATE)
     windows = _windows(_dealt(_texts(held, buckets).unionByName(candidates), buckets), width, buckets)
     more = staged(_window_spans(_dealt(windows, buckets), buckets), "window-spans")
-    spans = settled.filter(F.col("kind") == SPAN).unionByName(more)
+    spans = settled.filter(F.col("kind").isin(SPAN, ECHO)).unionByName(more)
     return _removed(_dealt(_texts(held, buckets).unionByName(spans), buckets), width)
