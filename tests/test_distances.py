@@ -1,9 +1,11 @@
-"""Distance and neighbour metrics with many small strips against brute force."""
+"""Distance and neighbour metrics with many small strips and cells against brute force."""
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.functions import kdcells
 from weftline.functions.special import digamma
 from weftline.operators import distances, neighbors
 
@@ -54,10 +56,10 @@ def ksg(x, y, k=5):
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "hot", "line"])
-@pytest.mark.parametrize("strip", [16, 100000])
-def test_mutual_information(spark, kind, strip):
+@pytest.mark.parametrize("cell", [16, 100000])
+def test_mutual_information(spark, kind, cell):
     x, y = samples(kind)
-    got = neighbors.mutual_information(points(spark, x, y), strip=strip).first().value
+    got = neighbors.mutual_information(points(spark, x, y), cell=cell).first().value
     assert got == pytest.approx(ksg(x, y), abs=1e-9)
 
 
@@ -67,7 +69,7 @@ def test_nearest(spark, metric):
     p = rng.normal(size=(300, 3))
     p[:90, 0] = 0.25
     df = spark.createDataFrame(pd.DataFrame({"k": "g", "id": np.arange(300), "c": p.tolist(), "w": 1}), "k string, id bigint, c array<double>, w bigint")
-    got = neighbors.nearest(df, ["k"], 3, metric, strip=12).toPandas().sort_values("id")
+    got = neighbors.nearest(df, ["k"], 3, metric, cell=12).toPandas().sort_values("id")
     diff = np.abs(p[:, None, :] - p[None, :, :])
     d = diff.max(axis=2) if metric == "chebyshev" else np.sqrt((diff**2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
@@ -79,9 +81,44 @@ def test_sample_entropy(spark):
     rng = np.random.default_rng(4)
     v = np.round(rng.normal(size=250), 1)
     df = spark.createDataFrame(pd.DataFrame({"t": np.arange(250), "channel": "c", "value": v}))
-    got = neighbors.sample_entropy(df, tolerance=0.35, strip=20).first().value
+    got = neighbors.sample_entropy(df, tolerance=0.35, cell=20).first().value
     m = np.stack([v[:-2], v[1:-1], v[2:]], axis=1)
     d2 = np.abs(m[:, None, :2] - m[None, :, :2]).max(axis=2) < 0.35
     d3 = np.abs(m[:, None] - m[None, :]).max(axis=2) < 0.35
     n = len(m)
     assert got == pytest.approx(-np.log((d3.sum() - n) / (d2.sum() - n)), abs=1e-12)
+
+
+def spread_points(n, seed, kind):
+    rng = np.random.default_rng(seed)
+    x, y = rng.normal(size=n), rng.gamma(0.3, size=n)
+    if kind == "ties":
+        # one value of the first coordinate, and one of the second, hold a third of the points each
+        x[rng.random(n) < 0.33] = 1.0
+        y[rng.random(n) < 0.33] = y.max() + 1
+    return [(k, [float(a), float(b)]) for k, (a, b) in enumerate(dict.fromkeys(zip(x.tolist(), y.tolist())))]
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties"])
+def test_cells_keep_their_bound(spark, kind):
+    largest = {}
+    for n in (1500, 15000):
+        pts = spark.createDataFrame(spread_points(n, 4, kind), "id bigint, c array<double>").withColumn("k", F.lit("g"))
+        tree = kdcells.grow(pts, ["k"], 100)
+        sizes = [r["count"] for r in tree.cells.groupBy("leaf").count().collect()]
+        assert sum(sizes) == pts.count() and len(sizes) >= n / 100
+        largest[n] = max(sizes)
+    assert max(largest.values()) <= 100 and min(largest.values()) > 50
+
+
+def test_counts_in_balls_that_hold_cells(spark):
+    pts = spread_points(400, 9, "ties")
+    rng = np.random.default_rng(1)
+    eps = [float(e) for e in rng.choice([0.0, 0.05, 0.7, 30.0], len(pts))]
+    p = spark.createDataFrame([("g", c, k % 3 + 1) for k, c in pts], "k string, c array<double>, w bigint")
+    q = spark.createDataFrame([("g", k, c, e) for (k, c), e in zip(pts, eps)], "k string, id bigint, c array<double>, eps double")
+    got = {r.id: r["count"] for r in neighbors.ball_counts(p, q, ["k"], cell=12).collect()}
+    c, w = np.array([c for _, c in pts]), np.array([k % 3 + 1 for k, _ in pts])
+    d = np.abs(c[:, None] - c[None]).max(axis=2)
+    for k, e in enumerate(eps):
+        assert got[k] == w[(d[k] < e) | ((e == 0) & (d[k] == 0))].sum()

@@ -1,10 +1,9 @@
 """Exact nearest neighbours and ball counts for groups of any size, and the metrics on them.
 
-Equal points are merged into weighted points.  Points are cut into strips along their first
-coordinate (heavy repeated values are cut again along the second).  A point first searches
-its own strip; the distance found bounds which other strips it must visit.  Counting visits
-only strips that a ball cuts through: in one dimension strips wholly inside add their total.
-Point pairs exist only as numpy blocks inside a task.
+Equal points are merged into weighted points.  Groups are cut by a partition tree into cells of bounded
+size.  A point first searches its own cell; the distance found bounds which other cells it must visit, and
+it visits them in rings, nearest first.  Counting adds the totals of cells inside a ball and visits only
+cells that its border cuts.  Point pairs exist only as numpy blocks inside a task.
 """
 
 from __future__ import annotations
@@ -18,16 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.blocks import positions, rolling
+from weftline.functions.kdcells import CELL, Tree, boxes, grow, near_cells
 from weftline.functions.special import digamma_int
-from weftline.functions.strips import add_splitters, count_below, heavy_code, tops
 from weftline.operators.moments import gram, linear_residual, residualize, solve_ols
 from weftline.panel import Panel
 from weftline.session import spread, staged
 
 PAIR = ["src", "dst"]
 K = 5
-STRIP = 1024
-BROADCAST_STRIPS = 200_000  # about 20 MB of strip lists
+RING = 8
+SORTED = 8
 CHUNK = 1 << 21  # distances held at once
 
 
@@ -35,55 +34,32 @@ def _types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
 
 
-def _cells(points: DataFrame, keys: list[str], strip: int) -> DataFrame:
-    """Add strip numbers ``cell, sub`` and the first two coordinates ``v, u``."""
-    base = points.withColumn("v", F.col("c")[0]).withColumn("u", F.coalesce(F.get("c", F.lit(1)), F.lit(0.0)))
-    target = F.greatest(F.lit(float(strip)), F.sqrt(F.col("n") * 8.0))
-    cut = add_splitters(base, keys, ["v", "u"], target)
-    cell = heavy_code("v")
-    sub = F.when(cell % 2 == 1, heavy_code("u")).otherwise(F.lit(0))
-    return cut.withColumn("cell", cell).withColumn("sub", sub).drop(*[f"{a}_{b}" for a in ("cut", "top", "rep") for b in "vu"], "n")
-
-
-def _boxes(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group its strips in value order (bounded by the sketch grid), with sorted bounds to search.
-
-    ``los, his`` and their tops locate a range of strips; ``cum`` holds running weights.
-    """
-    one = cells.groupBy(*keys, "cell", "sub").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("u").alias("ulo"), F.max("u").alias("uhi"), F.sum("w").alias("wt")
-    )
-    item = F.struct("lo", "hi", "ulo", "uhi", "cell", "sub", "wt")
-    b = one.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
-    b = b.withColumn("los", F.col("boxes.lo")).withColumn("his", F.col("boxes.hi"))
-    total = F.transform(
-        F.sequence(F.lit(0), F.size("boxes")),
-        lambda i: F.aggregate(F.slice("boxes", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, x: acc + x["wt"]),
-    )
-    return b.withColumn("lot", tops(F.col("los"))).withColumn("hit", tops(F.col("his"))).withColumn("cum", total)
+def _held(cells: DataFrame, keys: list[str]):
+    """Points grouped by cell under other names, so that both sides of a cogroup differ."""
+    names = [*keys, "leaf"]
+    rest = [c for c in ("id", "c", "w") if c in cells.columns]
+    held = cells.select(*[F.col(c).alias(f"{c}_p") for c in [*names, *rest]])
+    by = [f"{c}_p" for c in names]
+    return spread(held, *by).groupBy(*by)
 
 
-def _with_boxes(df: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Join each row to its group's strip list: broadcast while the lists are short in total, shuffled beyond."""
-    boxes = staged(_boxes(cells, keys))
-    strips = boxes.agg(F.sum(F.size("boxes"))).first()[0] or 0
-    return df.join(F.broadcast(boxes) if strips <= BROADCAST_STRIPS else boxes, keys)
+def _gaps(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Largest distance along one coordinate of each query to each box."""
+    out = np.zeros((len(q), len(lo)))
+    for k in range(q.shape[1]):
+        np.maximum(out, np.maximum(lo[None, :, k] - q[:, k, None], q[:, k, None] - hi[None, :, k]), out=out)
+    return out
 
 
-def _touched(v: Column, e: Column) -> tuple[Column, Column]:
-    """First touched strip and the number of touched strips (a hair wide; tasks decide exactly)."""
-    slack = (F.abs(v) + e) * 1e-9
-    first = count_below(F.col("his"), F.col("hit"), v - e - slack)
-    last = count_below(F.col("los"), F.col("lot"), v + e + slack + F.lit(1e-300))
-    return first, F.when(last > first, last - first).otherwise(F.lit(0))
+def _corners(boxes: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.stack(boxes[c].to_numpy())[:, :dims].astype(float) for c in ("lo_b", "hi_b"))
 
 
-def _held(cells: DataFrame, keys: list[str]):
-    """Points grouped by strip under other names, so that both sides of a cogroup differ."""
-    names = [*keys, "cell", "sub"]
-    rest = [c for c in ("id", "c", "w") if c in cells.columns]
-    held = cells.select(*[F.col(c).alias(f"{c}_p") for c in [*names, *rest]])
-    by = [f"{c}_p" for c in names]
+def _box_rows(pairs: DataFrame, leaves: DataFrame, keys: list[str]):
+    """The cells that a cell's points may reach, with their bounds, grouped by the first."""
+    there = leaves.select(*keys, F.col("leaf").alias("other"), "lo", "hi", "wt")
+    held = pairs.join(there, [*keys, "other"]).select(*[F.col(c).alias(f"{c}_b") for c in (*keys, "leaf", "other", "lo", "hi", "wt")])
+    by = [f"{c}_b" for c in (*keys, "leaf")]
     return spread(held, *by).groupBy(*by)
 
 
@@ -132,15 +108,27 @@ def _search(q: np.ndarray, qid, p: np.ndarray, pid, pw, k: int, metric: str, own
     return np.vstack(dist), np.vstack(who), np.vstack(weight)
 
 
-def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "chebyshev", strip: int = STRIP) -> DataFrame:
+CAND = "array<struct<d: double, id: bigint, w: bigint>>"
+
+
+def _kth(k: int) -> Column:
+    """Distance at which the sorted candidates ``cand`` reach weight k."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("d"))
+    return F.aggregate(
+        "cand", zero, lambda a, x: F.struct((a["n"] + x["w"]).alias("n"), F.when(a["d"].isNull() & (a["n"] + x["w"] >= k), x["d"]).otherwise(a["d"]).alias("d"))
+    )["d"]
+
+
+def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "chebyshev", cell: int = CELL) -> DataFrame:
     """``keys, id, c, w, eps, nn``: distance to the k-th other point and the nearest other id.
 
-    ``points`` has the keys, ``id``, coordinates ``c`` and weight ``w`` (number of copies).
+    ``points`` has the keys, ``id``, coordinates ``c`` and weight ``w`` (number of copies).  A point searches
+    its own cell, then ring after ring of the cells next to it, as far as the distance found so far reaches.
     """
     keys = list(keys)
-    cells = _cells(points, keys, strip)
+    tree = grow(points, keys, cell)
     kt = _types(points, keys)
-    cand = "cd array<double>, ci array<bigint>, cw array<bigint>"
+    lists = "cd array<double>, ci array<bigint>, cw array<bigint>"
 
     def rows(d, i, w):
         keep = np.isfinite(d) & (w > 0)
@@ -152,34 +140,52 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
 
     def zipped(df: DataFrame) -> DataFrame:
         z = F.transform(F.arrays_zip("cd", "ci", "cw"), lambda x: F.struct(x["cd"].alias("d"), x["ci"].alias("id"), x["cw"].alias("w")))
-        return df.withColumn("cand", z).drop("cd", "ci", "cw")
+        return df.withColumn("cand", F.array_sort(z)).drop("cd", "ci", "cw")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         c = np.stack(pdf["c"].to_numpy())
         d, i, w = _search(c, pdf["id"].to_numpy(), c, pdf["id"].to_numpy(), pdf["w"].to_numpy(), k, metric, True)
-        full = np.cumsum(np.where(np.isfinite(d), w, 0), axis=1) >= k
-        bound = np.where(full.any(axis=1), np.take_along_axis(d, full.argmax(axis=1)[:, None], 1)[:, 0], np.inf)
-        return pdf[[*keys, "id", "c", "w", "v", "u", "cell", "sub"]].assign(bound=bound, **rows(d, i, w))
-
-    first = staged(
-        spread(cells, *keys, "cell", "sub").groupBy(*keys, "cell", "sub").applyInPandas(
-            own, f"{kt}, id bigint, c array<double>, w bigint, v double, u double, cell int, sub int, bound double, {cand}"
-        )
-    )
-    first = zipped(first)
-    b, v, u = F.col("bound"), F.col("v"), F.col("u")
-    at, count = _touched(v, b)
-    reach = F.filter(
-        F.slice("boxes", F.col("_at") + 1, F.col("_count")),
-        lambda x: ~((x["cell"] == F.col("cell")) & (x["sub"] == F.col("sub"))) & (x["ulo"] <= u + b) & (x["uhi"] >= u - b),
-    )
-    visits = (
-        _with_boxes(first, cells, keys)
-        .withColumn("_at", at)
-        .withColumn("_count", count)
-        .select(*keys, "id", "c", "bound", F.explode(reach).alias("x"))
-        .select(*keys, "id", "c", "bound", F.col("x.cell").alias("cell"), F.col("x.sub").alias("sub"))
-    )
+        return pdf[[*keys, "id", "c", "w", "leaf", "bound"]].assign(**rows(d, i, w))
+
+    # the node above a cell has more than k points, and none of them is further away than it is wide
+    cap = F.col("wide" if metric == "chebyshev" else "diag").alias("bound")
+    held = spread(tree.cells.select(*keys, "id", "c", "w", "leaf", cap), *keys, "leaf")
+    state = zipped(held.groupBy(*keys, "leaf").applyInPandas(own, f"{kt}, id bigint, c array<double>, w bigint, leaf string, bound double, {lists}"))
+    if tree.depth:
+        state = _rings(state, tree, keys, k, metric, kt, lists, rows, zipped)
+    return staged(state.select(*keys, "id", "c", "w", _kth(k).alias("eps"), F.get("cand", F.lit(0))["id"].alias("nn")))
+
+
+def _rings(state: DataFrame, tree: Tree, keys: list[str], k: int, metric: str, kt: str, lists: str, rows, zipped) -> DataFrame:
+    """Candidates after visits to the other cells, nearest first, twice as many in each ring."""
+
+    def closer(df: DataFrame) -> DataFrame:
+        return df.withColumn("bound", F.least(F.col("bound"), F.coalesce(_kth(k), F.col("bound"))))
+
+    state = staged(closer(state).withColumn("open", F.lit(True)))
+    leaves = staged(boxes(tree, keys, F.col("w")))
+    reach = state.groupBy(*keys, "leaf").agg(F.max("bound").alias("reach"))
+    pairs = staged(near_cells(tree, leaves, leaves.join(reach, [*keys, "leaf"]), keys))
+
+    def router(seen: int, ring: int):
+        def route(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(b):
+                return _none([*keys, "id", "c", "bound", "leaf"])
+            c, bound = np.stack(q["c"].to_numpy()), q["bound"].to_numpy() * (1 + 1e-9) + 1e-300
+            lo, hi = _corners(b, c.shape[1])
+            names = b["other_b"].to_numpy()
+            who, where = [], []
+            step = max(1, CHUNK // len(b))
+            for s in range(0, len(c), step):
+                g = _gaps(c[s : s + step], lo, hi)
+                order = np.argsort(g, axis=1, kind="stable")[:, seen : seen + ring]
+                i, j = np.nonzero(np.take_along_axis(g, order, 1) <= bound[s : s + step, None])
+                who.append(i + s)
+                where.append(order[i, j])
+            who, where = np.concatenate(who), np.concatenate(where)
+            return q.iloc[who][[*keys, "id", "c", "bound"]].assign(leaf=names[where])
+
+        return route
 
     def other(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -190,22 +196,19 @@ def nearest(points: DataFrame, keys: Sequence[str], k: int, metric: str = "cheby
         d = np.where(d <= q["bound"].to_numpy()[:, None], d, np.inf)
         return q[[*keys, "id"]].assign(**rows(d, i, w))
 
-    far = zipped(
-        spread(visits, *keys, "cell", "sub").groupBy(*keys, "cell", "sub")
-        .cogroup(_held(cells, keys))
-        .applyInPandas(other, f"{kt}, id bigint, {cand}")
-    )
-    extra = far.groupBy(*keys, "id").agg(F.flatten(F.collect_list("cand")).alias("more"))
-    merged = first.join(extra, [*keys, "id"], "left").withColumn(
-        "all", F.array_sort(F.concat("cand", F.coalesce("more", F.array().cast("array<struct<d: double, id: bigint, w: bigint>>"))))
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("d"))
-    kth = F.aggregate(
-        "all",
-        zero,
-        lambda a, x: F.struct((a["n"] + x["w"]).alias("n"), F.when(a["d"].isNull() & (a["n"] + x["w"] >= k), x["d"]).otherwise(a["d"]).alias("d")),
-    )
-    return staged(merged.select(*keys, "id", "c", "w", kth["d"].alias("eps"), F.get("all", F.lit(0))["id"].alias("nn")))
+    seen, ring = 0, RING
+    while True:
+        asking = spread(state.filter("open").select(*keys, "leaf", "id", "c", "bound"), *keys, "leaf").groupBy(*keys, "leaf")
+        boxed = pairs if seen == 0 else pairs.join(state.filter("open").select(*keys, "leaf").distinct(), [*keys, "leaf"], "left_semi")
+        visits = staged(asking.cogroup(_box_rows(boxed, leaves, keys)).applyInPandas(router(seen, ring), f"{kt}, id bigint, c array<double>, bound double, leaf string"))
+        if visits.isEmpty():
+            return state
+        far = spread(visits, *keys, "leaf").groupBy(*keys, "leaf").cogroup(_held(tree.cells, keys)).applyInPandas(other, f"{kt}, id bigint, {lists}")
+        extra = zipped(far).groupBy(*keys, "id").agg(F.flatten(F.collect_list("cand")).alias("more"), F.count("*").alias("asked"))
+        merged = F.slice(F.array_sort(F.concat("cand", F.coalesce("more", F.array().cast(CAND)))), 1, k + 1)
+        found = state.join(extra, [*keys, "id"], "left").withColumn("cand", merged).withColumn("open", F.coalesce(F.col("asked") == ring, F.lit(False))).drop("more", "asked")
+        state = staged(closer(found))
+        seen, ring = seen + ring, 2 * ring
 
 
 def _count_1d(qv, eps, pv, pw):
@@ -236,35 +239,56 @@ def _count_1d(qv, eps, pv, pw):
     return cum[hi] - cum[lo]
 
 
-def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], strip: int = STRIP) -> DataFrame:
+def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
     """``keys, id, count``: weight of points with Chebyshev distance < eps (== 0 when eps is 0).
 
     ``points``: keys, c, w without repeats; ``queries``: keys, id, c, eps.  Within a group all
-    c have the same length.  A query located on a point counts that point too.
+    c have the same length.  A query located on a point counts that point too.  Cells wholly inside a
+    ball add their weight; only those that its border cuts are visited.
     """
     keys = list(keys)
     kt = _types(points, keys)
-    cells = _cells(points, keys, strip)
-    e, v = F.col("eps"), F.col("c")[0]
-    u = F.coalesce(F.get("c", F.lit(1)), F.lit(0.0))
-
-    def inside(x):
-        return (F.abs(x["lo"] - v) < e) & (F.abs(x["hi"] - v) < e)
-
-    at, count = _touched(v, e)
-    routed = _with_boxes(queries, cells, keys).withColumn("_at", at).withColumn("_count", count)
-    # one coordinate: strips between the two at either end lie wholly inside and count by their totals
-    low, high = F.col("_at") + 2, F.col("_at") + F.col("_count") - 2
-    whole_middle = (F.size("c") == 1) & (high > low) & inside(F.get("boxes", low)) & inside(F.get("boxes", high - 1))
-    routed = routed.withColumn("_mid", F.coalesce(whole_middle, F.lit(False)))
-    ends = F.concat(F.slice("boxes", F.col("_at") + 1, F.lit(2)), F.slice("boxes", high + 1, F.lit(2)))
-    some = F.filter(F.slice("boxes", F.col("_at") + 1, F.col("_count")), lambda x: (x["ulo"] <= u + e) & (x["uhi"] >= u - e))
-    routed = routed.withColumn("cut", F.when(F.col("_mid"), ends).otherwise(some))
-    whole = F.when(F.col("_mid"), F.get("cum", high) - F.get("cum", low)).otherwise(F.lit(0).cast("bigint"))
-    sure = routed.select(*keys, "id", whole.alias("cnt"))
-    visits = routed.select(*keys, "id", "c", "eps", F.explode("cut").alias("x")).select(
-        *keys, "id", "c", "eps", F.col("x.cell").alias("cell"), F.col("x.sub").alias("sub")
-    )
+    none = F.lit(None)
+    asked = queries.select(*keys, "id", "c", "eps", none.cast("bigint").alias("w"))
+    # points and queries lie in the same cells
+    both = points.select(*keys, none.cast("bigint").alias("id"), "c", none.cast("double").alias("eps"), "w").unionByName(asked)
+    tree = grow(both, keys, 2 * cell)
+    cells = staged(tree.cells) if tree.depth else tree.cells
+    held, ask = cells.filter("w IS NOT NULL").drop("id"), cells.filter("w IS NULL").select(*keys, "leaf", "id", "c", "eps")
+    visits = ask
+    sure = None
+    if tree.depth:
+        leaves = staged(boxes(tree, keys, F.col("w")))
+        starts = ask.groupBy(*keys, "leaf").agg(
+            *[F.array(*[fn(F.get("c", F.lit(i))) for i in range(tree.dims)]).alias(n) for fn, n in ((F.min, "lo"), (F.max, "hi"))], F.max("eps").alias("reach")
+        )
+        pairs = staged(near_cells(tree, leaves, starts, keys))
+
+        def route(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(b):
+                return _none([*keys, "id", "c", "eps", "leaf", "cnt"])
+            c, eps = np.stack(q["c"].to_numpy()), q["eps"].to_numpy()
+            lo, hi = _corners(b, c.shape[1])
+            names, weight = b["other_b"].to_numpy(), b["wt_b"].to_numpy()
+            who, where, whole = [], [], []
+            step = max(1, CHUNK // len(b))
+            for s in range(0, len(c), step):
+                e = eps[s : s + step, None]
+                near = _gaps(c[s : s + step], lo, hi) <= e * (1 + 1e-9) + 1e-300
+                inside = near & (np.maximum(_dist(c[s : s + step], lo, "chebyshev"), _dist(c[s : s + step], hi, "chebyshev")) < e)
+                i, j = np.nonzero(near & ~inside)
+                who.append(i + s)
+                where.append(j)
+                whole.append(inside @ weight)
+            who, where, whole = np.concatenate(who), np.concatenate(where), np.concatenate(whole)
+            cut = q.iloc[who][[*keys, "id", "c", "eps"]].assign(leaf=names[where], cnt=0)
+            full = q[whole > 0][[*keys, "id", "c", "eps"]].assign(leaf=None, cnt=whole[whole > 0])
+            return pd.concat([cut, full])
+
+        asking = spread(ask, *keys, "leaf").groupBy(*keys, "leaf")
+        routed = staged(asking.cogroup(_box_rows(pairs, leaves, keys)).applyInPandas(route, f"{kt}, id bigint, c array<double>, eps double, leaf string, cnt bigint"))
+        visits = ask.unionByName(routed.filter("leaf IS NOT NULL").drop("cnt"))
+        sure = routed.filter("leaf IS NULL").select(*keys, "id", "cnt")
 
     def count(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
@@ -283,12 +307,9 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], stri
             n = np.concatenate(out)
         return q[[*keys, "id"]].assign(cnt=n.astype("int64"))
 
-    part = (
-        spread(visits, *keys, "cell", "sub").groupBy(*keys, "cell", "sub")
-        .cogroup(_held(cells, keys))
-        .applyInPandas(count, f"{kt}, id bigint, cnt bigint")
-    )
-    return sure.unionByName(part).groupBy(*keys, "id").agg(F.sum("cnt").alias("count"))
+    part = spread(visits, *keys, "leaf").groupBy(*keys, "leaf").cogroup(_held(held, keys)).applyInPandas(count, f"{kt}, id bigint, cnt bigint")
+    part = part if sure is None else part.unionByName(sure)
+    return part.groupBy(*keys, "id").agg(F.sum("cnt").alias("count"))
 
 
 # -- mutual information -------------------------------------------------------------------
@@ -313,19 +334,21 @@ def _sides(nn: DataFrame, keys: list[str], sides: dict[str, list[int]]) -> tuple
     return pts, flat.select(*keys, "side", "id", "c", "eps")
 
 
-def _counts(nn: DataFrame, keys: list[str], sides: dict[str, list[int]], strip: int) -> DataFrame:
+def _counts(nn: DataFrame, keys: list[str], sides: dict[str, list[int]], cell: int) -> DataFrame:
     pts, qs = _sides(nn, keys, sides)
-    c = ball_counts(pts, qs, [*keys, "side"], strip)
+    # along one coordinate a cell is counted by searches in its sorted values, so it may be larger
+    wide = SORTED if all(len(idx) == 1 for idx in sides.values()) else 1
+    c = ball_counts(pts, qs, [*keys, "side"], wide * cell)
     wide = c.groupBy(*keys, "id").agg(*[F.max(F.when(F.col("side") == s, F.col("count"))).alias(f"n_{s}") for s in sides])
     return nn.select(*keys, "id", "w").join(wide, [*keys, "id"])
 
 
-def mutual_information(points: DataFrame, keys: Sequence[str] = PAIR, k: int = K, strip: int = STRIP) -> DataFrame:
+def mutual_information(points: DataFrame, keys: Sequence[str] = PAIR, k: int = K, cell: int = CELL) -> DataFrame:
     """KSG mutual information (nats) per group of complete points; 0 with no more than k of them."""
     keys = list(keys)
     size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    nn = nearest(_weighted(points, keys, ["x", "y"]), keys, k, "chebyshev", strip).filter("eps IS NOT NULL")
-    c = _counts(nn, keys, {"x": [0], "y": [1]}, strip)
+    nn = nearest(_weighted(points, keys, ["x", "y"]), keys, k, "chebyshev", cell).filter("eps IS NOT NULL")
+    c = _counts(nn, keys, {"x": [0], "y": [1]}, cell)
     # counts include the point itself, which is the +1 of the estimator
     m = c.groupBy(*keys).agg(
         F.sum(F.col("w") * (digamma_int(F.col("n_x")) + digamma_int(F.col("n_y")))).alias("s"), F.sum("w").alias("n")
@@ -338,14 +361,14 @@ def mutual_information(points: DataFrame, keys: Sequence[str] = PAIR, k: int = K
 
 
 def conditional_information(
-    points: DataFrame, controls: Sequence[str], keys: Sequence[str] = PAIR, k: int = K, strip: int = STRIP
+    points: DataFrame, controls: Sequence[str], keys: Sequence[str] = PAIR, k: int = K, cell: int = CELL
 ) -> DataFrame:
     """KSG conditional mutual information of x and y given the control columns."""
     keys, controls = list(keys), list(controls)
     size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    nn = nearest(_weighted(points, keys, ["x", "y", *controls]), keys, k, "chebyshev", strip).filter("eps IS NOT NULL")
+    nn = nearest(_weighted(points, keys, ["x", "y", *controls]), keys, k, "chebyshev", cell).filter("eps IS NOT NULL")
     z = list(range(2, 2 + len(controls)))
-    c = _counts(nn, keys, {"xz": [0, *z], "yz": [1, *z], "z": z}, strip)
+    c = _counts(nn, keys, {"xz": [0, *z], "yz": [1, *z], "z": z}, cell)
     term = digamma_int(F.col("n_xz")) + digamma_int(F.col("n_yz")) - digamma_int(F.col("n_z"))
     m = c.groupBy(*keys).agg((F.sum(F.col("w") * term) / F.sum("w")).alias("s"))
     value = F.greatest(F.lit(0.0), digamma_int(F.lit(k)) - F.col("s"))
@@ -395,14 +418,14 @@ def _embed(frame: DataFrame, cols: Sequence[str], m: int, tau: int) -> DataFrame
 
 
 def ah_ratio(
-    frame: DataFrame, pairs: Sequence[tuple[str, str]], m: int = 3, tau: int = 1, strip: int = STRIP
+    frame: DataFrame, pairs: Sequence[tuple[str, str]], m: int = 3, tau: int = 1, cell: int = CELL
 ) -> DataFrame:
     """For column pairs (x, y): min(1, 1 / mean of d(Y_i, Y_nn_x(i)) / d1(Y_i)), nearest other state, smallest index on ties."""
     cols = list(dict.fromkeys([c for p in pairs for c in p]))
     states = _embed(frame, cols, m, tau)
     cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"`{c}`").alias("c")) for c in cols])
     pts = states.select("pos", F.explode(cells).alias("s")).select("s.channel", F.col("pos").alias("id"), "s.c", F.lit(1).cast("bigint").alias("w"))
-    nn = nearest(pts, ["channel"], 1, "euclidean", strip)
+    nn = nearest(pts, ["channel"], 1, "euclidean", cell)
     wide = nn.groupBy("id").agg(
         *[F.max(F.when(F.col("channel") == c, F.col("nn"))).alias(f"{c}#nn") for c in cols],
         *[F.max(F.when(F.col("channel") == c, F.col("eps"))).alias(f"{c}#d") for c in cols],
@@ -487,7 +510,7 @@ def var_residuals(panel: Panel, lag: int) -> Panel:
 # -- sample entropy -------------------------------------------------------------------------
 
 
-def sample_entropy(long: DataFrame, m: int = 2, tolerance: float | None = None, keys: Sequence[str] = ("channel",), strip: int = STRIP) -> DataFrame:
+def sample_entropy(long: DataFrame, m: int = 2, tolerance: float | None = None, keys: Sequence[str] = ("channel",), cell: int = CELL) -> DataFrame:
     """-ln(A/B) of template matches of length m+1 and m (strictly closer than the tolerance).
 
     The default tolerance is the sample deviation times 0.1164 (0.5627 ln m + 1.3334), about .2.
@@ -508,7 +531,7 @@ def sample_entropy(long: DataFrame, m: int = 2, tolerance: float | None = None,
     flat = e.select(*keys, "pos", sides.alias("s")).select(*keys, "s.side", "pos", "s.c")
     pts = flat.groupBy(*keys, "side", "c").agg(F.count(F.lit(1)).alias("w"), F.min("pos").alias("id"))
     qs = pts.join(s.select(*keys, "eps"), keys).select(*keys, "side", "id", "c", "eps")
-    hits = ball_counts(pts.select(*keys, "side", "c", "w"), qs, [*keys, "side"], strip)
+    hits = ball_counts(pts.select(*keys, "side", "c", "w"), qs, [*keys, "side"], cell)
     t = hits.join(pts.select(*keys, "side", "id", "w"), [*keys, "side", "id"]).withColumn("pairs", F.col("w") * (F.col("count") - 1))
     ab = t.groupBy(*keys).agg(
         F.sum(F.when(F.col("side") == "a", F.col("pairs"))).alias("a"), F.sum(F.when(F.col("side") == "b", F.col("pairs"))).alias("b")
