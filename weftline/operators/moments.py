@@ -7,6 +7,7 @@ Gram blocks per partition with numpy instead.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,6 +19,7 @@ from weftline.panel import Panel, clamped
 
 PAIR = ["src", "dst"]
 WIDE = 32
+EXPANDED = 1 << 17  # pair values held at once
 GRAM_LIMIT = 1024  # a task holds a few N x N blocks; wider panels go through pair points
 
 
@@ -191,29 +193,98 @@ def residualize(panel: Panel, control: Sequence[str] = (), extra: dict[str, Colu
     return panel.with_frame(panel.frame.select("t", *cols), [*names, *control])
 
 
-def residual_pair(panel: Panel, src: str, dst: str, control: Sequence[str]) -> DataFrame:
-    """``src, dst, t, x, y`` with both series regressed on the controls over complete rows."""
-    ctrl = [panel.col(c) for c in control]
-    n, means, g = gram(panel.frame, [panel.col(src), panel.col(dst), *ctrl])
-    rest = range(2, 2 + len(ctrl))
-    a0, a, _ = solve_ols(n, means, g, 0, rest)
-    b0, b, _ = solve_ols(n, means, g, 1, rest)
-    if not ctrl:
-        a0 = b0 = 0.0
-    full = panel.frame.dropna(how="any", subset=[src, dst, *control])
-    return full.select(
-        F.lit(src).alias("src"),
-        F.lit(dst).alias("dst"),
-        "t",
-        linear_residual(panel.col(src), a0, a, ctrl).alias("x"),
-        linear_residual(panel.col(dst), b0, b, ctrl).alias("y"),
-    )
+def precision(g: np.ndarray) -> np.ndarray:
+    """Inverse of a Gram matrix; where it has no full rank, of the matrix a hair above it, whose regressions tend to the least-norm ones."""
+    val, vec = np.linalg.eigh(g)
+    top = max(float(val[-1]), 1e-300)
+    val = np.maximum(val, 0.0)
+    if val[0] < 1e-12 * top:
+        val = val + 1e-12 * top
+    return (vec / val) @ vec.T
+
+
+def block_residuals(u: np.ndarray, p: np.ndarray, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of channel ``i`` and each channel of ``j`` on all others, from ``u``, the rows times the precision matrix ``p``.
+
+    The inverse of the pair's 2 x 2 block of ``p`` is the Schur complement of all other channels, and it
+    takes the pair's entries of ``u`` to their residuals.
+    """
+    det = p[i, i] * p[j, j] - p[i, j] ** 2
+    one = (p[j, j] * u[:, [i]] - p[i, j] * u[:, j]) / det
+    two = (p[i, i] * u[:, j] - p[i, j] * u[:, [i]]) / det
+    return one, two
+
+
+def _expanded(rows: DataFrame, n: int, names: Sequence[str], todo: Sequence[tuple[str, str]], make) -> DataFrame:
+    """``src, dst, t, x, y``: for every row and pair of ``todo`` what ``make(values, i, js)`` gives, channel by channel.
+
+    ``rows`` has ``t`` and ``n`` double columns without gaps.
+    """
+    import pyarrow as pa
+
+    rank = {c: k for k, c in enumerate(names)}
+    partners: dict[int, list[int]] = {}
+    for s_, d_ in todo:
+        partners.setdefault(rank[s_], []).append(rank[d_])
+    labels = list(names)
+    batch_rows = max(1, EXPANDED // max(1, len(names)))
+
+    def run(batches):
+        for batch in batches:
+            t = batch.column("t").to_numpy(zero_copy_only=False)
+            v = np.column_stack([batch.column(f"v{k}").to_numpy(zero_copy_only=False) for k in range(n)]) if len(t) else np.zeros((0, n))
+            for at in range(0, len(t), batch_rows):
+                part, when = v[at : at + batch_rows], t[at : at + batch_rows]
+                prepared = make.rows(part)
+                for i, js in partners.items():
+                    x, y = make.pairs(prepared, i, np.array(js))
+                    who = pa.array(np.tile(np.array(js), len(when)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([labels[i]] * x.size), pa.array(labels).take(who), pa.array(np.repeat(when, len(js))), pa.array(x.ravel()), pa.array(y.ravel())], names=["src", "dst", "t", "x", "y"]
+                    )
+
+    return rows.mapInArrow(run, "src string, dst string, t bigint, x double, y double")
+
+
+class SchurBlocks:
+    """Residuals of both channels of a pair at the same time."""
+
+    def __init__(self, means: np.ndarray, p: np.ndarray):
+        self.means, self.p = means, p
+
+    def rows(self, v: np.ndarray) -> np.ndarray:
+        return (v - self.means) @ self.p
+
+    def pairs(self, u: np.ndarray, i: int, j: np.ndarray):
+        return block_residuals(u, self.p, i, j)
+
+
+class AheadBlocks:
+    """Residual of one channel on all others but its partner, and of the partner some steps ahead on the same ones.
+
+    ``slopes`` holds the regressions of every channel ahead on all channels; leaving the pair out of them is
+    one more use of its block.
+    """
+
+    def __init__(self, means: np.ndarray, ahead: np.ndarray, p: np.ndarray, cross: np.ndarray):
+        self.means, self.ahead, self.p, self.slopes = means, ahead, p, p @ cross
+
+    def rows(self, v: np.ndarray):
+        n = len(self.means)
+        x = v[:, :n] - self.means
+        return x @ self.p, x @ self.slopes, v[:, n:] - self.ahead
+
+    def pairs(self, prepared, i: int, j: np.ndarray):
+        u, fit, y = prepared
+        one, two = block_residuals(u, self.p, i, j)
+        return one, y[:, j] - fit[:, j] + self.slopes[i, j] * one + self.slopes[j, j] * two
 
 
 def residual_points(panel: Panel, directed: bool, control: Sequence[str] | None = None, pairs=None) -> DataFrame:
     """Residual points for every pair; default controls are all other channels (listwise rows).
 
-    With one common row set the residuals of all pairs come from a single Gram matrix.
+    With one common row set the residuals of all pairs come from a single precision matrix: a row is
+    multiplied by it once, and each pair takes its two entries through its own 2 x 2 block.
     """
     chans = list(panel.channels)
     todo = panel.pair_list(directed, pairs)
@@ -222,24 +293,9 @@ def residual_points(panel: Panel, directed: bool, control: Sequence[str] | None
         keep = [c for c in chans if c not in control]
         return res.select(keep).pair_points(directed, [p for p in todo if set(p) <= set(keep)])
     cols = [panel.col(c) for c in chans]
-    n, means, g = gram(panel.frame, cols)
-    cells = []
-    for s, d in todo:
-        i, j = chans.index(s), chans.index(d)
-        rest = [k for k in range(len(chans)) if k not in (i, j)]
-        zs = [cols[k] for k in rest]
-        a0, a, _ = solve_ols(n, means, g, i, rest)
-        b0, b, _ = solve_ols(n, means, g, j, rest)
-        cells.append(
-            F.struct(
-                F.lit(s).alias("src"),
-                F.lit(d).alias("dst"),
-                linear_residual(cols[i], a0, a, zs).alias("x"),
-                linear_residual(cols[j], b0, b, zs).alias("y"),
-            )
-        )
-    full = panel.frame.dropna(how="any", subset=chans)
-    return full.select("t", F.explode(F.array(*cells)).alias("c")).select("c.src", "c.dst", "t", "c.x", "c.y")
+    _, means, g = gram(panel.frame, cols)
+    full = panel.frame.dropna(how="any", subset=chans).select("t", *[c.alias(f"v{k}") for k, c in enumerate(cols)])
+    return _expanded(full, len(chans), chans, todo, SchurBlocks(means, precision(g)))
 
 
 def correlation_matrix_np(panel: Panel) -> tuple[int, np.ndarray]:
@@ -253,21 +309,25 @@ def correlation_matrix_np(panel: Panel) -> tuple[int, np.ndarray]:
 def partial_correlation(panel: Panel, control: Sequence[str] | None = None, pairs=None, extra=None) -> DataFrame:
     """Partial correlation: all other channels (one precision matrix) or given controls."""
     spark = panel.frame.sparkSession
-    schema = "src string, dst string, value double"
     if control or extra:
         res = residualize(panel, control or (), extra)
         kept = [c for c in res.channels if c not in (control or ())]
         return correlation(res.select(kept), pairs)
-    todo = panel.pair_list(False, pairs)
     n, r = correlation_matrix_np(panel)
-    if n <= len(panel.channels) + 2:
-        return spark.createDataFrame([(a, b, None) for a, b in todo], schema)
+    chans = list(panel.channels)
     p = np.linalg.pinv(r)
     d = np.sqrt(np.abs(np.diag(p)))
     d[d < 1e-12] = 1.0
     pc = -p / np.outer(d, d)
-    idx = {c: i for i, c in enumerate(panel.channels)}
-    return spark.createDataFrame([(a, b, float(pc[idx[a], idx[b]])) for a, b in todo], schema)
+    known = n > len(chans) + 2
+    # one row per channel; its pairs are made by Spark
+    rows = spark.createDataFrame([(c, k, [float(v) if known else None for v in pc[k]]) for k, c in enumerate(chans)], "src string, k int, line array<double>")
+    cells = rows.select("src", "k", F.posexplode("line").alias("j", "value"))
+    cells = cells.filter("j > k").select("src", F.get(F.from_json(F.lit(json.dumps(chans)), "array<string>"), F.col("j")).alias("dst"), "value")
+    if pairs is None:
+        return cells
+    wanted = spark.createDataFrame(panel.pair_list(False, pairs), "src string, dst string")
+    return cells.join(wanted, PAIR, "left_semi")
 
 
 def partial_correlation_one(panel: Panel, src: str, dst: str, z: str) -> DataFrame:
@@ -302,6 +362,14 @@ def pairwise_partial_points(
         pool = {"others": chans, "custom": [c for c in custom if c in rank]}.get(policy, [])
         return [c for c in pool if c not in (a, b)]
 
+    if policy == "others" and len(chans) > 2:
+        held = frame.select("t", *[c.alias(f"v{k}") for k, c in enumerate(columns)])
+        gaps = held.agg(F.max(F.greatest(*[F.col(f"v{k}").isNull().cast("int") for k in range(len(columns))]))).first()[0]
+        if gaps == 0 and held.limit(5).count() == 5:
+            # no gap anywhere: all pairs have the same rows, and one Gram matrix serves them all
+            n, means, g = gram(held, [F.col(f"v{k}") for k in range(len(columns))])
+            m = len(chans)
+            return _expanded(held, 2 * m, chans, todo, AheadBlocks(means[:m], means[m:], precision(g[:m, :m]), g[:m, m:]))
     sets = []
     for a, b in todo:
         zs = [rank[c] for c in controls(a, b)]

@@ -126,3 +126,39 @@ def filled_sql(name: str) -> str:
     cells = ", ".join(f'coalesce("{c}", avg("{c}") OVER ()) AS "{c}"' for c in chans)
     longs = " UNION ALL ".join(f"SELECT t, '{c}' AS channel, \"{c}\" AS value FROM pf" for c in chans)
     return panel_sql(name) + f", pf AS MATERIALIZED (SELECT t, {cells} FROM p), plf AS MATERIALIZED ({longs})"
+
+
+def eliminated(source: str, count: int, name: str = "pt") -> str:
+    """CTEs that take ``z0`` .. of ``source(src, dst, t, x, y, z...)`` out of x and y one after the other, within each pair."""
+    parts, last = [], source
+    for k in range(count):
+        rest = [c for c in ("x", "y", *(f"z{i}" for i in range(k + 1, count)))]
+        cells = ", ".join(f"{c} - avg({c}) OVER w - regr_slope({c}, z{k}) OVER w * (z{k} - avg(z{k}) OVER w) AS {c}" for c in rest)
+        here = name if k == count - 1 else f"{source}_{k}"
+        parts.append(f"{here} AS MATERIALIZED (SELECT src, dst, t, {cells} FROM {last} WINDOW w AS (PARTITION BY src, dst))")
+        last = here
+    return ", ".join(parts)
+
+
+def with_controls_sql(name: str, directed: bool, table: str = "p", ahead: int = 0) -> str:
+    """CTE ``pz(src, dst, t, x, y, z...)``: complete rows of every pair with all other channels as controls."""
+    chans = channels_of(name)
+    cond = " AND ".join(f'a."{c}" IS NOT NULL' for c in chans)
+    parts = []
+    for i, s in enumerate(chans):
+        for j, d in enumerate(chans):
+            if i == j or (not directed and i > j):
+                continue
+            zs = ", ".join(f'a."{z}" AS z{k}' for k, z in enumerate(c for c in chans if c not in (s, d)))
+            parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, a.t, a.\"{s}\" AS x, b.\"{d}\" AS y, {zs} FROM {table} a JOIN {table} b ON b.t = a.t + {ahead} WHERE {cond}")
+    return f"pz AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+def residual_sql(name: str, directed: bool) -> str:
+    """``pt`` of every pair's residuals on all other channels, over rows complete in all of them."""
+    return panel_sql(name) + ", " + with_controls_sql(name, directed) + ", " + eliminated("pz", len(channels_of(name)) - 2)
+
+
+def ahead_residual_sql(name: str) -> str:
+    """``pt`` of residuals on all other channels of mean-filled series, y one step ahead of x and the controls."""
+    return filled_sql(name) + ", " + with_controls_sql(name, False, "pf", 1) + ", " + eliminated("pz", len(channels_of(name)) - 2)

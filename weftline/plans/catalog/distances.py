@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import distances, moments, neighbors
-from weftline.plans.catalog.base import Tables, channels_of, filled_sql, panel_sql, points_sql, query, r6
-from weftline.plans.catalog.information import _trio, residual3_sql
+from weftline.plans.catalog.base import Tables, ahead_residual_sql, channels_of, panel_sql, points_sql, query, r6, residual_sql, with_controls_sql
 from weftline.plans.catalog.moments import edges_out, filled
 
 
@@ -34,9 +33,9 @@ def dcor_directed(tb: Tables):
     return edges_out(distances.dcor_directed(tb.ev_mean(), 1))
 
 
-@query("dcor_partial", dcor_sql(residual3_sql("ev_mean", False)))
+@query("dcor_partial", dcor_sql(residual_sql("ev_mean", False)))
 def dcor_partial(tb: Tables):
-    return edges_out(distances.dcor_partial(tb.ev_mean().select(_trio("ev_mean"))))
+    return edges_out(distances.dcor_partial(tb.ev_mean()))
 
 
 
@@ -64,18 +63,12 @@ def mutinf_full_ties(tb: Tables):
 
 
 def cmi_sql() -> str:
-    parts = []
-    names = _trio("ev_mean")
-    for i, s in enumerate(names):
-        for d in names[i + 1 :]:
-            z = next(n for n in names if n not in (s, d))
-            parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, t, {s} AS x, {d} AS y, {z} AS z FROM cc0")
-    cond = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    zs = range(len(channels_of("ev_mean")) - 2)
+    q = "greatest(" + ", ".join(f"abs(a.z{k} - b.z{k})" for k in zs) + ")"
     return (
-        panel_sql("ev_mean")
-        + f", cc0 AS MATERIALIZED (SELECT * FROM p WHERE {cond}), pt AS MATERIALIZED ({' UNION ALL '.join(parts)}), "
+        panel_sql("ev_mean") + ", " + with_controls_sql("ev_mean", False) + ", "
         "psi AS MATERIALIZED (SELECT m, sum(CASE WHEN m > 1 THEN 1.0 / (m - 1) ELSE 0 END) OVER (ORDER BY m) - 0.5772156649015329 AS h FROM (SELECT unnest(range(1, 20000)) AS m)), "
-        "dd AS MATERIALIZED (SELECT a.src, a.dst, a.t AS i, abs(a.x - b.x) AS u, abs(a.y - b.y) AS v, abs(a.z - b.z) AS q FROM pt a JOIN pt b ON a.src = b.src AND a.dst = b.dst AND a.t <> b.t), "
+        f"dd AS MATERIALIZED (SELECT a.src, a.dst, a.t AS i, abs(a.x - b.x) AS u, abs(a.y - b.y) AS v, {q} AS q FROM pz a JOIN pz b ON a.src = b.src AND a.dst = b.dst AND a.t <> b.t), "
         "kk AS (SELECT src, dst, i, min(greatest(u, v, q), 5)[5] AS eps FROM dd GROUP BY 1, 2, 3), "
         "cc AS (SELECT dd.src, dd.dst, dd.i, count(*) FILTER (greatest(u, q) < eps) + 1 AS nxz, count(*) FILTER (greatest(v, q) < eps) + 1 AS nyz, count(*) FILTER (q < eps) + 1 AS nz FROM dd JOIN kk USING (src, dst, i) GROUP BY 1, 2, 3), "
         "mm AS (SELECT src, dst, avg(a.h + b.h - c.h) AS s FROM cc JOIN psi a ON a.m = nxz JOIN psi b ON b.m = nyz JOIN psi c ON c.m = nz GROUP BY 1, 2) "
@@ -85,20 +78,12 @@ def cmi_sql() -> str:
 
 @query("mutinf_partial", cmi_sql())
 def mutinf_partial(tb: Tables):
-    return edges_out(neighbors.mutinf_partial(tb.ev_mean().select(_trio("ev_mean"))))
+    return edges_out(neighbors.mutinf_partial(tb.ev_mean()))
 
 
-@query("pairwise_partial_mi", mi_sql(
-    filled_sql("ev_mean")
-    + ", q AS (" + " UNION ALL ".join(
-        f"SELECT '{s}' AS src, '{d}' AS dst, a.t, a.{s} AS x, b.{d} AS y, a.{z} AS z FROM pf a JOIN pf b ON b.t = a.t + 1"
-        for s, d, z in (("click", "purchase", "view"), ("click", "view", "purchase"), ("purchase", "view", "click"))
-    ) + "), pt AS MATERIALIZED (SELECT src, dst, t, x - avg(x) OVER w - regr_slope(x, z) OVER w * (z - avg(z) OVER w) AS x, "
-    "y - avg(y) OVER w - regr_slope(y, z) OVER w * (z - avg(z) OVER w) AS y FROM q WINDOW w AS (PARTITION BY src, dst))"
-))
+@query("pairwise_partial_mi", mi_sql(ahead_residual_sql("ev_mean")))
 def pairwise_partial_mi(tb: Tables):
-    p = filled(tb.ev_mean()).select(["click", "purchase", "view"])
-    return edges_out(neighbors.mutual_information(moments.pairwise_partial_points(p, 1)))
+    return edges_out(neighbors.mutual_information(moments.pairwise_partial_points(filled(tb.ev_mean()), 1)))
 
 
 def ah_sql(lag: int = 0) -> str:

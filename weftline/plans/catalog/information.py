@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weftline.operators import information as info
 from weftline.operators import moments
-from weftline.plans.catalog.base import Tables, channels_of, panel_sql, points_sql, query, r6
+from weftline.plans.catalog.base import Tables, panel_sql, points_sql, query, r6, residual_sql
 from weftline.plans.catalog.moments import edges_out
 
 
@@ -49,36 +49,9 @@ def te_full_lag2(tb: Tables):
     return edges_out(info.te_full(tb.od_day(), lag=2))
 
 
-def residual3_sql(panel: str, directed: bool) -> str:
-    """``pt`` of residuals on the third of three channels, listwise rows."""
-    a, b, c = ('"' + x + '"' for x in _trio(panel))
-    names = _trio(panel)
-    parts = []
-    for i, s in enumerate(names):
-        for j, d in enumerate(names):
-            if i == j or (not directed and i > j):
-                continue
-            z = next(n for n in names if n not in (s, d))
-            parts.append(
-                f"SELECT '{s}' AS src, '{d}' AS dst, t, "
-                f"\"{s}\" - avg(\"{s}\") OVER () - regr_slope(\"{s}\", \"{z}\") OVER () * (\"{z}\" - avg(\"{z}\") OVER ()) AS x, "
-                f"\"{d}\" - avg(\"{d}\") OVER () - regr_slope(\"{d}\", \"{z}\") OVER () * (\"{z}\" - avg(\"{z}\") OVER ()) AS y FROM cc"
-            )
-    return (
-        panel_sql(panel)
-        + f", cc AS MATERIALIZED (SELECT * FROM p WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {c} IS NOT NULL), pt AS MATERIALIZED ({' UNION ALL '.join(parts)})"
-    )
-
-
-def _trio(panel: str):
-    ch = channels_of(panel)
-    return (ch[0], ch[2], ch[4])
-
-
-@query("te_partial", te_sql(residual3_sql("ev_mean", True)))
+@query("te_partial", te_sql(residual_sql("ev_mean", True)))
 def te_partial(tb: Tables):
-    p = tb.ev_mean().select(_trio("ev_mean"))
-    return edges_out(info.transfer_entropy(moments.residual_points(p, True), 1))
+    return edges_out(info.transfer_entropy(moments.residual_points(tb.ev_mean(), True), 1))
 
 
 def ordinal_sql(prefix: str) -> str:

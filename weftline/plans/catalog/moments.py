@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import clean, moments
 from weftline.panel import Panel
-from weftline.plans.catalog.base import EVENT_TYPES, Tables, filled_sql, panel_sql, points_sql, query, r6
+from weftline.plans.catalog.base import EVENT_TYPES, Tables, ahead_residual_sql, panel_sql, points_sql, query, r6, residual_sql
 
 
 def edges_out(df, digits: int = 6, *extra: str):
@@ -64,38 +68,56 @@ def h2_directed(tb: Tables):
     return edges_out(moments.squared(moments.lagged_correlation(tb.ev_mean(), [1])))
 
 
-def partial3(power: int) -> str:
-    expr = "(xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))"
-    if power == 2:
-        expr = f"pow({expr}, 2)"
+def partial_sql(power: int) -> str:
+    """Correlation of residuals on all other channels."""
+    return residual_sql("ev_mean", False) + f" SELECT src, dst, round(pow(corr(x, y), {power}), 6) + 0.0 AS value FROM pt GROUP BY 1, 2"
+
+
+@query("corr_partial_all", partial_sql(1))
+def corr_partial_all(tb: Tables):
+    """All channels through the precision matrix; the SQL takes the controls out one by one."""
+    return edges_out(moments.partial_correlation(tb.ev_mean()))
+
+
+@query("h2_partial", partial_sql(2))
+def h2_partial(tb: Tables):
+    return edges_out(moments.squared(moments.partial_correlation(tb.ev_mean())))
+
+
+@query("corr_partial_residuals", partial_sql(1))
+def corr_partial_residuals(tb: Tables):
+    """The same from the residual points of all pairs."""
+    return edges_out(moments.corr_points(moments.residual_points(tb.ev_mean(), False)))
+
+
+def triples_sql() -> str:
+    """Partial correlation of each pair given each single other channel, in closed form over rows complete in the three."""
     parts = []
-    trio = ("click", "purchase", "view")
-    for s, d, z in (("click", "purchase", "view"), ("click", "view", "purchase"), ("purchase", "view", "click")):
-        parts.append(
-            f"SELECT '{s}' AS src, '{d}' AS dst, round({expr}, 6) + 0.0 AS value FROM "
-            f"(SELECT corr({s}, {d}) AS xy, corr({s}, {z}) AS xz, corr({d}, {z}) AS yz FROM c)"
-        )
-    cond = " AND ".join(f"{c} IS NOT NULL" for c in trio)
-    return panel_sql("ev_mean") + f", c AS MATERIALIZED (SELECT * FROM p WHERE {cond}) " + " UNION ALL ".join(parts)
+    for i, s in enumerate(EVENT_TYPES):
+        for d in EVENT_TYPES[i + 1 :]:
+            for z in EVENT_TYPES:
+                if z not in (s, d):
+                    parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, '{z}' AS control, corr({s}, {d}) AS xy, corr({s}, {z}) AS xz, corr({d}, {z}) AS yz FROM p WHERE {s} IS NOT NULL AND {d} IS NOT NULL AND {z} IS NOT NULL")
+    return panel_sql("ev_mean") + f", c AS ({' UNION ALL '.join(parts)}) SELECT src, dst, control, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 AS value FROM c"
 
 
-@query("corr_partial3", partial3(1))
+@query("corr_partial3", triples_sql())
 def corr_partial3(tb: Tables):
-    """Three channels through the precision matrix; the SQL uses the closed form."""
-    return edges_out(moments.partial_correlation(tb.ev_mean().select(["click", "purchase", "view"])))
+    """Every three channels, through their precision matrix."""
+    p = tb.ev_mean()
+    out = None
+    for three in itertools.combinations(p.channels, 3):
+        edges = moments.partial_correlation(p.select(three))
+        named = edges.withColumn("control", F.element_at(F.array_except(F.array(*[F.lit(c) for c in three]), F.array("src", "dst")), 1))
+        out = named if out is None else out.unionByName(named)
+    return edges_out(out, 6, "control")
 
 
-@query("corr_partial_closed_form", partial3(1))
+@query("corr_partial_closed_form", triples_sql())
 def corr_partial_closed_form(tb: Tables):
     p = tb.ev_mean()
-    trio = (("click", "purchase", "view"), ("click", "view", "purchase"), ("purchase", "view", "click"))
-    parts = [moments.partial_correlation_one(p, s, d, z) for s, d, z in trio]
-    return edges_out(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-
-
-@query("h2_partial", partial3(2))
-def h2_partial(tb: Tables):
-    return edges_out(moments.squared(moments.partial_correlation(tb.ev_mean().select(["click", "purchase", "view"]))))
+    parts = [moments.partial_correlation_one(p, s, d, z).withColumn("control", F.lit(z)) for s, d in p.pair_list(False) for z in p.channels if z not in (s, d)]
+    return edges_out(functools.reduce(DataFrame.unionByName, parts), 6, "control")
 
 
 def controlled_sql() -> str:
@@ -134,11 +156,6 @@ def corr_partial_trend(tb: Tables):
     return edges_out(moments.partial_correlation(panel, extra=extra))
 
 
-@query("corr_partial_all")
-def corr_partial_all(tb: Tables):
-    return edges_out(moments.partial_correlation(tb.ev_mean()))
-
-
 @query("corr_partial_mean_pca")
 def corr_partial_mean_pca(tb: Tables):
     panel, extra = moments.control_columns(tb.od_day(), "global_mean_trend", 1)
@@ -146,27 +163,18 @@ def corr_partial_mean_pca(tb: Tables):
 
 
 def pairwise_partial_sql(power: int = 1) -> str:
-    """One control (the third of three filled channels), y one step ahead."""
-    base = filled_sql("ev_mean")
-    parts = []
-    for s, d, z in (("click", "purchase", "view"), ("click", "view", "purchase"), ("purchase", "view", "click")):
-        parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, a.{s} AS x, b.{d} AS y, a.{z} AS z FROM pf a JOIN pf b ON b.t = a.t + 1")
-    expr = "(corr(x, y) - corr(x, z) * corr(y, z)) / sqrt((1 - pow(corr(x, z), 2)) * (1 - pow(corr(y, z), 2)))"
-    if power == 2:
-        expr = f"pow({expr}, 2)"
-    return base + f", q AS ({' UNION ALL '.join(parts)}) SELECT src, dst, round({expr}, 6) + 0.0 AS value FROM q GROUP BY 1, 2"
+    """All other filled channels as controls, y one step ahead."""
+    return ahead_residual_sql("ev_mean") + f" SELECT src, dst, round(pow(corr(x, y), {power}), 6) + 0.0 AS value FROM pt GROUP BY 1, 2"
 
 
 @query("pairwise_partial", pairwise_partial_sql())
 def pairwise_partial(tb: Tables):
-    p = filled(tb.ev_mean()).select(["click", "purchase", "view"])
-    return edges_out(moments.corr_points(moments.pairwise_partial_points(p, 1)))
+    return edges_out(moments.corr_points(moments.pairwise_partial_points(filled(tb.ev_mean()), 1)))
 
 
 @query("pairwise_partial_h2", pairwise_partial_sql(2))
 def pairwise_partial_h2(tb: Tables):
-    p = filled(tb.ev_mean()).select(["click", "purchase", "view"])
-    return edges_out(moments.squared(moments.corr_points(moments.pairwise_partial_points(p, 1))))
+    return edges_out(moments.squared(moments.corr_points(moments.pairwise_partial_points(filled(tb.ev_mean()), 1))))
 
 
 @query(
