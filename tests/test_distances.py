@@ -122,3 +122,45 @@ def test_counts_in_balls_that_hold_cells(spark):
     d = np.abs(c[:, None] - c[None]).max(axis=2)
     for k, e in enumerate(eps):
         assert got[k] == w[(d[k] < e) | ((e == 0) & (d[k] == 0))].sum()
+
+
+@pytest.mark.parametrize("m", [1, 2])
+def test_sample_entropy_counts_like_a_double_loop(spark, m):
+    rng = np.random.default_rng(6)
+    # sums of the tolerance and values round, a third of the values are one value, and one channel is constant
+    series = {"a": np.round(rng.normal(size=130), 1), "b": np.where(rng.random(90) < 0.33, 0.3, rng.random(90) / 10), "c": np.full(40, 1.5), "d": rng.normal(size=19)}
+    rows = [(t, c, float(x)) for c, v in series.items() for t, x in enumerate(v)]
+    got = {r.channel: r.value for r in neighbors.sample_entropy(spark.createDataFrame(rows, "t bigint, channel string, value double"), m, tolerance=0.3, cell=2).collect()}
+    assert got["c"] is None and got["d"] is None
+    for c in "ab":
+        v = series[c]
+        x = np.stack([v[k : len(v) - m + k] for k in range(m + 1)], axis=1)
+        close = np.abs(x[:, None] - x[None]) < 0.3
+        b, a = close[:, :, :m].all(axis=2).sum() - len(x), close.all(axis=2).sum() - len(x)
+        assert got[c] == pytest.approx(-np.log(a / b), abs=1e-12)
+
+
+def test_nodes_make_up_windows(spark):
+    rows = spark.range(12).withColumnRenamed("id", "lo").crossJoin(spark.range(13).withColumnRenamed("id", "hi"))
+    for r in rows.select("lo", "hi", neighbors._covering(F.col("lo"), F.col("hi"), 5).alias("n")).collect():
+        covered = [x for node in r.n for k, at in [(node >> 48, node & (1 << 48) - 1)] for x in range(at << k, at + 1 << k)]
+        assert sorted(covered) == list(range(r.lo, r.hi))
+
+
+def test_many_matches_cost_no_more_than_few(spark):
+    """Rows handled grow like n log^2 n, however many pairs match."""
+
+    def work(n, eps):
+        u = np.random.default_rng(2).permutation(n)
+        pdf = pd.DataFrame({"k": "g", "w": 1, **{f"{c}{d}": np.roll(u, d) + {"r": 0, "lo": -eps, "hi": eps + 1}[c] for d in range(3) for c in ("r", "lo", "hi")}})
+        for d in range(3):
+            pdf[f"lo{d}"], pdf[f"hi{d}"] = pdf[f"lo{d}"].clip(lower=0), pdf[f"hi{d}"].clip(upper=n)
+        levels = int(n).bit_length()
+        df = spark.createDataFrame(pdf)
+        for d in range(2):
+            df = df.withColumn(f"a{d}", F.size(neighbors._above(F.col(f"r{d}"), levels))).withColumn(f"q{d}", F.size(neighbors._covering(F.col(f"lo{d}"), F.col(f"hi{d}"), levels)))
+        r = df.agg(F.sum(F.col("a0") * F.col("a1")), F.sum(2 * F.col("q0") * F.col("q1"))).first()
+        return r[0] + r[1]
+
+    # sixteen times the pairs
+    assert work(4000, 4000 // 3) < 7 * work(1000, 1000 // 3)

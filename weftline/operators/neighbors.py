@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.blocks import positions, rolling
+from weftline.functions.blocks import positions, rolling, running_sum
 from weftline.functions.kdcells import CELL, Tree, boxes, grow, near_cells
+from weftline.functions.ranks import value_ranks
 from weftline.functions.special import digamma_int
 from weftline.operators.moments import gram, linear_residual, residualize, solve_ols
 from weftline.panel import Panel
@@ -211,8 +212,8 @@ def _rings(state: DataFrame, tree: Tree, keys: list[str], k: int, metric: str, k
         seen, ring = seen + ring, 2 * ring
 
 
-def _count_1d(qv, eps, pv, pw):
-    """Weight of sorted values strictly within eps (or equal, for eps 0), by the rounded difference."""
+def _count_1d(qv, eps, pv, pw, below=False):
+    """Weight of sorted values strictly within eps (or equal, for eps 0), by the rounded difference; ``below``: of those not above the query."""
     order = np.argsort(pv, kind="stable")
     p, cum = pv[order], np.concatenate([[0], np.cumsum(pw[order])])
     lo, hi = np.searchsorted(p, qv - eps, "left"), np.searchsorted(p, qv + eps, "right")
@@ -236,15 +237,19 @@ def _count_1d(qv, eps, pv, pw):
         if not (a.any() or b.any()):
             break
         lo, hi = lo - a, hi + b
+    if below:
+        own = np.searchsorted(p, qv, "right")
+        lo, hi = np.minimum(lo, own), np.minimum(hi, own)
     return cum[hi] - cum[lo]
 
 
-def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
+def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], cell: int = CELL, below: bool = False) -> DataFrame:
     """``keys, id, count``: weight of points with Chebyshev distance < eps (== 0 when eps is 0).
 
     ``points``: keys, c, w without repeats; ``queries``: keys, id, c, eps.  Within a group all
     c have the same length.  A query located on a point counts that point too.  Cells wholly inside a
-    ball add their weight; only those that its border cuts are visited.
+    ball add their weight; only those that its border cuts are visited.  ``below``, for one coordinate,
+    counts only points that do not lie above the query.
     """
     keys = list(keys)
     kt = _types(points, keys)
@@ -275,7 +280,9 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], cell
             for s in range(0, len(c), step):
                 e = eps[s : s + step, None]
                 near = _gaps(c[s : s + step], lo, hi) <= e * (1 + 1e-9) + 1e-300
-                inside = near & (np.maximum(_dist(c[s : s + step], lo, "chebyshev"), _dist(c[s : s + step], hi, "chebyshev")) < e)
+                if below:
+                    near &= lo[None, :, 0] <= c[s : s + step]
+                inside = near & (not below or hi[None, :, 0] <= c[s : s + step]) & (np.maximum(_dist(c[s : s + step], lo, "chebyshev"), _dist(c[s : s + step], hi, "chebyshev")) < e)
                 i, j = np.nonzero(near & ~inside)
                 who.append(i + s)
                 where.append(j)
@@ -296,7 +303,7 @@ def ball_counts(points: DataFrame, queries: DataFrame, keys: Sequence[str], cell
         qc, pc = np.stack(q["c"].to_numpy()), np.stack(p["c_p"].to_numpy())
         eps, w = q["eps"].to_numpy(), p["w_p"].to_numpy()
         if qc.shape[1] == 1:
-            n = _count_1d(qc[:, 0], eps, pc[:, 0], w)
+            n = _count_1d(qc[:, 0], eps, pc[:, 0], w, below)
         else:
             step = max(1, CHUNK // len(p))
             out = []
@@ -510,31 +517,91 @@ def var_residuals(panel: Panel, lag: int) -> Panel:
 # -- sample entropy -------------------------------------------------------------------------
 
 
+def value_windows(values: DataFrame, eps: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
+    """``keys, value, r, lo, hi``: for each distinct value its rank from 0, and the ranks [lo, hi) of values closer than ``eps``."""
+    keys = list(keys)
+    ranks = staged(value_ranks(values, keys, "value").select(*keys, "value", (F.col("dense") - 1).alias("r")))
+    pts = ranks.select(*keys, F.array("value").alias("c"), F.lit(1).cast("bigint").alias("w"))
+    asked = ranks.join(eps, keys).select(*keys, F.col("r").alias("id"), F.array("value").alias("c"), "eps")
+    under = ball_counts(pts, asked, keys, SORTED * cell, below=True).withColumnRenamed("count", "under")
+    both = ball_counts(pts, asked, keys, SORTED * cell).join(under, [*keys, "id"]).withColumnRenamed("id", "r")
+    return ranks.join(both, [*keys, "r"]).select(*keys, "value", "r", (F.col("r") + 1 - F.col("under")).alias("lo"), (F.col("r") + 1 + F.col("count") - F.col("under")).alias("hi"))
+
+
+def _node(level: int, at: Column) -> Column:
+    """Number of the merge tree's node that covers the 2^level ranks from at * 2^level on."""
+    return F.lit(level).cast("bigint") * (1 << 48) + at
+
+
+def _above(r: Column, levels: int) -> Column:
+    """All nodes over a rank."""
+    return F.array(*[_node(k, F.shiftright(r, k)) for k in range(levels)])
+
+
+def _covering(lo: Column, hi: Column, levels: int) -> Column:
+    """The fewest nodes that make up the ranks [lo, hi): two a level at most."""
+    parts = []
+    for k in range(levels):
+        a, b = F.shiftright(lo + ((1 << k) - 1), k), F.shiftright(hi, k)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        parts.append(F.when((a < b) & odd(a), _node(k, a)))
+        parts.append(F.when((a + F.pmod(a, F.lit(2)) < b) & odd(b), _node(k, b - 1)))
+    return F.array_compact(F.array(*parts))
+
+
+def box_matches(templates: DataFrame, keys: Sequence[str], dims: int, levels: int) -> DataFrame:
+    """``keys, total``: ordered pairs of templates (w copies each) whose ranks lie in each other's windows, pairs of copies included.
+
+    ``templates``: keys, w, and ``r0, lo0, hi0`` and so on.  All coordinates but the last are nodes of merge
+    trees: a template stands in every node over its rank, and asks the few nodes that make up its window.
+    Within a node the last coordinate is a running total, read at both ends of each window.
+    """
+    keys = list(keys)
+    stand, ask = templates, templates
+    nodes = []
+    for d in range(dims - 1):
+        nodes.append(f"n{d}")
+        stand = stand.withColumn(f"n{d}", F.explode(_above(F.col(f"r{d}"), levels)))
+        ask = ask.withColumn(f"n{d}", F.explode(_covering(F.col(f"lo{d}"), F.col(f"hi{d}"), levels)))
+    last = dims - 1
+    zero = F.lit(0).cast("bigint")
+    ends = F.explode(F.array(F.struct((F.col(f"hi{last}") * 2).alias("at"), F.col("w").alias("asked")), F.struct((F.col(f"lo{last}") * 2).alias("at"), (-F.col("w")).alias("asked"))))
+    there = stand.select(*keys, *nodes, (F.col(f"r{last}") * 2 + 1).alias("at"), F.col("w").alias("held"), zero.alias("asked"))
+    events = there.unionByName(ask.select(*keys, *nodes, ends.alias("e")).select(*keys, *nodes, "e.at", zero.alias("held"), "e.asked"))
+    # equal places of a node are one row, whatever share of the templates has them
+    events = staged(events.groupBy(*keys, *nodes, "at").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")))
+    run = running_sum(events, [*keys, *nodes], "at", "held", "below")
+    return run.filter("asked <> 0").groupBy(*keys).agg(F.sum(F.col("asked") * F.col("below").cast("decimal(38,0)")).alias("total"))
+
+
 def sample_entropy(long: DataFrame, m: int = 2, tolerance: float | None = None, keys: Sequence[str] = ("channel",), cell: int = CELL) -> DataFrame:
     """-ln(A/B) of template matches of length m+1 and m (strictly closer than the tolerance).
 
-    The default tolerance is the sample deviation times 0.1164 (0.5627 ln m + 1.3334), about .2.
+    The default tolerance is the sample deviation times 0.1164 (0.5627 ln m + 1.3334), about .2.  Matches are
+    counted, never visited, so many of them cost no more than few.
     """
     keys = list(keys)
     factor = 0.1164 * (0.5627 * math.log(m) + 1.3334)
-    data = long.filter("value IS NOT NULL")
-    p = positions(data.select(*keys, "t", "value"), keys, "t", "pos", rows=data)
+    data = staged(long.filter("value IS NOT NULL").select(*keys, "t", F.col("value").cast("double").alias("value")))
+    p = positions(data, keys, "t", "pos")
     tol = F.lit(float(tolerance)) if tolerance is not None else F.stddev_samp("value") * factor
     s = data.groupBy(*keys).agg(tol.alias("eps"), F.count("value").alias("n"), F.stddev_pop("value").alias("sd"))
+    windows = staged(value_windows(data, s.select(*keys, "eps"), keys, cell))
+    most = windows.agg(F.max("r")).first()[0] or 0
+    levels = int(most + 1).bit_length()
+    placed = staged(p.join(windows, [*keys, "value"]).select(*keys, "pos", F.struct("r", "lo", "hi").alias("x")))
 
     def vectors(w):
-        return {"c": F.array(F.col("value"), *[F.lead("value", j).over(w) for j in range(1, m + 1)])}
-
-    e = rolling(p, keys, "pos", vectors, after=m).filter(F.col("c")[m].isNotNull())
-    short = F.slice("c", 1, m)
-    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("c")), F.struct(F.lit("b").alias("side"), short.alias("c"))))
-    flat = e.select(*keys, "pos", sides.alias("s")).select(*keys, "s.side", "pos", "s.c")
-    pts = flat.groupBy(*keys, "side", "c").agg(F.count(F.lit(1)).alias("w"), F.min("pos").alias("id"))
-    qs = pts.join(s.select(*keys, "eps"), keys).select(*keys, "side", "id", "c", "eps")
-    hits = ball_counts(pts.select(*keys, "side", "c", "w"), qs, [*keys, "side"], cell)
-    t = hits.join(pts.select(*keys, "side", "id", "w"), [*keys, "side", "id"]).withColumn("pairs", F.col("w") * (F.col("count") - 1))
-    ab = t.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == "a", F.col("pairs"))).alias("a"), F.sum(F.when(F.col("side") == "b", F.col("pairs"))).alias("b")
-    )
+        return {f"x{j}": F.lead("x", j).over(w) for j in range(1, m + 1)}
+
+    e = rolling(placed, keys, "pos", vectors, after=m).withColumnRenamed("x", "x0").filter(F.col(f"x{m}").isNotNull())
+    total = None
+    for side, dims in (("a", m + 1), ("b", m)):
+        same = e.groupBy(*keys, *[f"x{j}" for j in range(dims)]).agg(F.count(F.lit(1)).cast("bigint").alias("w"))
+        flat = same.select(*keys, "w", *[F.col(f"x{j}.{c}").alias(f"{c}{j}") for j in range(dims) for c in ("r", "lo", "hi")])
+        one = box_matches(flat, keys, dims, levels).withColumnRenamed("total", side)
+        total = one if total is None else total.join(one, keys)
+    size = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("templates"))
+    ab = total.join(size, keys).select(*keys, *[(F.col(c) - F.col("templates")).cast("double").alias(c) for c in ("a", "b")])
     ok = (F.col("n") >= 20) & (F.col("sd") >= 1e-10) & (F.col("a") > 0) & (F.col("b") > 0)
     return s.join(ab, keys, "left").select(*keys, F.when(ok, -F.ln(F.col("a") / F.col("b"))).alias("value"))
