@@ -6,10 +6,13 @@ arithmetic on its position, and one grouped aggregate evaluates every configurat
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +25,16 @@ from weftline.session import staged
 class PointMetric:
     """A pair metric computed from points: ``fn(points, keys, lag, bounded)``.
 
-    ``shifts``: y is taken lag ahead.  ``history``: lag is a history length instead.
+    ``shifts``: y is taken lag ahead.  ``history``: lag is a history length instead.  ``power``: a power of the
+    partial correlation, which needs all channels at once and no points.
     """
 
-    fn: Callable[..., DataFrame]
+    fn: Callable[..., DataFrame] | None
     directed: bool = False
     shifts: bool = False
     history: bool = False
     p_value: bool = False
+    power: int = 0
 
 
 def _squared(fn):
@@ -49,6 +54,8 @@ POINT_METRICS: dict[str, PointMetric] = {
     "h2_full": PointMetric(_squared(_corr)),
     "correlation_directed": PointMetric(_corr_ahead, directed=True, shifts=True),
     "h2_directed": PointMetric(_squared(_corr_ahead), directed=True, shifts=True),
+    "correlation_partial": PointMetric(None, power=1),
+    "h2_partial": PointMetric(None, power=2),
     "coherence_full": PointMetric(lambda p, keys, lag, bounded: spectral.coherence_points(p, keys)),
     "granger_full": PointMetric(
         lambda p, keys, lag, bounded: regress.granger_points(p, lag, keys), directed=True, history=True, p_value=True
@@ -170,11 +177,113 @@ def window_moments(
 
 
 WINDOW_KEYS = ["window_size", "start", "lag", "src", "dst"]
+RUN = 64  # windows that one task takes from the same running totals
+
+
+def _pane_sums(panel: Panel, step: int) -> DataFrame:
+    """``pane, sums``: count, sums and cross products (upper triangle) of the complete rows of each pane."""
+    chans = list(panel.channels)
+    k = len(chans)
+    row = panel.frame.agg(*[F.avg(panel.col(c)) for c in chans]).first()
+    mean = np.array([v if v is not None else 0.0 for v in row])
+    i, j = np.triu_indices(k)
+    rows = panel.frame.dropna(how="any", subset=[f"`{c}`" for c in chans]).select(F.floor(F.col("t") / step).cast("bigint").alias("pane"), *[panel.col(c).alias(f"v{n}") for n, c in enumerate(chans)])
+
+    def partial(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pane = batch.column("pane").to_numpy(zero_copy_only=False)
+            v = np.column_stack([batch.column(f"v{n}").to_numpy(zero_copy_only=False) for n in range(k)]) - mean if len(pane) else np.zeros((0, k))
+            names, who = np.unique(pane, return_inverse=True)
+            sums = []
+            for n in range(len(names)):
+                x = v[who == n]
+                sums.append(np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[i, j]]).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["pane", "sums"])
+
+    parts = rows.mapInArrow(partial, "pane bigint, sums array<double>")
+    width = 1 + k + len(i)
+    # a pane may lie in several tasks
+    cells = parts.select("pane", F.posexplode("sums").alias("at", "s")).groupBy("pane", "at").agg(F.sum("s").alias("s"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"])
+    return cells.groupBy("pane").agg(joined.alias("sums")).filter(F.size("sums") == width)
+
+
+def _run_of_windows(g: WindowGrid, step: int, k: int, power: int):
+    """Partial correlations of a run of windows from its panes, by differences of running totals."""
+    a, b = np.triu_indices(k, 1)
+    i, j = np.triu_indices(k)
+    chosen = None if g.chosen is None else set(g.chosen)
+
+    def windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        lowest = int(pdf.run.iloc[0]) * RUN
+        highest = min(lowest + RUN, g.count) - 1
+        starts = np.array([g.first + w * g.stride for w in range(lowest, highest + 1) if chosen is None or w in chosen], dtype=np.int64)
+        first, last = (g.first + lowest * g.stride) // step, (g.first + highest * g.stride + g.size) // step
+        panes = np.zeros((last - first + 1, 1 + k + len(i)))
+        panes[pdf.pane.to_numpy() - first + 1] = np.stack(pdf.sums.to_numpy())
+        total = np.cumsum(panes, axis=0)
+        s = total[(starts + g.size) // step - first] - total[starts // step - first]
+        value = _partial_of(np.round(s[:, 0]), s[:, 1 : 1 + k], s[:, 1 + k :], i, j)[:, a, b] ** power
+        return pd.DataFrame({"start": np.repeat(starts, len(a)), "i": np.tile(a, len(starts)), "j": np.tile(b, len(starts)), "value": value.ravel()})
+
+    return windows
+
+
+def window_partial(panel: Panel, grids: Sequence[WindowGrid], power: int = 1, pairs=None) -> DataFrame:
+    """Partial correlation given all other channels in every window: ``window_size, start, lag, src, dst, value``.
+
+    Rows fold into one Gram matrix per pane.  A task takes a run of consecutive windows: running totals over
+    the panes give each window's matrix as a difference, whatever the windows share, and its precision
+    matrix gives all pairs.  No value where a window has too few complete rows.
+    """
+    chans = list(panel.channels)
+    k = len(chans)
+    out = None
+    for g in grids:
+        step = math.gcd(g.size, g.stride, g.first)
+        panes = staged(_pane_sums(panel, step))
+        # runs of windows whose panes overlap a pane's place
+        at = F.col("pane") * step
+        low = F.greatest(F.lit(0), F.floor((at - g.size + 1 - g.first + g.stride - 1) / g.stride))
+        high = F.least(F.lit(g.count - 1), F.floor((at - g.first) / g.stride))
+        runs = F.when(low <= high, F.sequence(F.floor(low / RUN).cast("bigint"), F.floor(high / RUN).cast("bigint")))
+        homes = panes.select("pane", "sums", F.explode(runs).alias("run"))
+        names = F.from_json(F.lit(json.dumps(chans)), "array<string>")
+        one = homes.groupBy("run").applyInPandas(_run_of_windows(g, step, k, power), "start bigint, i int, j int, value double").select(
+            F.lit(g.size).alias("window_size"), "start", F.lit(1).alias("lag"), F.get(names, F.col("i")).alias("src"), F.get(names, F.col("j")).alias("dst"),
+            F.when(~F.isnan("value"), F.col("value")).alias("value"),
+        )
+        out = one if out is None else out.unionByName(one)
+    if pairs is None:
+        return out
+    wanted = out.sparkSession.createDataFrame(panel.pair_list(False, pairs), "src string, dst string")
+    return out.join(wanted, ["src", "dst"], "left_semi").select(*WINDOW_KEYS, "value")
+
+
+def _partial_of(n: np.ndarray, sums: np.ndarray, cross: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Partial correlation matrices of windows from their totals; NaN where a window has too few rows."""
+    k = sums.shape[1]
+    g = np.zeros((len(n), k, k))
+    g[:, i, j] = cross
+    g[:, j, i] = cross
+    g -= sums[:, :, None] * sums[:, None, :] / np.maximum(n, 1)[:, None, None]
+    d = np.sqrt(np.clip(np.einsum("wkk->wk", g), 0, None))
+    d[d < 1e-12] = 1.0
+    p = np.linalg.pinv(np.clip(g / (d[:, :, None] * d[:, None, :]), -1.0, 1.0))
+    d = np.sqrt(np.abs(np.einsum("wkk->wk", p)))
+    d[d < 1e-12] = 1.0
+    out = -p / (d[:, :, None] * d[:, None, :])
+    out[n <= k + 2] = np.nan
+    return out
 
 
 def window_edges(panel: Panel, variant: str, grids: Sequence[WindowGrid], lags: Sequence[int] = (1,), pairs=None) -> DataFrame:
     """Edges of every window (and lag) in one plan: ``window_size, start, lag, src, dst, value``."""
     m = _metric(variant)
+    if m.power:
+        return window_partial(panel, grids, m.power, pairs)
     if m.history:
         parts = []
         pts = window_points(panel, grids, m.directed, pairs=pairs)
@@ -198,6 +307,10 @@ def lag_edges(panel: Panel, variant: str, lags: Sequence[int], pairs=None) -> Da
     """Edges over the whole series for each lag: ``lag, src, dst, value``."""
     m = _metric(variant)
     keys = ["lag", "src", "dst"]
+    if m.power:
+        edges = moments.partial_correlation(panel, pairs=pairs)
+        edges = moments.squared(edges) if m.power == 2 else edges
+        return edges.select(F.lit(1).alias("lag"), "src", "dst", "value")
     if m.shifts:
         return m.fn(panel.pair_points(True, pairs, lags), keys, lags[0], False)
     if m.history:

@@ -128,14 +128,14 @@ def filled_sql(name: str) -> str:
     return panel_sql(name) + f", pf AS MATERIALIZED (SELECT t, {cells} FROM p), plf AS MATERIALIZED ({longs})"
 
 
-def eliminated(source: str, count: int, name: str = "pt") -> str:
-    """CTEs that take ``z0`` .. of ``source(src, dst, t, x, y, z...)`` out of x and y one after the other, within each pair."""
+def eliminated(source: str, count: int, name: str = "pt", by: str = "src, dst") -> str:
+    """CTEs that take ``z0`` .. of ``source(src, dst, t, x, y, z...)`` out of x and y one after the other, within each pair (or ``by``)."""
     parts, last = [], source
     for k in range(count):
         rest = [c for c in ("x", "y", *(f"z{i}" for i in range(k + 1, count)))]
         cells = ", ".join(f"{c} - avg({c}) OVER w - regr_slope({c}, z{k}) OVER w * (z{k} - avg(z{k}) OVER w) AS {c}" for c in rest)
         here = name if k == count - 1 else f"{source}_{k}"
-        parts.append(f"{here} AS MATERIALIZED (SELECT src, dst, t, {cells} FROM {last} WINDOW w AS (PARTITION BY src, dst))")
+        parts.append(f"{here} AS MATERIALIZED (SELECT {by}, t, {cells} FROM {last} WINDOW w AS (PARTITION BY {by}))")
         last = here
     return ", ".join(parts)
 

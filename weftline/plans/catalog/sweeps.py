@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import sweep
-from weftline.plans.catalog.base import Tables, panel_sql, query, r6
+from weftline.plans.catalog.base import Tables, eliminated, panel_sql, query, r6, with_controls_sql
 
 DAY = panel_sql("od_day")
 EV = panel_sql("ev_mean")
@@ -168,3 +168,33 @@ def te_windows(tb: Tables):
     g = sweep.WindowGrid.plan(p.length(), 400, 200)
     e = sweep.window_edges(p, "te_full", [g], [1, 2])
     return e.select("window_size", "start", "lag", "src", "dst", r6("value").alias("value"))
+
+
+def partial_windows_sql(name: str, sizes: list[int]) -> str:
+    """``we``: correlation of residuals on all other channels, separately in every window of more than seven complete rows."""
+    ws = ", ".join(f"({w}, {max(1, w // 5)})" for w in sizes)
+    by = "window_size, start, src, dst"
+    return (
+        panel_sql(name) + ", " + with_controls_sql(name, False)
+        + f", nn AS (SELECT max(t) + 1 AS n FROM p), wz(w, s) AS (VALUES {ws}), win AS (SELECT w, unnest(range(0, n - w + 1, s)) AS start FROM wz, nn), "
+        "wp AS MATERIALIZED (SELECT w AS window_size, start, pz.* FROM win JOIN pz ON t >= start AND t < start + w), "
+        + eliminated("wp", 3, "pt", by)
+        + f", we AS MATERIALIZED (SELECT {by}, CASE WHEN count(*) > 7 THEN corr(x, y) END AS value FROM pt GROUP BY ALL)"
+    )
+
+
+@query("window_edges_partial", partial_windows_sql("od_day", [60, 200]) + " SELECT window_size, start, src, dst, round(value, 6) + 0.0 AS value FROM we")
+def window_edges_partial(tb: Tables):
+    p = tb.od_day()
+    grids = [sweep.WindowGrid.plan(p.length(), w) for w in (60, 200)]
+    return sweep.window_edges(p, "correlation_partial", grids).select("window_size", "start", "src", "dst", r6("value").alias("value"))
+
+
+@query(
+    "window_pos_partial",
+    partial_windows_sql("od_month", [20]) + ", wq AS (SELECT window_size, start, avg(abs(value * value)) AS metric FROM we GROUP BY ALL) "
+    "SELECT printf('pos_w%d_l%d_i%d_s%d', window_size, 1, start // 4, start) AS id, window_size, 1 AS lag, start, start + window_size AS \"end\", round(metric, 6) + 0.0 AS metric FROM wq",
+)
+def window_pos_partial(tb: Tables):
+    s = sweep.scan_positions(tb.od_month(), "h2_partial", 20)
+    return s.select("id", "window_size", "lag", "start", "end", r6("metric").alias("metric"))
