@@ -111,6 +111,54 @@ def test_registry(spark):
         registry.METHODS.pop("last_gap")
 
 
+def state_metric(spark, panel, parts, **kinds):
+    registry.register_state_metric("own", *parts, **kinds)
+    try:
+        return {(r.src, r.dst): r.value for r in registry.compute(panel, "own", 2).collect()}
+    finally:
+        registry.METHODS.pop("own")
+
+
+COVARIANCE = (
+    lambda: np.zeros(4),
+    lambda s, x, y: s + [len(x), x.sum(), y.sum(), x @ y],
+    lambda a, b: a + b,
+    lambda s: s[3] / s[0] - s[1] * s[2] / s[0] ** 2 if s[0] else None,
+)
+
+
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_metrics_with_a_state(spark, monkeypatch, block):
+    from weftline.plans.catalog.tables import SIGN_CHANGES
+
+    monkeypatch.setattr(registry, "MERGED", 4)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 3))
+    v[rng.random(v.shape) < 0.2] = np.nan
+    v[:, 2] = np.nan
+    pdf = pd.DataFrame(v, columns=["a", "b", "none"])
+    pdf.insert(0, "t", np.arange(200))
+    panel = Panel.from_wide(spark.createDataFrame(pdf).repartition(7), ["a", "b", "none"], block=block)
+    both = np.isfinite(v[:, 0]) & np.isfinite(v[:, 1])
+    x, y = v[both, 0], v[both, 1]
+    got = state_metric(spark, panel, COVARIANCE)
+    assert got["a", "b"] == pytest.approx(np.cov(x, y, ddof=0)[0, 1]) and got["a", "none"] is None and len(got) == 3
+    got = state_metric(spark, panel, SIGN_CHANGES, ordered=True)
+    assert got["a", "b"] == pytest.approx(np.count_nonzero(np.diff(np.sign(x - y))) / (len(x) - 1))
+    got = state_metric(spark, panel, COVARIANCE, directed=True, shifts=True)
+    x, y = v[:-2, 1], v[2:, 0]
+    both = np.isfinite(x) & np.isfinite(y)
+    assert got["b", "a"] == pytest.approx(np.cov(x[both], y[both], ddof=0)[0, 1]) and len(got) == 6
+
+
+def test_a_state_over_many_rows(spark):
+    n = 10_000_000
+    df = spark.range(n).select(F.col("id").alias("t"), (F.col("id") % 1000).cast("double").alias("a"), ((F.col("id") * 7) % 1009).cast("double").alias("b"))
+    got = state_metric(spark, Panel(df, ("a", "b")), COVARIANCE)
+    t = np.arange(n)
+    assert got["a", "b"] == pytest.approx(np.cov(t % 1000, t * 7 % 1009, ddof=0)[0, 1], rel=1e-9)
+
+
 def test_identity_and_gaps(spark):
     p = Panel.from_wide(spark.createDataFrame(pd.DataFrame({"t": range(4), "a": [1, 2, np.nan, 4], "b": [1.0, 2.0, 3.0, 4.0], "k": [5.0] * 4})))
     got = {(r.src, r.dst): r.value for r in registry.compute(p, "correlation_full").collect()}
@@ -132,6 +180,17 @@ def test_pairs():
     assert len(random_pairs(["a", "b", "c"], 50)) == 3 and len(set(random_pairs([str(i) for i in range(50)], 40, 1))) == 40
 
 
+def test_formulas(spark):
+    texts = {"A": "sin(2*pi*t/50)", "B": "0.8*A + 0.01*t", "C": "clip(minimum(B, 1.5), -0.5, maximum(A, 0.5))", "D": "t % 7 + t // 3 - 2**3", "E": "where(t % 2, A, -B)"}
+    got = formula.formula_dataset(spark, 120, specs=[formula.FormulaSpec(k, v) for k, v in texts.items()]).frame.toPandas().sort_values("t")
+    t = np.arange(120)
+    a = np.sin(2 * np.pi * t / 50)
+    b = 0.8 * a + 0.01 * t
+    want = {"A": a, "B": b, "C": np.clip(np.minimum(b, 1.5), -0.5, np.maximum(a, 0.5)), "D": t % 7 + t // 3 - 8, "E": np.where(t % 2, a, -b)}
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], v, atol=1e-12)
+
+
 @pytest.mark.parametrize("text", ["t.real", "t[0]", "t > 1", "lambda: 1", "'a'", "unknown", "__import__('os')", "ar1(t)", "sin("])
 def test_formula_rejects(spark, text):
     with pytest.raises(formula.UnsafeFormulaError):

@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.operators import moments
 from weftline.plans import registry
 from weftline.plans.analysis import Analysis, preprocess
 from weftline.plans.catalog.base import EVENT_TYPES, Tables, panel_sql, points_sql, query, r6
-from weftline.plans.formula import FormulaSpec, evaluate
 from weftline.sources import sinks, tables
 
 
-@query(
-    "formula_dataset",
-    panel_sql("ev_mean")
-    + ", a AS (SELECT t, sin(2 * pi() * t / 50) AS \"A\" FROM p), b AS (SELECT *, 0.8 * \"A\" + 0.01 * t AS \"B\" FROM a), "
-    "c AS (SELECT *, least(greatest(least(\"B\", 1.5), -0.5), greatest(\"A\", 0.5)) AS \"C\", t - 7 * floor(t / 7.0) + floor(t / 3.0) - pow(2.0, 3) AS \"D\", CASE WHEN t - 2 * floor(t / 2.0) <> 0 THEN \"A\" ELSE -\"B\" END AS \"E\" FROM b) "
-    "SELECT t, round(\"A\", 6) + 0.0 AS a, round(\"B\", 6) + 0.0 AS b, round(\"C\", 6) + 0.0 AS c, round(\"D\", 6) + 0.0 AS d, round(\"E\", 6) + 0.0 AS e FROM c",
-)
-def formula_dataset(tb: Tables):
-    """Deterministic formulas over the hours of the event table."""
-    specs = [
-        FormulaSpec("A", "sin(2*pi*t/50)"),
-        FormulaSpec("B", "0.8*A + 0.01*t"),
-        FormulaSpec("C", "clip(minimum(B, 1.5), -0.5, maximum(A, 0.5))"),
-        FormulaSpec("D", "t % 7 + t // 3 - 2**3"),
-        FormulaSpec("E", "where(t % 2, A, -B)"),
-    ]
-    f = evaluate(tb.ev_mean().frame, specs).frame
-    return f.select("t", *[r6(c).alias(c.lower()) for c in "ABCDE"])
-
-
-@query("formula_noise")
-def formula_noise(tb: Tables):
-    specs = [FormulaSpec("X", "sin(2*pi*t/50)+0.2*randn()"), FormulaSpec("Y", "0.8*X+0.3*randu()"), FormulaSpec("Z", "rw(0.5)+ar1(0.7, 1.0)")]
-    return evaluate(tb.ev_mean().frame, specs, seed=42).frame
-
-
 GRID = (
     "WITH g AS (SELECT p_partkey AS i, p_partkey % 10 AS x, (p_partkey // 10) % 10 AS y, p_partkey // 100 % 15 AS z, p_size * 1.0 AS t0, p_retailprice AS t1, p_retailprice - p_size AS t2 FROM part), "
     "n AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY x, y, z) AS c FROM g)"
@@ -136,3 +110,33 @@ def all_methods(tb: Tables):
         one = registry.compute(p, name, 1).withColumn("variant", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.select("variant", "src", "dst", r6("value", 4).alias("value"))
+
+
+# share of steps in time at which x - y changes its sign: count, changes, first and last sign of a stretch
+SIGN_CHANGES = (
+    lambda: np.zeros(4),
+    lambda state, x, y: _stretch(state, np.sign(x - y)),
+    lambda a, b: np.array([a[0] + b[0], a[1] + b[1] + (a[0] > 0 and b[0] > 0 and a[3] != b[2]), a[2] if a[0] else b[2], b[3] if b[0] else a[3]]),
+    lambda state: state[1] / (state[0] - 1) if state[0] > 1 else None,
+)
+
+
+def _stretch(state, signs):
+    own = np.array([len(signs), np.count_nonzero(np.diff(signs)), signs[0], signs[-1]])
+    return SIGN_CHANGES[2](state, own)
+
+
+@query(
+    "user_metric",
+    points_sql("ev_mean", False)
+    + ", s AS (SELECT src, dst, sign(x - y) AS s, lag(sign(x - y)) OVER (PARTITION BY src, dst ORDER BY t) AS p FROM pt) "
+    "SELECT src, dst, round(count(*) FILTER (s <> p) / (count(*) - 1.0), 6) + 0.0 AS value FROM s GROUP BY 1, 2",
+)
+def user_metric(tb: Tables):
+    """A metric of the user's own, given as a mergeable state over points in time order."""
+    registry.register_state_metric("sign_changes", *SIGN_CHANGES, ordered=True)
+    try:
+        edges = registry.compute(tb.ev_mean(), "sign_changes")
+    finally:
+        registry.METHODS.pop("sign_changes")
+    return edges.select("src", "dst", r6("value").alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from weftline.operators import distances, graph, information, moments, neighbors, regress, spectral
 from weftline.panel import Panel
 from weftline.plans.config import ALIASES
+from weftline.session import spread, staged
+
+MERGED = 64  # states merged at a time
 
 
 @dataclass(frozen=True)
@@ -132,16 +136,91 @@ def register_column_metric(name: str, value: Callable[[], Column], directed: boo
     register_metric(name, build, directed)
 
 
-def register_array_metric(name: str, fn: Callable, directed: bool = False, shifts: bool = False, max_rows: int = 1_000_000) -> None:
-    """Add a method given as ``fn(x, y) -> float`` over numpy arrays in time order.
+def register_state_metric(
+    name: str, init: Callable, update: Callable, merge: Callable, finish: Callable, directed: bool = False, shifts: bool = False, ordered: bool = False
+) -> None:
+    """Add a method given as a mergeable state, a flat numpy array of doubles, so that no task needs a whole series.
+
+    ``init() -> state``, ``update(state, x, y) -> state`` for a batch of complete points, ``merge(a, b) -> state``
+    and ``finish(state) -> float``.  With ``ordered`` points come in time order and ``a`` lies before ``b``;
+    otherwise in any order.  States of time blocks (or of tasks) are merged sixty-four at a time.
+    """
+
+    def build(p: Panel, c: Context) -> DataFrame:
+        todo = p.pair_list(directed, c.pairs)
+        rank = {x: i for i, x in enumerate(p.channels)}
+        lag = max(1, c.lag) if shifts else 0
+        frame = p.shifted([lag]) if lag else p.frame
+        k = len(p.channels)
+        values = [*p.channels, *(f"{x}@{lag}" for x in p.channels)] if lag else list(p.channels)
+        rows = frame.select(F.floor(F.col("t") / p.block).cast("bigint").alias("blk"), "t", *[F.col(f"`{x}`").alias(f"v{i}") for i, x in enumerate(values)])
+        if ordered:
+            rows = spread(rows, "blk").sortWithinPartitions("blk", "t")
+        slots = [(rank[a], rank[b] + (k if lag else 0)) for a, b in todo]
+        width = len(values)
+
+        def fold(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            states, at = None, None
+
+            def out():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(slots)), pa.int32()), pa.array([at] * len(slots), pa.int64()), pa.array([np.asarray(x, float).tolist() for x in states], pa.list_(pa.float64()))], names=["pair", "blk", "state"]
+                )
+
+            for batch in batches:
+                blk = batch.column("blk").to_numpy(zero_copy_only=False) if ordered else np.full(batch.num_rows, task)
+                v = [batch.column(f"v{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(width)]
+                cuts = np.flatnonzero(np.diff(blk)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(blk)]):
+                    if hi == lo:
+                        continue
+                    if at is not None and blk[lo] != at:
+                        yield out()
+                        states = None
+                    at = int(blk[lo])
+                    states = states or [init() for _ in slots]
+                    for q, (i, j) in enumerate(slots):
+                        x, y = v[i][lo:hi], v[j][lo:hi]
+                        both = np.isfinite(x) & np.isfinite(y)
+                        if both.any():
+                            states[q] = update(states[q], x[both], y[both])
+            if states:
+                yield out()
+
+        def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("blk")
+            state = np.asarray(pdf.state.iloc[0], float)
+            for other in pdf.state.iloc[1:]:
+                state = merge(state, np.asarray(other, float))
+            return pd.DataFrame({"pair": pdf.pair.iloc[:1], "blk": pdf.blk.iloc[:1] // MERGED, "state": [np.asarray(state, float).tolist()]})
+
+        schema = "pair int, blk bigint, state array<double>"
+        states = staged(rows.mapInArrow(fold, schema))
+        while (states.agg(F.max("blk")).first()[0] or 0) > 0:
+            held = states.withColumn("part", F.floor(F.col("blk") / MERGED))
+            states = staged(held.groupBy("pair", "part").applyInPandas(lambda pdf: joined(pdf.drop(columns="part")), schema))
+        names = rows.sparkSession.createDataFrame([(q, a, b) for q, (a, b) in enumerate(todo)], "pair int, src string, dst string")
+
+        def last(pdfs):
+            for pdf in pdfs:
+                yield pd.DataFrame({"pair": pdf.pair, "value": [finish(np.asarray(x, float)) for x in pdf.state]})
+
+        return names.join(states.select("pair", "state").mapInPandas(last, "pair int, value double"), "pair", "left").select("src", "dst", "value")
+
+    register_metric(name, build, directed)
+
+
+def register_array_metric(name: str, fn: Callable, directed: bool = False, shifts: bool = False) -> None:
+    """Add a method given as ``fn(x, y) -> float`` over whole series in time order.
 
-    Each pair's points meet in one task, so longer series are refused; write an aggregate
-    expression or a builder for those.
+    Such a function needs each pair's points in one place.  Where series are long, register a state metric.
     """
 
     def build(p: Panel, c: Context) -> DataFrame:
-        if p.length() > max_rows:
-            raise ValueError(f"{name} takes whole series; {max_rows} rows at most")
         pts = p.pair_points(directed, c.pairs, [max(1, c.lag)] if shifts else (0,))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
