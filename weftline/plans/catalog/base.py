@@ -162,3 +162,13 @@ def residual_sql(name: str, directed: bool) -> str:
 def ahead_residual_sql(name: str) -> str:
     """``pt`` of residuals on all other channels of mean-filled series, y one step ahead of x and the controls."""
     return filled_sql(name) + ", " + with_controls_sql(name, False, "pf", 1) + ", " + eliminated("pz", len(channels_of(name)) - 2)
+
+
+def controlled_points_sql(name: str, control: str) -> str:
+    """``pt`` of residuals on one channel, over rows complete in a channel and the control."""
+    res = " UNION ALL ".join(
+        f"SELECT t, '{c}' AS channel, \"{c}\" - (avg(\"{c}\") OVER () + regr_slope(\"{c}\", \"{control}\") OVER () * (\"{control}\" - avg(\"{control}\") OVER ())) AS value "
+        f"FROM p WHERE \"{c}\" IS NOT NULL AND \"{control}\" IS NOT NULL"
+        for c in channels_of(name) if c != control
+    )
+    return panel_sql(name) + f", r AS MATERIALIZED ({res}), pt AS MATERIALIZED (SELECT a.channel AS src, b.channel AS dst, a.t, a.value AS x, b.value AS y FROM r a JOIN r b ON a.t = b.t AND a.channel < b.channel)"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import spectral
-from weftline.plans.catalog.base import Tables, panel_sql, points_sql, query, r6
+from weftline.plans.catalog.base import Tables, controlled_points_sql, panel_sql, points_sql, query, r6
 from weftline.plans.catalog.moments import edges_out
 
 EV = panel_sql("ev_mean")
@@ -77,7 +77,7 @@ def seasonality(tb: Tables):
     return s.select("channel", "acf_period", *[r6(c).alias(c) for c in ("acf_strength", "fft_period", "fft_freq")])
 
 
-COH = points_sql("ev_mean", False) + (
+COH_OF_POINTS = (
     ", q0 AS MATERIALIZED (SELECT src, dst, x, y, row_number() OVER (PARTITION BY src, dst ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY src, dst) AS n FROM pt), "
     "g0 AS (SELECT DISTINCT src, dst, n FROM q0), g1 AS (SELECT *, greatest(8, least(64, n // 2)) AS m FROM g0), "
     "sg AS (SELECT src, dst, m, unnest(range(0, (n - m) // (m - m // 2) + 1)) * (m - m // 2) AS s0 FROM g1), "
@@ -88,6 +88,9 @@ COH = points_sql("ev_mean", False) + (
 )
 
 
+COH = points_sql("ev_mean", False) + COH_OF_POINTS
+
+
 @query("coherence", COH + " SELECT src, dst, round(avg(coh), 6) + 0.0 AS value FROM cb GROUP BY 1, 2")
 def coherence(tb: Tables):
     return edges_out(spectral.coherence_full(tb.ev_mean()))
@@ -105,6 +108,6 @@ def coherence_peak(tb: Tables):
     return p.select("src", "dst", r6("freq").alias("freq"), r6("coh").alias("coh"))
 
 
-@query("coherence_partial")
+@query("coherence_partial", controlled_points_sql("ev_mean", "view") + COH_OF_POINTS + " SELECT src, dst, round(avg(coh), 6) + 0.0 AS value FROM cb GROUP BY 1, 2")
 def coherence_partial(tb: Tables):
     return edges_out(spectral.coherence_partial(tb.ev_mean(), ["view"]))

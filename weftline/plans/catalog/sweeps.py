@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import sweep
-from weftline.plans.catalog.base import Tables, eliminated, panel_sql, query, r6, with_controls_sql
+from weftline.plans.catalog.base import Tables, eliminated, panel_sql, points_sql, query, r6, with_controls_sql
+from weftline.plans.catalog.information import te_sql
 
 DAY = panel_sql("od_day")
 EV = panel_sql("ev_mean")
@@ -162,7 +163,17 @@ def main_window_cube(tb: Tables):
     return e.select("src", "dst", r6("value").alias("value"))
 
 
-@query("te_windows")
+def te_windows_sql(lag: int) -> str:
+    """Transfer entropy in windows of 400 days, every 200: a window's number is part of the pair while it is worked on."""
+    pts = points_sql("od_day", True).replace(", pt AS MATERIALIZED", ", all_pt AS MATERIALIZED", 1)
+    pts += (
+        ", nn AS (SELECT max(t) + 1 AS n FROM p), win AS (SELECT unnest(range(0, n - 399, 200)) AS start FROM nn), "
+        "pt AS MATERIALIZED (SELECT src || '@' || start AS src, dst, t, x, y FROM win JOIN all_pt ON t >= start AND t < start + 400)"
+    )
+    return f"SELECT 400 AS window_size, CAST(split_part(src, '@', 2) AS BIGINT) AS start, {lag} AS lag, split_part(src, '@', 1) AS src, dst, value FROM ({te_sql(pts, lag=lag)})"
+
+
+@query("te_windows", te_windows_sql(1) + " UNION ALL " + te_windows_sql(2))
 def te_windows(tb: Tables):
     p = tb.od_day()
     g = sweep.WindowGrid.plan(p.length(), 400, 200)

@@ -64,12 +64,31 @@ def graph_clustering_directed(tb: Tables):
     return graph.clustering(*dire(tb), True).select("name", r6("clustering").alias("clustering"))
 
 
-@query("graph_betweenness")
+BETWEEN = DIR.replace("WITH ", "WITH RECURSIVE ", 1) + (
+    ", walks(s, v, d, seen) AS (SELECT name, name, 0.0::DOUBLE, [name] FROM nodes UNION ALL "
+    "SELECT s, dst, d + weight, list_append(seen, dst) FROM walks JOIN e ON src = v WHERE NOT list_contains(seen, dst)), "
+    "near AS (SELECT s, v, min(d) AS d FROM walks GROUP BY 1, 2), "
+    "best AS (SELECT w.s, w.v, seen, count(*) OVER (PARTITION BY w.s, w.v) AS ways FROM walks w JOIN near n ON n.s = w.s AND n.v = w.v AND n.d = w.d WHERE w.s <> w.v), "
+    "through AS (SELECT unnest(seen[2:len(seen) - 1]) AS name, 1.0 / ways AS x FROM best)"
+)
+
+
+@query("graph_betweenness", BETWEEN + " SELECT name, round(coalesce(sum(x), 0) / 12, 6) + 0.0 AS betweenness FROM nodes LEFT JOIN through USING (name) GROUP BY 1")
 def graph_betweenness(tb: Tables):
     return graph.betweenness(*dire(tb), True).select("name", r6("betweenness").alias("betweenness"))
 
 
-@query("graph_eigenvector")
+POWER = UND.replace("WITH ", "WITH RECURSIVE ", 1) + (
+    ", ns AS (SELECT list(name ORDER BY name) AS ns FROM nodes), "
+    "mat AS (SELECT list(line ORDER BY a) AS mat FROM (SELECT a.name AS a, list(coalesce(m.weight, 0) ORDER BY b.name) AS line FROM nodes a CROSS JOIN nodes b LEFT JOIN m ON m.dst = a.name AND m.src = b.name GROUP BY 1)), "
+    "power(k, x, done) AS (SELECT 0, list_transform(ns, lambda z: 1.0::DOUBLE / len(ns)), false FROM ns UNION ALL "
+    "SELECT k + 1, y, list_sum(list_transform(range(1, len(y) + 1), lambda i: abs(y[i] - x[i]))) < len(y) * 1e-6 FROM ("
+    "SELECT k, x, list_transform(raw, lambda v: v / sqrt(list_sum(list_transform(raw, lambda u: u * u)))) AS y FROM ("
+    "SELECT k, x, list_transform(range(1, len(x) + 1), lambda i: x[i] + list_sum(list_transform(range(1, len(x) + 1), lambda j: mat[i][j] * x[j]))) AS raw FROM power, mat WHERE NOT done AND k < 500)))"
+)
+
+
+@query("graph_eigenvector", POWER + " SELECT unnest(ns) AS name, round(unnest(x), 4) + 0.0 AS eigenvector FROM power, ns WHERE done")
 def graph_eigenvector(tb: Tables):
     return graph.eigenvector(*und(tb)).select("name", r6("eigenvector", 4).alias("eigenvector"))
 
