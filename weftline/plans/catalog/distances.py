@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import distances, moments, neighbors
-from weftline.plans.catalog.base import Tables, ahead_residual_sql, channels_of, panel_sql, points_sql, query, r6, residual_sql, with_controls_sql
+from weftline.plans.catalog.base import Tables, ahead_residual_sql, channels_of, eliminated, panel_sql, points_sql, query, r6, residual_sql, with_controls_sql
 from weftline.plans.catalog.moments import edges_out, filled
 
 
@@ -86,13 +86,13 @@ def pairwise_partial_mi(tb: Tables):
     return edges_out(neighbors.mutual_information(moments.pairwise_partial_points(filled(tb.ev_mean()), 1)))
 
 
-def ah_sql(lag: int = 0) -> str:
+def ah_sql(lag: int = 0, base: str | None = None, table: str = "p") -> str:
     names = channels_of("ev_mean6")
     ok = " AND ".join(f"a.{c} IS NOT NULL" for c in names)
     if lag:
         ok += " AND " + " AND ".join(f"b.{c} IS NOT NULL" for c in names)
     cells = ", ".join(f"a.{c} AS x_{c}, {'b' if lag else 'a'}.{c} AS y_{c}" for c in names)
-    join = f"p a JOIN p b ON b.t = a.t + {lag}" if lag else "p a"
+    join = f"p a JOIN p b ON b.t = a.t + {lag}" if lag else f"{table} a"
 
     def states(side: str) -> str:
         return " UNION ALL ".join(
@@ -102,7 +102,7 @@ def ah_sql(lag: int = 0) -> str:
 
     dist = "sqrt(pow(a.s0 - b.s0, 2) + pow(a.s1 - b.s1, 2) + pow(a.s2 - b.s2, 2))"
     return (
-        panel_sql("ev_mean6")
+        (base or panel_sql("ev_mean6"))
         + f", f AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.t) - 1 AS pos, {cells} FROM {join} WHERE {ok}), "
         f"xs AS MATERIALIZED (SELECT * FROM ({states('x')}) WHERE s2 IS NOT NULL), ys AS MATERIALIZED (SELECT * FROM ({states('y')}) WHERE s2 IS NOT NULL), "
         f"nn AS (SELECT a.channel, a.pos, arg_min(b.pos, ({dist}, b.pos)) AS j FROM xs a JOIN xs b ON a.channel = b.channel AND a.pos <> b.pos GROUP BY 1, 2), "
@@ -123,7 +123,20 @@ def ah_directed(tb: Tables):
     return edges_out(neighbors.ah_directed(tb.ev_mean(6), 1))
 
 
-@query("ah_partial")
+def autoregression_sql(name: str) -> str:
+    """``vr``: residuals of every channel on all channels one row before, over rows complete in all."""
+    chans = channels_of(name)
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in chans)
+    past = ", ".join(f"lag({c}) OVER (ORDER BY t) AS z{k}" for k, c in enumerate(chans))
+    rows = " UNION ALL ".join(f"SELECT 'v' AS src, '{c}' AS dst, t, 0.0::DOUBLE AS x, {c} AS y, {', '.join(f'z{k}' for k in range(len(chans)))} FROM c1 WHERE z0 IS NOT NULL" for c in chans)
+    wide = ", ".join(f"max(y) FILTER (dst = '{c}') AS {c}" for c in chans)
+    return (
+        panel_sql(name) + f", c0 AS MATERIALIZED (SELECT * FROM p WHERE {cond}), c1 AS MATERIALIZED (SELECT *, {past} FROM c0), g AS MATERIALIZED ({rows}), "
+        + eliminated("g", len(chans), "u") + f", vr AS MATERIALIZED (SELECT t, {wide} FROM u GROUP BY t)"
+    )
+
+
+@query("ah_partial", ah_sql(0, autoregression_sql("ev_mean6"), "vr"))
 def ah_partial(tb: Tables):
     return edges_out(neighbors.ah_partial(tb.ev_mean(6), 1))
 

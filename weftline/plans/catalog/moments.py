@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import clean, moments
 from weftline.panel import Panel
-from weftline.plans.catalog.base import EVENT_TYPES, Tables, ahead_residual_sql, panel_sql, points_sql, query, r6, residual_sql
+from weftline.plans.catalog.base import EVENT_TYPES, Tables, ahead_residual_sql, channels_of, eliminated, panel_sql, points_sql, query, r6, residual_sql
 
 
 def edges_out(df, digits: int = 6, *extra: str):
@@ -156,7 +156,27 @@ def corr_partial_trend(tb: Tables):
     return edges_out(moments.partial_correlation(panel, extra=extra))
 
 
-@query("corr_partial_mean_pca")
+def shared_controls_sql(name: str) -> str:
+    """Residuals of every channel on the mean of all, a trend, and the leading component by power iteration."""
+    chans = channels_of(name)
+    z = [f'coalesce("{c}", 0)' for c in chans]
+    n = len(chans)
+    lines = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in z) + "]" for a in z)
+    step = f"list_transform(range(1, {n + 1}), lambda i: list_sum(list_transform(range(1, {n + 1}), lambda j: mat[i][j] * x[j])))"
+    known = " + ".join(f'(("{c}" IS NOT NULL)::INT)' for c in chans)
+    score = " + ".join(f"x[{k + 1}] * {v}" for k, v in enumerate(z))
+    rows = " UNION ALL ".join(f"SELECT 'v' AS src, '{c}' AS dst, t, 0.0::DOUBLE AS x, \"{c}\" AS y, z0, z1, z2 FROM c0 WHERE \"{c}\" IS NOT NULL" for c in chans)
+    return (
+        panel_sql(name).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f", mat AS (SELECT [{lines}] AS mat FROM p), power(k, x) AS (SELECT 0, [{', '.join(['1.0::DOUBLE'] * n)}] UNION ALL "
+        f"SELECT k + 1, list_transform(raw, lambda v: v / sqrt(list_sum(list_transform(raw, lambda u: u * u)))) FROM (SELECT k, {step} AS raw FROM power, mat WHERE k < 300)), "
+        f"top AS (SELECT x FROM power WHERE k = 300), c0 AS MATERIALIZED (SELECT p.*, ({' + '.join(z)}) / ({known}) AS z0, t::DOUBLE AS z1, {score} AS z2 FROM p, top), g AS MATERIALIZED ({rows}), "
+        + eliminated("g", 3, "u")
+        + " SELECT a.dst AS src, b.dst AS dst, round(corr(a.y, b.y), 6) + 0.0 AS value FROM u a JOIN u b ON a.t = b.t AND a.dst < b.dst GROUP BY 1, 2"
+    )
+
+
+@query("corr_partial_mean_pca", shared_controls_sql("od_day"))
 def corr_partial_mean_pca(tb: Tables):
     panel, extra = moments.control_columns(tb.od_day(), "global_mean_trend", 1)
     return edges_out(moments.partial_correlation(panel, extra=extra))

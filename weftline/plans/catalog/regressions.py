@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import clean, regress
-from weftline.plans.catalog.base import Tables, panel_sql, points_sql, query, r6
+from weftline.plans.catalog.base import Tables, channels_of, eliminated, panel_sql, points_sql, query, r6
 from weftline.plans.catalog.moments import edges_out
 from weftline.plans.catalog.spectra import ACF, CLOSED, EV
 
@@ -21,12 +21,64 @@ def granger_f_lag1(tb: Tables):
     return t.select("src", "dst", "n", r6("f").alias("f"))
 
 
-@query("granger_full")
+def f_tail_sql(f: str, d1: str, d2: str, steps: int = 4000) -> str:
+    """Upper tail of the F distribution by Simpson's rule: with 1 - u * u in place of the beta variable the integrand is smooth."""
+    low = f"sqrt(1 - {d2} / ({d2} + {d1} * greatest({f}, 0)))"
+    u = f"({low} + (1 - {low}) * i / {steps}.0)"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * pow(greatest(1 - pow({u}, 2), 0), {d2} / 2.0 - 1) * pow({u}, {d1} - 1))) * (1 - {low}) / {3 * steps}.0"
+    return f"least(1.0, 2 * {area} * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)))"
+
+
+def granger_sql(name: str, lag: int) -> str:
+    """Own lags and then the other channel's lags are taken out of y one by one; what is left gives both sums of squares."""
+    past = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for c in "xy" for k in range(1, lag + 1))
+    parts = [
+        points_sql(name, True),
+        f"n0 AS MATERIALIZED (SELECT src, dst, x, y, row_number() OVER (PARTITION BY src, dst ORDER BY t) - 1 AS pos FROM pt), "
+        f"n1 AS MATERIALIZED (SELECT src, dst, pos, y, {past} FROM n0 WINDOW w AS (PARTITION BY src, dst ORDER BY pos))",
+    ]
+    tests = []
+    for o in range(1, lag + 1):
+        zs = ", ".join([f"y{k} AS z{k - 1}" for k in range(1, o + 1)] + [f"x{k} AS z{o + k - 1}" for k in range(1, o + 1)])
+        parts.append(f"g{o} AS MATERIALIZED (SELECT src, dst, pos AS t, 0.0::DOUBLE AS x, y, {zs} FROM n1 WHERE pos >= {o})")
+        parts.append(eliminated(f"g{o}", 2 * o, f"u{o}"))
+        tests.append(
+            f"SELECT src, dst, {o} AS o, n - {2 * o + 1} AS df, (rr - ru) / ru / {o} * (n - {2 * o + 1}) AS f FROM (SELECT src, dst, count(*) AS n, sum(y * y) AS ru FROM u{o} GROUP BY 1, 2) "
+            f"JOIN (SELECT src, dst, sum(y * y) AS rr FROM g{o}_{o - 1} GROUP BY 1, 2) USING (src, dst)"
+        )
+    parts.append(f"ft AS MATERIALIZED ({' UNION ALL '.join(tests)})")
+    return ", ".join(parts) + f" SELECT src, dst, round(least(1.0, {lag} * min({f_tail_sql('f', 'o', 'df')})), 6) + 0.0 AS value FROM ft GROUP BY 1, 2"
+
+
+def granger_all_sql(name: str, lag: int) -> str:
+    """All channels' lags, those of the tested one last."""
+    chans = channels_of(name)
+    cond = " AND ".join(f'"{c}" IS NOT NULL' for c in chans)
+    past = ", ".join(f'lag("{c}", {k}) OVER (ORDER BY t) AS v{i}_{k}' for i, c in enumerate(chans) for k in range(1, lag + 1))
+    rows, m = [], len(chans)
+    for i, a in enumerate(chans):
+        for j, b in enumerate(chans):
+            if i != j:
+                order = [c for c in range(m) if c != i] + [i]
+                zs = ", ".join(f"v{c}_{k} AS z{q}" for q, (c, k) in enumerate((c, k) for c in order for k in range(1, lag + 1)))
+                rows.append(f"SELECT '{a}' AS src, '{b}' AS dst, t, 0.0::DOUBLE AS x, \"{b}\" AS y, {zs} FROM c1 WHERE v0_{lag} IS NOT NULL")
+    last = (m - 1) * lag - 1
+    return (
+        panel_sql(name) + f", c0 AS MATERIALIZED (SELECT * FROM p WHERE {cond}), c1 AS MATERIALIZED (SELECT *, {past} FROM c0), g AS MATERIALIZED ({' UNION ALL '.join(rows)}), "
+        + eliminated("g", m * lag, "u")
+        + f", ft AS (SELECT src, dst, n - {m * lag + 1} AS df, (rr - ru) / ru / {lag} * (n - {m * lag + 1}) AS f FROM (SELECT src, dst, count(*) AS n, sum(y * y) AS ru FROM u GROUP BY 1, 2) "
+        f"JOIN (SELECT src, dst, sum(y * y) AS rr FROM g_{last} GROUP BY 1, 2) USING (src, dst)) "
+        f"SELECT src, dst, round({f_tail_sql('f', str(lag), f'({m} * df)')}, 6) + 0.0 AS value FROM ft"
+    )
+
+
+@query("granger_full", granger_sql("ev_mean", 3))
 def granger_full(tb: Tables):
     return edges_out(regress.granger_full(tb.ev_mean(), 3))
 
 
-@query("granger_partial")
+@query("granger_partial", granger_all_sql("od_day", 2))
 def granger_partial(tb: Tables):
     return edges_out(regress.granger_partial(tb.od_day(), 2))
 
