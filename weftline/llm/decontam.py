@@ -15,31 +15,67 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat_bytes, ready, window_hashes, with_row, word_runs
+from weftline.llm.common import flat_bytes, ready, staged, window_hashes, with_row, word_runs
 
 LIMIT = 256 << 20
+PER_WINDOW = 20
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
-def test_windows(items: list[tuple[str | None, str | None]], width: int):
-    """Per window length: sorted hashes; and for each hash the window's words with the items that have them."""
-    hashes: dict[int, set] = {}
-    holders: dict[int, dict[bytes, set]] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        low, starts, ends, _, words = word_runs(data, np.array([0, len(data)]), WORD)
-        if not len(words):
-            continue
-        size = min(width, len(words))
-        raw = low.tobytes()
-        names = [raw[a:b] for a, b in zip(starts, ends)]
-        for k, h in enumerate(window_hashes(words, size).tolist()):
-            hashes.setdefault(size, set()).add(h)
-            who = holders.setdefault(h, {}).setdefault(b" ".join(names[k : k + size]), set())
-            if item is not None:
-                who.add(item)
-    return {size: np.array(sorted(found), np.uint64) for size, found in hashes.items()}, holders
+def test_windows(tests: DataFrame, width: int) -> DataFrame:
+    """Per item with words: ``item``, its words joined by spaces (``block``), its window length, and each window's hash, start and end in the block.
+
+    The last three are packed arrays of 64, 32 and 32 bits; a window that an item repeats is listed once.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                low, starts, ends, _, words = word_runs(data, np.array([0, len(data)]), WORD)
+                if not len(words):
+                    continue
+                size = min(width, len(words))
+                raw = low.tobytes()
+                block = b" ".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+                lengths = ends - starts
+                last = np.cumsum(lengths + 1) - 1
+                hashes, first = np.unique(window_hashes(words, size), return_index=True)
+                at, to = (last - lengths)[first], last[first + size - 1]
+                out.append((item, size, block, hashes.tobytes(), at.astype(np.uint32).tobytes(), to.astype(np.uint32).tobytes()))
+            if out:
+                kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["item", "size", "block", "h", "s", "e"])
+
+    return tests.mapInArrow(run, "item string, size int, block binary, h binary, s binary, e binary")
+
+
+class Windows:
+    """Test windows as flat arrays sorted by hash, for each window length, over one block of all items' words."""
+
+    def __init__(self, rows: list):
+        self.names = [r["item"] for r in rows]
+        self.block = b"".join(r["block"] for r in rows)
+        begins = np.cumsum([0, *[len(r["block"]) for r in rows]])
+        self.tables = {}
+        for size in sorted({r["size"] for r in rows}):
+            own = [k for k, r in enumerate(rows) if r["size"] == size]
+            hashes = [np.frombuffer(rows[k]["h"], np.uint64) for k in own]
+            who = np.repeat(np.array(own, np.int32), [len(h) for h in hashes])
+            start, end = (np.concatenate([np.frombuffer(rows[k][c], np.uint32).astype(np.int64) + begins[k] for k in own]) for c in "se")
+            h = np.concatenate(hashes)
+            order = np.argsort(h, kind="stable")
+            self.tables[size] = h[order], who[order], start[order], (end - start)[order].astype(np.int32)
+
+    def holders(self, size: int, h: int, text: bytes) -> list[int]:
+        """The items that have a window, word for word."""
+        hashes, who, start, length = self.tables[size]
+        lo, hi = np.searchsorted(hashes, np.uint64(h)), np.searchsorted(hashes, np.uint64(h), "right")
+        return [int(who[k]) for k in range(lo, hi) if self.block[start[k] : start[k] + length[k]] == text]
 
 
 def members(values: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -55,21 +91,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
     """All columns of ``docs`` in the struct ``row``, with ``n_words, n_hit, items`` and ``spans``.
 
     ``items`` are the ids (as strings, sorted) of the items that occur, ``spans`` the hit runs as
-    ``[start, end)`` in UTF-8 bytes.  The benchmark's texts are broadcast, at most ``limit_bytes``.
+    ``[start, end)`` in UTF-8 bytes.  The items' windows are made in tasks; their words and flat arrays,
+    counted before they are fetched, are broadcast, at most ``limit_bytes``.
     """
     spark = ready(docs.sparkSession)
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    made = staged(test_windows(tests, width), "test-windows")
+    sized = F.octet_length("block") + F.octet_length("h") / 8 * PER_WINDOW + F.coalesce(F.octet_length("item"), F.lit(0))
+    total = int(made.agg(F.sum(sized)).first()[0] or 0)
     if total > limit_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, more than limit_bytes={limit_bytes}")
-    shared = spark.sparkContext.broadcast(test_windows([(r["item"], r["text"]) for r in tests.collect()], width))
+        raise ValueError(f"the benchmark's windows take {total} bytes, more than limit_bytes={limit_bytes}")
+    shared = spark.sparkContext.broadcast(Windows(made.collect()))
     held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     schema = with_row(held, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
     def run(batches):
         import pyarrow as pa
 
-        tables, holders = shared.value
+        tests = shared.value
+        tables = {size: x[0] for size, x in tests.tables.items()}
         bits = {}
         for size, table in tables.items():
             bits[size] = np.zeros(1 << 20, bool)
@@ -86,11 +126,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
                 found = found[row[found] == row[found + size - 1]]
                 for k in found.tolist():
                     text = b" ".join(low[a:b].tobytes() for a, b in zip(starts[k : k + size], ends[k : k + size]))
-                    who = holders[int(window_hashes(words[k : k + size], size)[0])].get(text)
-                    if who is not None:
+                    who = tests.holders(size, int(window_hashes(words[k : k + size], size)[0]), text)
+                    if who:
                         cover[k] += 1
                         cover[k + size] -= 1
-                        items.setdefault(int(row[k]), set()).update(who)
+                        items.setdefault(int(row[k]), set()).update(tests.names[x] for x in who if tests.names[x] is not None)
             hit = np.cumsum(cover[:-1]) > 0
             n_hit = np.bincount(row[hit], minlength=batch.num_rows)
             spans: dict[int, list] = {}
