@@ -11,7 +11,8 @@ a few hundred features, however many documents there are.
 
 Defined results: a null or empty text has no spans; offsets count code points, ends exclusive;
 repeated rows are treated alike; without candidates nothing is added; very long texts are searched
-whole, in time linear in their length.
+whole.  The patterns run in linear time; the handling of what they find grows with the square of the number of
+spans in one text.
 """
 
 from __future__ import annotations
