@@ -196,7 +196,9 @@ def residualize(panel: Panel, control: Sequence[str] = (), extra: dict[str, Colu
 def precision(g: np.ndarray) -> np.ndarray:
     """Inverse of a Gram matrix; where it has no full rank, of the matrix a hair above it, whose regressions tend to the least-norm ones."""
     val, vec = np.linalg.eigh(g)
-    top = max(float(val[-1]), 1e-300)
+    top = float(val[-1])
+    if not top > 0:
+        return np.eye(len(g))
     val = np.maximum(val, 0.0)
     if val[0] < 1e-12 * top:
         val = val + 1e-12 * top
@@ -238,6 +240,7 @@ def _expanded(rows: DataFrame, n: int, names: Sequence[str], todo: Sequence[tupl
                 prepared = make.rows(part)
                 for i, js in partners.items():
                     x, y = make.pairs(prepared, i, np.array(js))
+                    x, y = np.round(x, make.decimals), np.round(y, make.decimals)
                     who = pa.array(np.tile(np.array(js), len(when)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([labels[i]] * x.size), pa.array(labels).take(who), pa.array(np.repeat(when, len(js))), pa.array(x.ravel()), pa.array(y.ravel())], names=["src", "dst", "t", "x", "y"]
@@ -246,14 +249,25 @@ def _expanded(rows: DataFrame, n: int, names: Sequence[str], todo: Sequence[tupl
     return rows.mapInArrow(run, "src string, dst string, t bigint, x double, y double")
 
 
+def _times(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Matrix product that gives equal rows equal results wherever they stand, so that repeated rows stay repeated points."""
+    return np.einsum("nk,kj->nj", x, p)
+
+
+def _decimals(sizes: np.ndarray) -> int:
+    """Decimals that keep eleven digits or so of the largest channel: what differs by rounding alone becomes equal."""
+    top = float(np.max(sizes, initial=0.0))
+    return 11 - int(np.floor(np.log10(top))) if top > 0 else 0
+
+
 class SchurBlocks:
     """Residuals of both channels of a pair at the same time."""
 
-    def __init__(self, means: np.ndarray, p: np.ndarray):
-        self.means, self.p = means, p
+    def __init__(self, means: np.ndarray, p: np.ndarray, sizes: np.ndarray):
+        self.means, self.p, self.decimals = means, p, _decimals(sizes)
 
     def rows(self, v: np.ndarray) -> np.ndarray:
-        return (v - self.means) @ self.p
+        return _times(v - self.means, self.p)
 
     def pairs(self, u: np.ndarray, i: int, j: np.ndarray):
         return block_residuals(u, self.p, i, j)
@@ -266,13 +280,14 @@ class AheadBlocks:
     one more use of its block.
     """
 
-    def __init__(self, means: np.ndarray, ahead: np.ndarray, p: np.ndarray, cross: np.ndarray):
+    def __init__(self, means: np.ndarray, ahead: np.ndarray, p: np.ndarray, cross: np.ndarray, sizes: np.ndarray):
         self.means, self.ahead, self.p, self.slopes = means, ahead, p, p @ cross
+        self.decimals = _decimals(sizes)
 
     def rows(self, v: np.ndarray):
         n = len(self.means)
         x = v[:, :n] - self.means
-        return x @ self.p, x @ self.slopes, v[:, n:] - self.ahead
+        return _times(x, self.p), _times(x, self.slopes), v[:, n:] - self.ahead
 
     def pairs(self, prepared, i: int, j: np.ndarray):
         u, fit, y = prepared
@@ -293,9 +308,9 @@ def residual_points(panel: Panel, directed: bool, control: Sequence[str] | None
         keep = [c for c in chans if c not in control]
         return res.select(keep).pair_points(directed, [p for p in todo if set(p) <= set(keep)])
     cols = [panel.col(c) for c in chans]
-    _, means, g = gram(panel.frame, cols)
+    n, means, g = gram(panel.frame, cols)
     full = panel.frame.dropna(how="any", subset=chans).select("t", *[c.alias(f"v{k}") for k, c in enumerate(cols)])
-    return _expanded(full, len(chans), chans, todo, SchurBlocks(means, precision(g)))
+    return _expanded(full, len(chans), chans, todo, SchurBlocks(means, precision(g), np.sqrt(np.diag(g) / max(n, 1))))
 
 
 def correlation_matrix_np(panel: Panel) -> tuple[int, np.ndarray]:
@@ -369,7 +384,7 @@ def pairwise_partial_points(
             # no gap anywhere: all pairs have the same rows, and one Gram matrix serves them all
             n, means, g = gram(held, [F.col(f"v{k}") for k in range(len(columns))])
             m = len(chans)
-            return _expanded(held, 2 * m, chans, todo, AheadBlocks(means[:m], means[m:], precision(g[:m, :m]), g[:m, m:]))
+            return _expanded(held, 2 * m, chans, todo, AheadBlocks(means[:m], means[m:], precision(g[:m, :m]), g[:m, m:], np.sqrt(np.diag(g) / n)))
     sets = []
     for a, b in todo:
         zs = [rank[c] for c in controls(a, b)]

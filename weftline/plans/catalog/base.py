@@ -159,9 +159,13 @@ def residual_sql(name: str, directed: bool) -> str:
     return panel_sql(name) + ", " + with_controls_sql(name, directed) + ", " + eliminated("pz", len(channels_of(name)) - 2)
 
 
+# points that differ by rounding alone are one point
+ROUNDED = ", pt AS MATERIALIZED (SELECT src, dst, t, round(x, 10) AS x, round(y, 10) AS y FROM exact)"
+
+
 def ahead_residual_sql(name: str) -> str:
     """``pt`` of residuals on all other channels of mean-filled series, y one step ahead of x and the controls."""
-    return filled_sql(name) + ", " + with_controls_sql(name, False, "pf", 1) + ", " + eliminated("pz", len(channels_of(name)) - 2)
+    return filled_sql(name) + ", " + with_controls_sql(name, False, "pf", 1) + ", " + eliminated("pz", len(channels_of(name)) - 2, "exact") + ROUNDED
 
 
 def controlled_points_sql(name: str, control: str) -> str:
@@ -172,3 +176,10 @@ def controlled_points_sql(name: str, control: str) -> str:
         for c in channels_of(name) if c != control
     )
     return panel_sql(name) + f", r AS MATERIALIZED ({res}), pt AS MATERIALIZED (SELECT a.channel AS src, b.channel AS dst, a.t, a.value AS x, b.value AS y FROM r a JOIN r b ON a.t = b.t AND a.channel < b.channel)"
+
+
+def all_pairs_sql(name: str, directed: bool) -> str:
+    """A list of the channels' pairs, for pairs that are told also where they have no value."""
+    chans = channels_of(name)
+    pairs = [(a, b) for i, a in enumerate(chans) for j, b in enumerate(chans) if (i != j if directed else i < j)]
+    return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") AS ap(src, dst)"

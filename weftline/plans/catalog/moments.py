@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import clean, moments
 from weftline.panel import Panel
-from weftline.plans.catalog.base import EVENT_TYPES, Tables, ahead_residual_sql, channels_of, eliminated, panel_sql, points_sql, query, r6, residual_sql
+from weftline.plans.catalog.base import EVENT_TYPES, Tables, ahead_residual_sql, all_pairs_sql, channels_of, eliminated, panel_sql, points_sql, query, r6, residual_sql
 
 
 def edges_out(df, digits: int = 6, *extra: str):
@@ -69,8 +69,12 @@ def h2_directed(tb: Tables):
 
 
 def partial_sql(power: int) -> str:
-    """Correlation of residuals on all other channels."""
-    return residual_sql("ev_mean", False) + f" SELECT src, dst, round(pow(corr(x, y), {power}), 6) + 0.0 AS value FROM pt GROUP BY 1, 2"
+    """Correlation of residuals on all other channels; no value where complete rows are too few."""
+    return (
+        residual_sql("ev_mean", False)
+        + f", e AS (SELECT src, dst, CASE WHEN count(*) > {len(EVENT_TYPES) + 2} THEN round(pow(corr(x, y), {power}), 6) + 0.0 END AS value FROM pt GROUP BY 1, 2) "
+        f"SELECT src, dst, value FROM {all_pairs_sql('ev_mean', False)} LEFT JOIN e USING (src, dst)"
+    )
 
 
 @query("corr_partial_all", partial_sql(1))
@@ -84,24 +88,24 @@ def h2_partial(tb: Tables):
     return edges_out(moments.squared(moments.partial_correlation(tb.ev_mean())))
 
 
-@query("corr_partial_residuals", partial_sql(1))
+@query("corr_partial_residuals", residual_sql("ev_mean", False) + " SELECT src, dst, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 6) + 0.0 END AS value FROM pt GROUP BY 1, 2")
 def corr_partial_residuals(tb: Tables):
     """The same from the residual points of all pairs."""
     return edges_out(moments.corr_points(moments.residual_points(tb.ev_mean(), False)))
 
 
-def triples_sql() -> str:
-    """Partial correlation of each pair given each single other channel, in closed form over rows complete in the three."""
+def triples_sql(least: int) -> str:
+    """Partial correlation of each pair given each single other channel, in closed form over ``least`` or more rows complete in the three."""
     parts = []
     for i, s in enumerate(EVENT_TYPES):
         for d in EVENT_TYPES[i + 1 :]:
             for z in EVENT_TYPES:
                 if z not in (s, d):
-                    parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, '{z}' AS control, corr({s}, {d}) AS xy, corr({s}, {z}) AS xz, corr({d}, {z}) AS yz FROM p WHERE {s} IS NOT NULL AND {d} IS NOT NULL AND {z} IS NOT NULL")
-    return panel_sql("ev_mean") + f", c AS ({' UNION ALL '.join(parts)}) SELECT src, dst, control, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 AS value FROM c"
+                    parts.append(f"SELECT '{s}' AS src, '{d}' AS dst, '{z}' AS control, corr({s}, {d}) AS xy, corr({s}, {z}) AS xz, corr({d}, {z}) AS yz, count(*) AS n FROM p WHERE {s} IS NOT NULL AND {d} IS NOT NULL AND {z} IS NOT NULL")
+    return panel_sql("ev_mean") + f", c AS ({' UNION ALL '.join(parts)}) SELECT src, dst, control, CASE WHEN n >= {least} THEN round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) + 0.0 END AS value FROM c"
 
 
-@query("corr_partial3", triples_sql())
+@query("corr_partial3", triples_sql(6))
 def corr_partial3(tb: Tables):
     """Every three channels, through their precision matrix."""
     p = tb.ev_mean()
@@ -113,7 +117,7 @@ def corr_partial3(tb: Tables):
     return edges_out(out, 6, "control")
 
 
-@query("corr_partial_closed_form", triples_sql())
+@query("corr_partial_closed_form", triples_sql(3))
 def corr_partial_closed_form(tb: Tables):
     p = tb.ev_mean()
     parts = [moments.partial_correlation_one(p, s, d, z).withColumn("control", F.lit(z)) for s, d in p.pair_list(False) for z in p.channels if z not in (s, d)]

@@ -54,12 +54,49 @@ def standardize(tb: Tables):
     return red.standardized(tb.od_month()).long().select("t", "channel", r6("value").alias("value"))
 
 
-@query("pca")
+def leading_vectors_sql(matrix: str, count: int, squarings: int = 16) -> str:
+    """CTEs ``v1(i, x)``, ``v2`` .. of the leading unit vectors of ``matrix(i, j, s)``: a power by repeated squaring, then deflation."""
+    parts, g = [], matrix
+    for c in range(1, count + 1):
+        last = g
+        for k in range(squarings):
+            parts.append(f"q{c}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.s * b.s) AS s FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2)")
+            parts.append(f"p{c}_{k} AS MATERIALIZED (SELECT i, j, s / (SELECT max(abs(s)) FROM q{c}_{k}) AS s FROM q{c}_{k})")
+            last = f"p{c}_{k}"
+        # all columns of the power point the same way; the longest is the most exact
+        parts.append(f"c{c} AS (SELECT j FROM {last} GROUP BY 1 ORDER BY sum(s * s) DESC, j LIMIT 1)")
+        parts.append(f"v{c} AS MATERIALIZED (SELECT i, s / sqrt((SELECT sum(s * s) FROM {last} WHERE j = (SELECT j FROM c{c}))) AS x FROM {last} WHERE j = (SELECT j FROM c{c}))")
+        parts.append(f"l{c} AS (SELECT sum(a.x * {g}.s * b.x) AS l FROM {g} JOIN v{c} a ON a.i = {g}.i JOIN v{c} b ON b.i = {g}.j)")
+        parts.append(f"d{c} AS MATERIALIZED (SELECT {g}.i, {g}.j, {g}.s - (SELECT l FROM l{c}) * a.x * b.x AS s FROM {g} JOIN v{c} a ON a.i = {g}.i JOIN v{c} b ON b.i = {g}.j)")
+        g = f"d{c}"
+    return ", ".join(parts)
+
+
+def scores_sql(cells: str, count: int, by_weight: bool) -> str:
+    """Scores on the leading vectors of standardised ``cells``; the largest weight (or else the largest score) of each is positive."""
+    sql = (
+        cells
+        + ", st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM cell GROUP BY 1), z AS MATERIALIZED (SELECT t, cell.i, (v - m) / CASE WHEN d > 0 THEN d ELSE 1 END AS z FROM cell JOIN st USING (i)), "
+        "g AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) AS s FROM z a JOIN z b ON a.t = b.t GROUP BY 1, 2), " + leading_vectors_sql("g", count)
+    )
+    out = []
+    for c in range(1, count + 1):
+        sql += f", s{c} AS MATERIALIZED (SELECT t, sum(z * x) AS value FROM z JOIN v{c} USING (i) GROUP BY 1)"
+        top = f"SELECT sign(arg_max(x, abs(x))) FROM v{c}" if by_weight else f"SELECT sign(arg_max(value, abs(value))) FROM s{c}"
+        out.append(f"SELECT t, 'pc_{c:04d}' AS channel, round(value * ({top}), 4) + 0.0 AS value FROM s{c}")
+    return sql + " " + " UNION ALL ".join(out)
+
+
+EMBEDDED = "WITH cell AS (SELECT vec_id AS t, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
+MONTHS = panel_sql("od_month") + ", cell AS (SELECT t, channel AS i, coalesce(value, 0) AS v FROM pl)"
+
+
+@query("pca", scores_sql(EMBEDDED, 3, True))
 def pca(tb: Tables):
     return red.pca(tb.embedding_panel(), 3).panel.long().select("t", "channel", r6("value", 4).alias("value"))
 
 
-@query("pca_gram")
+@query("pca_gram", scores_sql(MONTHS, 2, False))
 def pca_gram(tb: Tables):
     p = tb.od_month()
     scores, _, _ = red.pca_gram(p.long(), p.length(), 2)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import clean, regress
-from weftline.plans.catalog.base import Tables, channels_of, eliminated, panel_sql, points_sql, query, r6
+from weftline.plans.catalog.base import Tables, all_pairs_sql, channels_of, eliminated, panel_sql, points_sql, query, r6
 from weftline.plans.catalog.moments import edges_out
 from weftline.plans.catalog.spectra import ACF, CLOSED, EV
 
@@ -69,7 +69,7 @@ def granger_all_sql(name: str, lag: int) -> str:
         + eliminated("g", m * lag, "u")
         + f", ft AS (SELECT src, dst, n - {m * lag + 1} AS df, (rr - ru) / ru / {lag} * (n - {m * lag + 1}) AS f FROM (SELECT src, dst, count(*) AS n, sum(y * y) AS ru FROM u GROUP BY 1, 2) "
         f"JOIN (SELECT src, dst, sum(y * y) AS rr FROM g_{last} GROUP BY 1, 2) USING (src, dst)) "
-        f"SELECT src, dst, round({f_tail_sql('f', str(lag), f'({m} * df)')}, 6) + 0.0 AS value FROM ft"
+        f"SELECT src, dst, CASE WHEN df > 0 THEN round({f_tail_sql('f', str(lag), f'({m} * df)')}, 6) + 0.0 END AS value FROM {all_pairs_sql(name, True)} LEFT JOIN ft USING (src, dst)"
     )
 
 
