@@ -136,6 +136,27 @@ def test_communities(spark):
     assert graph.is_connected(e, nodes)
 
 
+def near_pairs(rows, kind, radius):
+    d = lambda a, b: [abs(u - v) for u, v in zip(a[1:], b[1:])]
+    hit = (lambda x: sum(x) == 1) if kind == "6" else (lambda x: max(x) <= radius)
+    return sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in a + b and hit(d(a, b)))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_neighbor_pairs_26(spark, tmp_path, radius, whole):
+    """Against all pairs, with copies, a point without a coordinate and steps of a half; no points are broadcast."""
+    rng = np.random.default_rng(radius)
+    c = rng.integers(-5, 6, (90, 3)).tolist() if whole else (rng.integers(-10, 11, (90, 3)) / 2).tolist()
+    rows = [(f"v{i:03d}", *x) for i, x in enumerate(c)]
+    rows += [rows[3], rows[3], ("w", *rows[4][1:]), ("x", None, *rows[5][2:])]
+    t = "long" if whole else "double"
+    spark.createDataFrame(rows, f"channel string, x {t}, y {t}, z {t}").write.parquet(f"{tmp_path}/points")  # a file's size is known
+    got = graph.neighbor_pairs(spark.read.parquet(f"{tmp_path}/points"), "26", radius)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == near_pairs(rows, "26", radius)
+
+
 def test_fdr_edge_cases(spark):
     p = [0.01, 0.01, 0.04, 1.0, 0.5, None, float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, value double")

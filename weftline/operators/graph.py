@@ -7,6 +7,7 @@ the edge count is under ``TASK_EDGES``; larger graphs go through joins.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -396,19 +397,22 @@ def neighbor_pairs(coords: DataFrame, kind: str = "26", radius: int = 1) -> Data
     """Pairs of grid points next to each other: ``src, dst`` with src before dst.
 
     kind 6: exactly one coordinate differs by 1; otherwise every coordinate within ``radius``.
-    Each point is sent to the cells around it, so the join is on equal cells.
+    Each point is sent to its own cell and to those after it among the cells around, so two cells
+    meet once, in a join on equal cells.  Copies of all points are too many for a broadcast, and
+    Spark takes them for no larger than the points; hence the hint.
     """
     r = 1 if kind == "6" else max(1, int(radius))
     cell = [F.floor(F.col(c) / r).alias(f"c{c}") for c in "xyz"]
-    a = coords.select(F.col("channel").alias("src"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *cell)
-    offsets = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    b = coords.select(F.col("channel").alias("dst"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cell)
-    for c in "xyz":
-        b = b.withColumn("_o", offsets).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_o")).drop("_o")
-    j = a.join(b, ["cx", "cy", "cz"]).filter("src < dst")
+    a = coords.select(F.col("channel").alias("c1"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *cell)
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    offsets = F.explode(F.array(*[F.struct(*[F.lit(i).alias(c) for c, i in zip("xyz", s)]) for s in steps]))
+    b = coords.select(F.col("channel").alias("c2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cell).withColumn("_o", offsets)
+    own = (F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)
+    b = b.select("c2", "x2", "y2", "z2", own.alias("_own"), *[(F.col(f"c{c}") + F.col(f"_o.{c}")).alias(f"c{c}") for c in "xyz"])
+    j = a.hint("merge").join(b, ["cx", "cy", "cz"]).filter(F.when(F.col("_own"), F.col("c1") < F.col("c2")).otherwise(F.col("c1") != F.col("c2")))
     d = [F.abs(F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"]
     near = d[0] + d[1] + d[2] == 1 if kind == "6" else F.greatest(*d) <= r
-    return j.filter(near).select("src", "dst")
+    return j.filter(near).select(F.least("c1", "c2").alias("src"), F.greatest("c1", "c2").alias("dst"))
 
 
 def random_pairs(names: Sequence[str], k: int, seed: int = 0, directed: bool = False) -> list[tuple[str, str]]:
