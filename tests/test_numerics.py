@@ -157,6 +157,21 @@ def test_neighbor_pairs_26(spark, tmp_path, radius, whole):
     assert sorted(map(tuple, got.collect())) == near_pairs(rows, "26", radius)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_neighbor_pairs_6(spark, tmp_path, whole):
+    """Whole numbers send three copies of a point; steps of a half can reach any cell around."""
+    rng = np.random.default_rng(6)
+    c = rng.integers(-3, 4, (90, 3)).tolist() if whole else (rng.integers(-6, 7, (90, 3)) / 2).tolist()
+    rows = [(f"v{i:03d}", *x) for i, x in enumerate(c)]
+    rows += [rows[3], rows[3], ("w", *rows[4][1:]), ("x", None, *rows[5][2:])]
+    t = "long" if whole else "double"
+    spark.createDataFrame(rows, f"channel string, x {t}, y {t}, z {t}").write.parquet(f"{tmp_path}/points")  # a file's size is known
+    got = graph.neighbor_pairs(spark.read.parquet(f"{tmp_path}/points"), "6")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and ("explode([[0,0,1],[0,1,0],[1,0,0]])" in plan) == whole
+    assert sorted(map(tuple, got.collect())) == near_pairs(rows, "6", 1)
+
+
 def test_fdr_edge_cases(spark):
     p = [0.01, 0.01, 0.04, 1.0, 0.5, None, float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, value double")

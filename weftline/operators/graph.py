@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from weftline.functions.ranks import value_ranks
 from weftline.session import staged
@@ -405,6 +406,8 @@ def neighbor_pairs(coords: DataFrame, kind: str = "26", radius: int = 1) -> Data
     cell = [F.floor(F.col(c) / r).alias(f"c{c}") for c in "xyz"]
     a = coords.select(F.col("channel").alias("c1"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *cell)
     steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    if kind == "6" and all(isinstance(coords.schema[c].dataType, IntegralType) for c in "xyz"):
+        steps = [s for s in steps if sum(map(abs, s)) == 1]  # whole numbers: the other cells hold no neighbour
     offsets = F.explode(F.array(*[F.struct(*[F.lit(i).alias(c) for c, i in zip("xyz", s)]) for s in steps]))
     b = coords.select(F.col("channel").alias("c2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *cell).withColumn("_o", offsets)
     own = (F.col("_o.x") == 0) & (F.col("_o.y") == 0) & (F.col("_o.z") == 0)
