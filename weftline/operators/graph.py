@@ -82,9 +82,10 @@ def fdr_bh(df: DataFrame, p: str = "value", keys: Sequence[str] = (), out: str =
     if not keys:
         data, keys = data.withColumn("_all", F.lit(0)), ["_all"]
     r = staged(value_ranks(data, keys, "_p").withColumn("_raw", F.col("_p") * F.col("total") / F.col("rmax")))
-    later = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(1, Window.unboundedFollowing)
+    # from the largest p down: a frame that begins at each row is gone through anew for every row
+    later = Window.partitionBy(*keys).orderBy(F.desc("_vb")).rowsBetween(Window.unboundedPreceding, -1)
     carry = r.groupBy(*keys, "_vb").agg(F.min("_raw").alias("_m")).select(*keys, "_vb", F.min("_m").over(later).alias("_next"))
-    local = Window.partitionBy(*keys, "_vb").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    local = Window.partitionBy(*keys, "_vb").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     q = r.withColumn("_own", F.min("_raw").over(local)).join(carry, [*keys, "_vb"])
     q = q.select(*keys, "_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_own", "_next")).alias(out))
     return data.join(q, [*keys, "_p"], "left").drop("_p", "_all")
