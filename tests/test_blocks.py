@@ -88,3 +88,20 @@ def test_ranks(spark, ties):
     np.testing.assert_array_equal(got["rank"].to_numpy(), want.to_numpy())
     r = value_ranks(spark.createDataFrame(pdf), [], "value").toPandas()
     assert r["cnt"].sum() == 3000 and r["rmax"].max() == 3000
+
+
+def test_ranks_deal_groups_by_bucket(spark, tmp_path):
+    """A group's values are spread over tasks from the join on, and no value is sent by its group's key alone."""
+    import re
+
+    x = np.random.default_rng(5).normal(size=40_000)
+    spark.createDataFrame(pd.DataFrame({"g": np.arange(40_000) % 2, "v": x})).write.parquet(f"{tmp_path}/values")
+    r = value_ranks(spark.read.parquet(f"{tmp_path}/values"), ["g"], "v")
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(g#\d+L?, _vb#\d+L?, ", plan)
+    joined = plan[plan.index("REPARTITION_BY_COL"):].split("\n")
+    assert next(line for line in joined if "Join [g#" in line).lstrip(" :+-").startswith("BroadcastHashJoin")
+    got = r.toPandas().sort_values(["g", "v"])
+    for g in (0, 1):
+        d = got[got.g == g]
+        assert (d.v.to_numpy() == np.sort(x[g::2])).all() and (d.rmin.to_numpy() == np.arange(1, 20_001)).all()

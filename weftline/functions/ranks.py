@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftline.functions.blocks import positions
 from weftline.functions.quantiles import ACCURACY, sketch
 from weftline.functions.strips import count_below, tops
-from weftline.session import pieces
+from weftline.session import pieces, staged
 
 SPLITS = 128
 
@@ -30,7 +30,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int | No
     cuts = counts.groupBy(*keys).agg(
         sketch(f"`{value}`", [i / splits for i in range(1, splits)], max(ACCURACY, 4 * splits)).alias("_cuts")
     )
-    cuts = cuts.withColumn("_top", tops(F.col("_cuts")))
+    # staged, so that Spark sees how small they are and sends them to the values, not whole groups to one task each
+    cuts = staged(cuts.withColumn("_top", tops(F.col("_cuts"))))
     bucket = count_below(F.col("_cuts"), F.col("_top"), F.col(value))
     marked = counts.join(cuts, keys).withColumn("_vb", bucket).drop("_cuts", "_top")
     sums = marked.groupBy(*keys, "_vb").agg(F.sum("cnt").alias("_s"), F.count(F.lit(1)).alias("_d"))
@@ -45,7 +46,8 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, splits: int | No
     )
     local = Window.partitionBy(*keys, "_vb").orderBy(value)
     return (
-        marked.withColumn("_cum", F.sum("cnt").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+        marked.repartition(*keys, "_vb")  # by bucket also where the join has dealt by key
+        .withColumn("_cum", F.sum("cnt").over(local.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_rn", F.row_number().over(local))
         .join(offsets, [*keys, "_vb"])
         .select(
